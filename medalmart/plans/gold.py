@@ -42,7 +42,7 @@ def resolved_keys(
     dimensions first spares the fact its second join.
     """
     key, surrogate, owner = account_cols
-    return lookup(account.select(key, surrogate, owner), party, (owner, party_cols[0]), {"__party_sk": party_cols[1]})
+    return lookup(account.select(key, surrogate, owner), party, (owner, party_cols[0]), {party_cols[1]: party_cols[1]})
 
 
 def fact_frame(silver: DataFrame, fact: Fact, dims: Mapping[str, DataFrame], specs: Mapping[str, Dimension], keys: str = "hash") -> DataFrame:
