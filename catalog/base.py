@@ -17,6 +17,7 @@ from medalmart.config import Model, compile_rules, default_rules
 from medalmart.plans.bronze import MASK, stamp
 from medalmart.plans.gold import dimension_frame, fact_frame
 from medalmart.plans.silver import COPIES, silver_frame
+from medalmart.sources.scratch import scratch_path
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -234,7 +235,12 @@ FROM ({SILVER_TX_SQL}) t
 
 
 class Bank:
-    """The banking model over the role frames."""
+    """The banking model over the role tables, with the layers at rest as in a run.
+
+    Bronze tables and the parents of links are written to the shared scratch
+    folder once per object, so that rules read stored columns and not the text
+    expressions of the roles, and sizes are true sizes.
+    """
 
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark, self.sf_dir = spark, sf_dir
@@ -242,20 +248,30 @@ class Bank:
         doc = default_rules()
         self.rules = {n: compile_rules(doc, t) for n, t in self.model.tables.items()}
         self._texts = {"customers": PARTY, "accounts": ACCOUNT, "transactions": TX}
+        self._stored: dict[str, str] = {}
+
+    def _at_rest(self, name: str, build: Callable[[], DataFrame]) -> DataFrame:
+        if name not in self._stored:
+            path = scratch_path(self.spark, name)
+            build().write.parquet(path)
+            self._stored[name] = path
+        return self.spark.read.parquet(self._stored[name])
 
     def raw(self, name: str) -> DataFrame:
         return role(self.spark, self.sf_dir, self._texts[name])
 
     def bronze(self, name: str) -> DataFrame:
-        return stamp(self.raw(name), RUN_AT)
+        return self._at_rest(f"bronze-{name}", lambda: stamp(self.raw(name), RUN_AT))
+
+    def parent(self, name: str) -> DataFrame | None:
+        link = self.model.tables[name].link
+        return self._at_rest(f"silver-{link.table}", lambda: self.silver(link.table)) if link else None
 
     def silver(self, name: str) -> DataFrame:
         return self.silver_with_metrics(name).drop(MASK, COPIES)
 
     def silver_with_metrics(self, name: str) -> DataFrame:
-        spec = self.model.tables[name]
-        parent = self.silver(spec.link.table) if spec.link else None
-        return silver_frame(self.bronze(name), spec, self.rules[name], parent)
+        return silver_frame(self.bronze(name), self.model.tables[name], self.rules[name], self.parent(name))
 
     def dimension(self, name: str, keys: str = "hash") -> DataFrame:
         dim = self.model.dimensions[name]

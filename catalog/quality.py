@@ -144,7 +144,7 @@ def quarantine_split(spark: SparkSession, d: str) -> DataFrame:
     bank = Bank(spark, d)
     spec, rules = bank.model.tables["transactions"], bank.rules["transactions"]
     tx = bank.bronze("transactions")
-    out = removed_rows(tx, spec, rules, orphan_keys(tx, spec, bank.silver("accounts")))
+    out = removed_rows(tx, spec, rules, orphan_keys(tx, spec, bank.parent("transactions")))
     return out.select(
         "transaction_id",
         "account_id",
@@ -198,7 +198,7 @@ def dq_issue_counts(spark: SparkSession, d: str) -> DataFrame:
 def dq_reconcile(spark: SparkSession, d: str) -> DataFrame:
     bank = Bank(spark, d)
     return disposition_counts(
-        bank.bronze("transactions"), bank.model.tables["transactions"], bank.rules["transactions"], bank.silver("accounts")
+        bank.bronze("transactions"), bank.model.tables["transactions"], bank.rules["transactions"], bank.parent("transactions")
     )
 
 

@@ -11,15 +11,11 @@ from pyspark.sql import functions as F
 # HOT_SHARE keys can do so, which bounds what is broadcast for them.
 HOT_SHARE = 1000
 
-# Spread of the rows that need no partner in the shuffle join.
-SPREAD = 1 << 20
-
 
 def broadcast_limit(df: DataFrame) -> int:
     """The session's own limit for broadcasting, in bytes; 0 when it is switched off."""
-    text = df.sparkSession.conf.get("spark.sql.autoBroadcastJoinThreshold")
-    size = df.sparkSession._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(text)
-    return max(0, int(size))
+    conf = df.sparkSession._jsparkSession.sessionState().conf()
+    return max(0, int(conf.autoBroadcastJoinThreshold()))
 
 
 def estimated_bytes(df: DataFrame) -> int:
@@ -67,6 +63,8 @@ def lookup(
     """
     key, small_key = on
     names = list(values)
+    if dict(big.dtypes)[key] != dict(small.dtypes)[small_key]:
+        raise ValueError(f"{key} and {small_key} differ in type")
     partner, hot_partner = "__partner", "__hot_partner"
     narrow = small.filter(F.col(small_key).isNotNull()).select(
         F.col(small_key).alias("__key"),
@@ -86,16 +84,19 @@ def lookup(
         tagged = big.join(hot, F.col(key) == F.col("__hot"), "left").join(
             F.broadcast(hot_partners), F.col(key) == F.col("__hot_key"), "left"
         )
+        # Settled rows need no partner any more. Their bucket is a hash of the whole
+        # row (the same again if the task is retried), all others have the hash of
+        # the key, which the partners have too.
         settled = F.col("__hot").isNotNull() | F.col(key).isNull()
-        # The spread is a hash of the row itself, so a retried task repeats it.
-        spread = F.pmod(F.xxhash64(*_hashable(big)), F.lit(SPREAD)) + 1
         tagged = tagged.withColumns(
-            {"__slot": F.when(settled, spread).otherwise(0), "__join": F.when(~settled, F.col(key))}
-        )
-        narrow = narrow.withColumn("__no_slot", F.lit(0).cast("bigint"))
-        joined = tagged.join(
-            narrow, (F.col("__join") == F.col("__key")) & (F.col("__slot") == F.col("__no_slot")), "left"
+            {
+                "__bucket": F.when(settled, F.xxhash64(*_hashable(big))).otherwise(F.xxhash64(key)),
+                "__join": F.when(~settled, F.col(key)),
+            }
         )
+        partners = narrow.withColumn("__key_bucket", F.xxhash64("__key"))
+        on_both = (F.col("__bucket") == F.col("__key_bucket")) & (F.col("__join") == F.col("__key"))
+        joined = tagged.join(partners, on_both, "left")
         answer = F.coalesce(F.col(hot_partner), F.col(partner))
     out = [F.col(c) for c in big.columns] + [answer.getField(v).alias(v) for v in names]
     if found:

@@ -160,17 +160,35 @@ class RuleSet:
                 return 1 << i
         raise KeyError(issue_type)
 
-    def mask(self, df: DataFrame, resolve: Resolver | None = None) -> Column:
-        """The row's bits for all rules that have a test and whose columns exist."""
+    def _active(self, df: DataFrame, resolve: Resolver | None) -> list[Rule]:
         have = set(df.columns)
-        resolve = resolve or F.col
-        bits = F.lit(0).cast("bigint")
-        for rule in self.rules:
-            if rule.test is None or (resolve is F.col and not have.issuperset(rule.columns)):
-                continue
-            bits = bits + F.when(rule.test(resolve), F.lit(self.bit(rule.issue_type))).otherwise(0)
+        return [r for r in self.rules if r.test and (resolve or have.issuperset(r.columns))]
+
+    def mask(self, df: DataFrame, resolve: Resolver | None = None, staying: bool = False) -> Column:
+        """The row's bits for all rules that have a test and whose columns exist.
+
+        With ``staying`` the dropping rules are passed over: their rows have
+        been filtered out by :meth:`keeps`.
+        """
+        bits = F.lit(0)
+        for rule in self._active(df, resolve):
+            if not (staying and rule.drops):
+                shown = rule.test(resolve or F.col)
+                bits = bits + F.when(shown, F.lit(self.bit(rule.issue_type))).otherwise(0)
         return bits.cast("bigint")
 
+    def keeps(self, df: DataFrame, resolve: Resolver | None = None) -> Column:
+        """True for rows that no dropping rule with a test applies to.
+
+        A filter on the mask would be pushed below it and evaluate every rule a
+        second time; this reads the dropping rules only.
+        """
+        dropping = F.lit(False)
+        for rule in self._active(df, resolve):
+            if rule.drops:
+                dropping = dropping | rule.test(resolve or F.col)
+        return ~dropping
+
     def set_bit(self, mask: Column, issue_type: str, where: Column) -> Column:
         """``mask`` with the bit of a join-decided issue set where it applies."""
         return mask.bitwiseOR(F.when(where, F.lit(self.bit(issue_type))).otherwise(0).cast("bigint"))
@@ -218,14 +236,17 @@ def issue_counts(df: DataFrame, rules: RuleSet) -> DataFrame:
     return wide.unpivot([], [r.issue_type for r in rules.rules], "issue_type", "records_affected")
 
 
-def split(df: DataFrame, rules: RuleSet, mask: str) -> tuple[DataFrame, DataFrame]:
-    """Rows that stay, and rows taken out with flag, handling and all their issues."""
+def removed(df: DataFrame, rules: RuleSet, mask: str) -> DataFrame:
+    """Rows that a rule takes out, with flag, handling and all their issues."""
     bits = F.col(mask)
-    out = df.filter(rules.dropped(bits)).withColumns(
-        {
-            "dq_flag": rules.flag(bits),
-            "dq_handling": rules.handling(bits),
-            "dq_issues": rules.issues(bits),
-        }
+    return (
+        df.filter(rules.dropped(bits))
+        .withColumns(
+            {
+                "dq_flag": rules.flag(bits),
+                "dq_handling": rules.handling(bits),
+                "dq_issues": rules.issues(bits),
+            }
+        )
+        .drop(mask)
     )
-    return df.filter(~rules.dropped(bits)), out.drop(mask)

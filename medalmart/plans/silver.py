@@ -9,7 +9,7 @@ from ..config import Table, TableRules
 from ..functions.conform import ISO_DATE, canonical_name, compose_timestamp, parse_date
 from ..operators.dedup import keep_first
 from ..operators.lookup import hot_keys, key_counts, lookup, unmatched
-from ..operators.rules import split
+from ..operators.rules import removed
 from ..operators.shape import flatten
 from ..sources.readers import CORRUPT
 from .bronze import MASK
@@ -66,13 +66,13 @@ def silver_frame(
     nor win over a good copy. Then one lookup and one deduplication shuffle.
     """
     flat = flatten(bronze, table.flatten)
-    masked = flat.withColumn(MASK, rules.rules.mask(flat))
-    staying = masked.filter(~rules.rules.dropped(F.col(MASK)))
+    staying = flat.filter(rules.rules.keeps(flat))
+    staying = staying.withColumn(MASK, rules.rules.mask(flat, staying=True))
     if parent is not None and table.link is not None:
         hot = hot_keys(key_counts(flat, table.link.field), table.link.field)
         staying = link(staying, table, rules, parent, hot)
-        if rules.orphan and rules.orphan_drops:
-            staying = staying.filter(~rules.rules.dropped(F.col(MASK)))
+        if rules.orphan_drops:
+            staying = staying.filter(F.col(table.link.field).isNull() | F.col(table.link.linked))
     first = keep_first(typed(staying, table, rules), table.key, table.order, mark=COPIES)
     bits = F.col(MASK)
     if rules.flag_survivors:
@@ -91,10 +91,11 @@ def removed_rows(
     this is one pass without a shuffle.
     """
     flat = flatten(bronze, table.flatten)
-    out = flat.withColumn(MASK, rules.rules.mask(flat))
-    if orphans is not None:
-        found = "__orphan"
-        field = table.link.field
-        out = lookup(out, orphans, (field, field), {}, found=found)
-        out = mark_orphans(out, table, rules, F.col(found)).drop(found)
-    return split(out, rules.rules, MASK)[1]
+    if orphans is None:
+        gone = flat.filter(~rules.rules.keeps(flat))
+        return removed(gone.withColumn(MASK, rules.rules.mask(flat)), rules.rules, MASK)
+    found, field = "__orphan", table.link.field
+    out = lookup(flat, orphans, (field, field), {}, found=found)
+    out = out.filter(F.col(found) | ~rules.rules.keeps(flat)).withColumn(MASK, rules.rules.mask(flat))
+    out = mark_orphans(out, table, rules, F.col(found)).drop(found)
+    return removed(out, rules.rules, MASK)
