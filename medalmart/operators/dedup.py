@@ -50,8 +50,8 @@ def keep_first(
     ranked = df.withColumn(rank, F.row_number().over(w))
     if mark is None:
         return ranked.filter(F.col(rank) == 1).drop(rank)
-    w2 = Window.partitionBy(*keys).orderBy(rank)
-    first_two = ranked.filter(F.col(rank) <= 2).withColumn(mark, F.lead(rank).over(w2).isNotNull())
+    # The same window again finds the rows distributed and sorted already.
+    first_two = ranked.filter(F.col(rank) <= 2).withColumn(mark, F.lead(rank).over(w).isNotNull())
     return first_two.filter(F.col(rank) == 1).drop(rank)
 
 

@@ -36,14 +36,20 @@ def numeric_profile(
 ) -> DataFrame:
     """Count, mean, standard deviation, extremes and exact quantiles per numeric column."""
     points = points or {"median": 0.5}
-    long = df.select(*[F.col(c).cast("double").alias(c) for c in columns]).unpivot([], list(columns), "column_name", "value")
-    moments = long.groupBy("column_name").agg(
-        F.count("value").alias("value_count"),
-        F.avg("value").alias("mean"),
-        F.stddev_samp("value").alias("stddev"),
-        F.min("value").alias("minimum"),
-        F.max("value").alias("maximum"),
-    )
+    per_column = []
+    for c in columns:
+        value = F.col(c).cast("double")
+        per_column.append(
+            F.struct(
+                F.lit(c).alias("column_name"),
+                F.count(value).alias("value_count"),
+                F.avg(value).alias("mean"),
+                F.stddev_samp(value).alias("stddev"),
+                F.min(value).alias("minimum"),
+                F.max(value).alias("maximum"),
+            )
+        )
+    moments = df.agg(F.array(*per_column).alias("c")).select(F.inline("c"))
     return moments.join(exact_quantiles(df, columns, points), "column_name", "left")
 
 

@@ -1,12 +1,15 @@
 import datetime as dt
 import json
+import sys
 from pathlib import Path
 
 import pytest
 from pyspark.sql import SparkSession
 
-import medalmart
-from medalmart.config import DEFAULTS, Model, compile_rules, default_rules
+sys.path.insert(0, str(Path(__file__).resolve().parents[1]))
+
+import medalmart  # noqa: E402
+from medalmart.config import Model, default_rules  # noqa: E402
 
 TESTDATA = Path("/root/testdata")
 RUN_AT = dt.datetime(2025, 6, 30, 8, 0, tzinfo=dt.timezone.utc)
@@ -115,7 +118,11 @@ def extracts(tmp_path):
     (src / "accounts.csv").write_text(ACCOUNTS, encoding="utf-8")
     (src / "transactions.jsonl").write_text("\n".join(TRANSACTIONS) + "\n", encoding="utf-8")
     return {
-        "input": {f"{n}_path": str(src / f) for n, f in [("customers", "customers.csv"), ("accounts", "accounts.csv"), ("transactions", "transactions.jsonl")]},
+        "input": {
+            "customers_path": str(src / "customers.csv"),
+            "accounts_path": str(src / "accounts.csv"),
+            "transactions_path": str(src / "transactions.jsonl"),
+        },
         "output": {f"{layer}_path": str(tmp_path / "out" / layer) for layer in ("bronze", "silver", "gold", "report")},
     }
 

@@ -1,0 +1,63 @@
+import duckdb
+import pytest
+
+import __spark_entry__ as entry
+from conftest import TESTDATA
+
+DIR = str(TESTDATA / "sf0.001")
+TABLES = ["nation", "region", "customer", "supplier", "part", "orders", "lineitem", "events"]
+
+# One query per kind of operator; tools/compare.py runs them all.
+QUICK = [
+    "age_band",
+    "bronze_stamp",
+    "chk_key_unique",
+    "chk_rerun_stable",
+    "csv_roundtrip",
+    "dedup_first",
+    "dq_duplicates",
+    "dq_flag_priority",
+    "dq_issue_counts",
+    "dq_orphan_flag",
+    "gold_dim_customer",
+    "gold_fact_lookup",
+    "jsonl_roundtrip",
+    "lookup_hot_keys",
+    "medallion_fact",
+    "profile_fanout",
+    "profile_numeric",
+    "quarantine_split",
+    "sk_dense",
+    "val_unlinked_accounts",
+]
+
+
+@pytest.fixture(scope="module")
+def oracle():
+    con = duckdb.connect()
+    for t in TABLES:
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{DIR}/{t}.parquet'")
+    return con
+
+
+def cells(record, names):
+    return repr(tuple(round(v, 6) if isinstance(v, float) else v for _, v in sorted(zip(names, record))))
+
+
+def test_every_query_has_its_sql():
+    assert set(entry.queries()) == set(entry.oracle_sql())
+
+
+def test_entry_has_rows(spark):
+    assert entry.entry(spark).count() == 3
+
+
+@pytest.mark.skipif(not TESTDATA.exists(), reason="no test data")
+@pytest.mark.parametrize("name", QUICK)
+def test_rows_agree_with_sql(spark, oracle, name):
+    df = entry.queries()[name](spark, DIR)
+    got = sorted(cells(r, df.columns) for r in df.collect())
+    cursor = oracle.execute(entry.oracle_sql()[name])
+    names = [c[0] for c in cursor.description]
+    assert sorted(names) == sorted(df.columns)
+    assert got == sorted(cells(r, names) for r in cursor.fetchall())

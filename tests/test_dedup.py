@@ -37,6 +37,7 @@ def test_copies_are_limited_before_the_shuffle(spark):
         text = plan(keep_first(df, ["k"], ["t"], mark))
         assert text.count("WindowGroupLimit") == 2 and text.count("Exchange") == 1
         assert text.rindex("WindowGroupLimit") > text.index("Exchange")
+        assert text.count("Sort [") == 2  # one on each side of the shuffle, none for the mark
 
 
 @settings(max_examples=6, deadline=None, suppress_health_check=list(HealthCheck))
