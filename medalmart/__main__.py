@@ -1,4 +1,4 @@
-"""Command line: ``python -m medalmart [run|bronze|silver|gold] [--config FILE]``."""
+"""Command line: ``python -m medalmart [run|bronze|silver|gold|check] [--config FILE]``."""
 
 from __future__ import annotations
 
@@ -14,6 +14,7 @@ STAGES = {
     "bronze": medallion.run_ingestion,
     "silver": medallion.run_transformation,
     "gold": medallion.run_provisioning,
+    "check": medallion.run_checks,
 }
 
 

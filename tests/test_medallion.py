@@ -9,7 +9,7 @@ import medalmart
 from conftest import RUN_AT
 from medalmart.__main__ import main
 from medalmart.operators.checks import rerun_check
-from medalmart.plans.validation import open_gold
+from medalmart.plans.validation import mart_checks, open_gold
 
 
 def by(df, key):
@@ -143,7 +143,8 @@ def test_stages_can_run_apart(spark, extracts, rules_doc, tmp_path, monkeypatch)
     config = {**extracts, "dq": {"rules_path": str(tmp_path / "dq_rules.yaml")}}
     (tmp_path / "pipeline_config.yaml").write_text(yaml.safe_dump(config))
     path = str(tmp_path / "pipeline_config.yaml")
-    for stage in ("bronze", "silver", "gold"):
+    assert main(["check", "--config", path]) == 1
+    for stage in ("bronze", "silver", "gold", "check"):
         assert main([stage, "--config", path]) == 0
     gold = open_gold(spark, extracts["output"]["gold_path"], ["fact_transactions", "dim_accounts", "dim_customers"])
     assert gold["fact_transactions"].count() == 17
@@ -172,6 +173,22 @@ def test_gold_contracts_hold(run):
     assert len(m.table("gold", "dim_customers").columns) == 9 and "dob" not in m.table("gold", "dim_customers").columns
 
 
+def test_broken_contracts_are_counted(spark, run, model):
+    m = run()
+    checks = {r.check: r.violations for r in m.checks().collect()}
+    assert len(checks) == 10 and not any(checks.values()) and m.unfilled() == []
+    gold = {n: m.table("gold", n) for n in [*model.dimensions, *model.facts]}
+    gold["dim_accounts"] = gold["dim_accounts"].filter("account_id = 'a1'").unionAll(gold["dim_accounts"].filter("account_id = 'a1'"))
+    gold["dim_customers"] = gold["dim_customers"].withColumnRenamed("gender", "sex")
+    found = {r.check: r.violations for r in mart_checks(gold, model, {"currency": "USD"}).collect() if r.violations}
+    assert found == {
+        "dim_accounts: account_sk": 1,
+        "dim_customers: schema": 2,
+        "fact_transactions: account_sk -> dim_accounts": 1,
+        "fact_transactions: currency = USD": 17,
+    }
+
+
 def test_silver_plan_moves_rows_once(spark, run):
     m = run()
     text = m.silver_frame("transactions")._jdf.queryExecution().executedPlan().toString()
