@@ -250,7 +250,7 @@ class Bank:
         self._texts = {"customers": PARTY, "accounts": ACCOUNT, "transactions": TX}
         self._stored: dict[str, str] = {}
 
-    def _at_rest(self, name: str, build: Callable[[], DataFrame]) -> DataFrame:
+    def at_rest(self, name: str, build: Callable[[], DataFrame]) -> DataFrame:
         if name not in self._stored:
             path = scratch_path(self.spark, name)
             build().write.parquet(path)
@@ -261,11 +261,14 @@ class Bank:
         return role(self.spark, self.sf_dir, self._texts[name])
 
     def bronze(self, name: str) -> DataFrame:
-        return self._at_rest(f"bronze-{name}", lambda: stamp(self.raw(name), RUN_AT))
+        return self.at_rest(f"bronze-{name}", lambda: stamp(self.raw(name), RUN_AT))
+
+    def stored_silver(self, name: str) -> DataFrame:
+        return self.at_rest(f"silver-{name}", lambda: self.silver(name))
 
     def parent(self, name: str) -> DataFrame | None:
         link = self.model.tables[name].link
-        return self._at_rest(f"silver-{link.table}", lambda: self.silver(link.table)) if link else None
+        return self.stored_silver(link.table) if link else None
 
     def silver(self, name: str) -> DataFrame:
         return self.silver_with_metrics(name).drop(MASK, COPIES)
@@ -275,7 +278,7 @@ class Bank:
 
     def dimension(self, name: str, keys: str = "hash") -> DataFrame:
         dim = self.model.dimensions[name]
-        return dimension_frame(self.silver(dim.table), dim, RUN_AT.date(), keys)
+        return dimension_frame(self.stored_silver(dim.table), dim, RUN_AT.date(), keys)
 
     def fact(self) -> DataFrame:
         spec = self.model.facts["fact_transactions"]

@@ -16,7 +16,7 @@ from medalmart.operators.checks import (
     rerun_check,
 )
 from medalmart.operators.dedup import keep_first
-from medalmart.operators.lookup import lookup
+from medalmart.operators.lookup import estimated_bytes, hot_keys, key_counts, lookup
 from medalmart.operators.rules import FLAGS
 from medalmart.plans.validation import group_distribution, unlinked, volume_by_type
 
@@ -73,9 +73,10 @@ WHERE rn = 1
 
 def star_volume(spark: SparkSession, d: str) -> DataFrame:
     """Deduplicate the facts, give them keys, resolve both dimensions, report by type."""
-    lines = table(spark, d, "lineitem")
-    first = keep_first(lines, LINE_KEY, ["l_shipdate", "l_partkey", "l_suppkey"])
-    facts = first.select(
+    order = ["l_shipdate", "l_partkey", "l_suppkey"]
+    # Only what the report needs enters the shuffle; the order leaves no ties.
+    lines = table(spark, d, "lineitem").select(*LINE_KEY, *order, "l_returnflag", "l_extendedprice")
+    facts = keep_first(lines, LINE_KEY, order).select(
         hash_key(*LINE_KEY).alias("line_sk"),
         "l_orderkey",
         "l_returnflag",
@@ -84,7 +85,11 @@ def star_volume(spark: SparkSession, d: str) -> DataFrame:
     parties = table(spark, d, "customer").withColumn("party_sk", hash_key("c_custkey"))
     orders = table(spark, d, "orders").select("o_orderkey", "o_custkey", hash_key("o_orderkey").alias("order_sk"))
     keys = lookup(orders, parties, ("o_custkey", "c_custkey"), {"party_sk": "party_sk"})
-    star = lookup(facts, keys, ("l_orderkey", "o_orderkey"), {"order_sk": "order_sk", "party_sk": "party_sk"})
+    # One row per order with one more column: no larger than the two tables together.
+    size = estimated_bytes(orders) + estimated_bytes(parties)
+    hot = hot_keys(key_counts(table(spark, d, "lineitem"), "l_orderkey"), "l_orderkey")
+    both = {"order_sk": "order_sk", "party_sk": "party_sk"}
+    star = lookup(facts, keys, ("l_orderkey", "o_orderkey"), both, hot=hot, size=size)
     linked = star.filter(F.col("order_sk").isNotNull() & F.col("party_sk").isNotNull())
     return volume_by_type(linked, "l_returnflag", "amount")
 
@@ -144,7 +149,8 @@ def _link_sql(name: str, child: str, key: str, parent: str, parent_key: str) ->
 )
 def chk_fk(spark: SparkSession, d: str) -> DataFrame:
     bank = Bank(spark, d)
-    accounts, parties, fact = bank.raw("accounts"), bank.raw("customers"), bank.fact()
+    accounts, parties = bank.raw("accounts"), bank.raw("customers")
+    fact = bank.at_rest("gold-fact", bank.fact)
     lines, orders = table(spark, d, "lineitem"), table(spark, d, "orders")
     return reference_check(
         {

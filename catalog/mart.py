@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from medalmart.config import default_rules
 from medalmart.functions.keys import hash_key
 from medalmart.operators.dedup import keep_first, split_null_keys
-from medalmart.operators.lookup import lookup
+from medalmart.operators.lookup import estimated_bytes, hot_keys, key_counts, lookup
 from medalmart.plans.gold import resolved_keys
 from medalmart.plans.medallion import Medallion
 from medalmart.sources.scratch import scratch_path
@@ -104,7 +104,9 @@ def gold_fact_lookup(spark: SparkSession, d: str) -> DataFrame:
     keys = resolved_keys(accounts, ("account_id", "account_sk", "customer_ref"), parties, ("customer_id", "customer_sk"))
     narrow = facts.select(hash_key("transaction_id").alias("transaction_sk"), "transaction_id", "account_id")
     both = {"account_sk": "account_sk", "customer_sk": "customer_sk"}
-    return lookup(narrow, keys, ("account_id", "account_id"), both).drop("account_id")
+    size = estimated_bytes(accounts.select("account_id", "account_sk")) + estimated_bytes(parties.select("customer_sk"))
+    hot = hot_keys(key_counts(role(spark, d, TX), "account_id"), "account_id")
+    return lookup(narrow, keys, ("account_id", "account_id"), both, hot=hot, size=size).drop("account_id")
 
 
 @query(

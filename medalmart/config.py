@@ -74,6 +74,10 @@ class Table:
     names: dict[str, list[str]] = field(default_factory=dict)
     link: Link | None = None
 
+    @property
+    def columns(self) -> list[str]:
+        return as_struct(self.schema).names
+
 
 @dataclass(frozen=True)
 class Dimension:

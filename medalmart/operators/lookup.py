@@ -23,10 +23,10 @@ def estimated_bytes(df: DataFrame) -> int:
     return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
 
 
-def fits_broadcast(df: DataFrame, limit: int | None = None) -> bool:
-    """Whether the estimated size stays within ``limit`` (default: the session's)."""
+def fits_broadcast(df: DataFrame, limit: int | None = None, size: int | None = None) -> bool:
+    """Whether ``size`` (default: the estimate) stays within ``limit`` (default: the session's)."""
     bound = broadcast_limit(df) if limit is None else limit
-    return estimated_bytes(df) <= bound
+    return (estimated_bytes(df) if size is None else size) <= bound
 
 
 def key_counts(df: DataFrame, key: str, n: str = "n") -> DataFrame:
@@ -48,6 +48,7 @@ def lookup(
     found: str | None = None,
     limit: int | None = None,
     hot: DataFrame | None = None,
+    size: int | None = None,
 ) -> DataFrame:
     """Left join that adds ``values`` (new name -> column of ``small``) to every row of ``big``.
 
@@ -59,7 +60,9 @@ def lookup(
     (fewer than :data:`HOT_SHARE`, found by counting) are answered from a
     broadcast of just those keys' partners, and that they and the rows with a
     null key are spread evenly instead of meeting in one partition. ``hot``
-    passes hot keys that are known already.
+    passes hot keys that are known already, or come cheaper from a stored table
+    than from ``big``. ``size`` bounds the bytes of ``small`` where the caller
+    knows better than the optimizer, which takes joins for products.
     """
     key, small_key = on
     names = list(values)
@@ -70,7 +73,7 @@ def lookup(
         F.col(small_key).alias("__key"),
         F.struct(*[F.col(c).alias(v) for v, c in values.items()], F.lit(True).alias("__found")).alias(partner),
     )
-    if fits_broadcast(narrow, limit):
+    if fits_broadcast(narrow, limit, size):
         joined = big.join(F.broadcast(narrow), F.col(key) == F.col("__key"), "left")
         answer = F.col(partner)
     else:

@@ -159,9 +159,12 @@ def test_unexpected_columns_are_reported_and_kept_in_bronze(spark, extracts, rul
     path = extracts["input"]["customers_path"]
     lines = open(path, encoding="utf-8").read().splitlines()
     open(path, "w", encoding="utf-8").write("\n".join([lines[0] + ",shoe", lines[1] + ",41"]) + "\n")
-    m = medalmart.Medallion(spark, extracts, rules_doc, run_at=RUN_AT)
+    with open(extracts["input"]["transactions_path"], "a", encoding="utf-8") as f:
+        f.write('{"transaction_id": "t77", "loyalty": 3}\n')
+    m = medalmart.Medallion(spark, {**extracts, "drift_scan": True}, rules_doc, run_at=RUN_AT)
     m.bronze()
-    assert m.drift["customers"].extra == ("shoe",)
+    assert m.drift["customers"].extra == ("shoe",) and m.drift["accounts"].extra == ()
+    assert m.drift["transactions"].extra == ("loyalty",)
     assert m.table("bronze", "customers").first().shoe == "41"
 
 
