@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 # A key is hot when it holds more than one in HOT_SHARE of all rows. At most
@@ -30,14 +30,14 @@ def fits_broadcast(df: DataFrame, limit: int | None = None, size: int | None = N
 
 
 def key_counts(df: DataFrame, key: str, n: str = "n") -> DataFrame:
-    """Rows per non-null key value. Reads one column and combines before the shuffle."""
-    return df.filter(F.col(key).isNotNull()).groupBy(key).agg(F.count(F.lit(1)).alias(n))
+    """Rows per key value, null included. Reads one column and combines before the shuffle."""
+    return df.groupBy(key).agg(F.count(F.lit(1)).alias(n))
 
 
 def hot_keys(counts: DataFrame, key: str, n: str = "n", share: int = HOT_SHARE) -> DataFrame:
-    """Keys with more than one in ``share`` of the counted rows: fewer than ``share`` keys."""
+    """Keys with more than one in ``share`` of the counted rows (fewer than ``share``), and null."""
     total = counts.agg(F.sum(n)).scalar()
-    return counts.filter(F.col(n) * share > total).select(key)
+    return counts.filter((F.col(n) * share > total) | F.col(key).isNull()).select(key)
 
 
 def lookup(
@@ -56,60 +56,46 @@ def lookup(
     there. ``found`` names a boolean column telling whether there was a partner.
 
     A ``small`` within the size limit is broadcast and ``big`` does not move.
-    Beyond it both sides are shuffled by key, except that rows of the hot keys
-    (fewer than :data:`HOT_SHARE`, found by counting) are answered from a
-    broadcast of just those keys' partners, and that they and the rows with a
-    null key are spread evenly instead of meeting in one partition. ``hot``
-    passes hot keys that are known already, or come cheaper from a stored table
-    than from ``big``. ``size`` bounds the bytes of ``small`` where the caller
-    knows better than the optimizer, which takes joins for products.
+    Beyond it both sides are shuffled by key, except for the rows of hot keys
+    and of null keys: those stay where they are, and the hot ones are answered
+    from a broadcast of just their keys' partners. A count per key, of which
+    fewer than :data:`HOT_SHARE` values reach the driver, tells the hot keys.
+    ``hot`` passes them where they are known or come cheaper from a stored table
+    than from ``big``; any set of keys gives the same result. ``size`` bounds the
+    bytes of ``small`` where the caller knows better than the optimizer, which
+    takes joins for products.
     """
     key, small_key = on
     names = list(values)
     if dict(big.dtypes)[key] != dict(small.dtypes)[small_key]:
         raise ValueError(f"{key} and {small_key} differ in type")
-    partner, hot_partner = "__partner", "__hot_partner"
+    partner = "__partner"
     narrow = small.filter(F.col(small_key).isNotNull()).select(
         F.col(small_key).alias("__key"),
         F.struct(*[F.col(c).alias(v) for v, c in values.items()], F.lit(True).alias("__found")).alias(partner),
     )
+    same = F.col(key) == F.col("__key")
     if fits_broadcast(narrow, limit, size):
-        joined = big.join(F.broadcast(narrow), F.col(key) == F.col("__key"), "left")
-        answer = F.col(partner)
+        joined = big.join(F.broadcast(narrow), same, "left")
     else:
-        if hot is None:
-            hot = hot_keys(key_counts(big, key), key)
-        # Fewer than HOT_SHARE keys, so both broadcasts are bounded by that number.
-        hot = F.broadcast(hot.select(F.col(key).alias("__hot")))
-        hot_partners = narrow.join(hot, F.col("__key") == F.col("__hot")).select(
-            F.col("__hot").alias("__hot_key"), F.col(partner).alias(hot_partner)
-        )
-        tagged = big.join(hot, F.col(key) == F.col("__hot"), "left").join(
-            F.broadcast(hot_partners), F.col(key) == F.col("__hot_key"), "left"
-        )
-        # Settled rows need no partner any more. Their bucket is a hash of the whole
-        # row (the same again if the task is retried), all others have the hash of
-        # the key, which the partners have too.
-        settled = F.col("__hot").isNotNull() | F.col(key).isNull()
-        tagged = tagged.withColumns(
-            {
-                "__bucket": F.when(settled, F.xxhash64(*_hashable(big))).otherwise(F.xxhash64(key)),
-                "__join": F.when(~settled, F.col(key)),
-            }
-        )
-        partners = narrow.withColumn("__key_bucket", F.xxhash64("__key"))
-        on_both = (F.col("__bucket") == F.col("__key_bucket")) & (F.col("__join") == F.col("__key"))
-        joined = tagged.join(partners, on_both, "left")
-        answer = F.coalesce(F.col(hot_partner), F.col(partner))
+        found_hot = hot_keys(key_counts(big, key), key) if hot is None else hot
+        settled = [r[0] for r in found_hot.select(key).collect()]
+        joined = big.join(narrow, same, "left") if not settled else _split_join(big, key, narrow, settled)
+    answer = F.col(partner)
     out = [F.col(c) for c in big.columns] + [answer.getField(v).alias(v) for v in names]
     if found:
         out.append(F.coalesce(answer.getField("__found"), F.lit(False)).alias(found))
     return joined.select(*out)
 
 
-def _hashable(df: DataFrame) -> list[Column]:
-    simple = [c for c, t in df.dtypes if not t.startswith(("map", "variant"))]
-    return [F.col(c) for c in simple]
+def _split_join(big: DataFrame, key: str, narrow: DataFrame, settled: list) -> DataFrame:
+    values = [v for v in settled if v is not None]
+    hot_partners = F.broadcast(narrow.filter(F.col("__key").isin(values)))
+    here = F.col(key).isNull() | F.col(key).isin(values)
+    there = F.col(key).isNotNull() & ~F.col(key).isin(values)
+    same = F.col(key) == F.col("__key")
+    staying = big.filter(here).join(hot_partners, same, "left")
+    return staying.unionByName(big.filter(there).join(narrow, same, "left"))
 
 
 def unmatched(child: DataFrame, key: str, parent: DataFrame, parent_key: str, n: str = "n") -> DataFrame:
@@ -118,6 +104,6 @@ def unmatched(child: DataFrame, key: str, parent: DataFrame, parent_key: str, n:
     The child rows are counted per key first, so the anti-join meets each key
     once and neither side is skewed. Null keys are no references and not counted.
     """
-    counts = key_counts(child, key, n)
+    counts = key_counts(child.filter(F.col(key).isNotNull()), key, n)
     known = parent.select(F.col(parent_key).alias("__known"))
     return counts.join(known, F.col(key) == F.col("__known"), "left_anti")

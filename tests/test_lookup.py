@@ -25,24 +25,33 @@ def test_both_ways_equal_the_plain_join(big, small, limit):
 
 
 def test_large_side_is_not_broadcast_and_hot_keys_are_few(spark, big, small):
-    assert [r.ref for r in hot_keys(key_counts(big, "ref"), "ref").collect()] == [1]
+    assert {r.ref for r in hot_keys(key_counts(big, "ref"), "ref").collect()} == {1, None}
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
     try:
         assert not fits_broadcast(small)
         out = lookup(big, small, ("ref", "k"), {"value": "v"})
         text = out._jdf.queryExecution().executedPlan().toString()
-        assert "SortMergeJoin [__bucket" in text or "ShuffledHashJoin [__bucket" in text
-        # Keys with one in HOT_SHARE of the rows or more are settled before; what
-        # is left, with the settled and null rows, is spread over all partitions.
+        assert "SortMergeJoin [ref" in text or "ShuffledHashJoin [ref" in text
+        assert "BroadcastHashJoin [ref" in text
+        # Hot and null rows stay in their four input partitions; the rest is shuffled into four.
         spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
         sizes = [r["count"] for r in out.groupBy(F.spark_partition_id().alias("p")).count().collect()]
-        assert len(sizes) == 4 and max(sizes) < 30_000 * 0.3
+        assert len(sizes) == 8 and max(sizes) < 30_000 * 0.3
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
         spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
     assert HOT_SHARE <= 10_000
 
 
+def test_any_set_of_hot_keys_gives_the_same_rows(spark, big, small):
+    narrow = big.select("ref")  # many identical rows
+    want = lookup(narrow, small, ("ref", "k"), {"value": "v"}, found="found")
+    for keys in ([], [1], [None], [1, None, 5, 950]):
+        hot = spark.createDataFrame([(k,) for k in keys], "ref bigint")
+        got = lookup(narrow, small, ("ref", "k"), {"value": "v"}, found="found", limit=0, hot=hot)
+        assert got.exceptAll(want).isEmpty() and want.exceptAll(got).isEmpty()
+
+
 def test_size_check_uses_the_estimate(small):
     assert fits_broadcast(small, estimated_bytes(small)) and not fits_broadcast(small, estimated_bytes(small) - 1)
 
