@@ -11,10 +11,12 @@ from pyspark.sql import DataFrame, SparkSession
 from medalmart.llm.common import stored, table
 from medalmart.llm.language import stage_language
 from medalmart.llm.mixing import stage_mixing
+from medalmart.llm.near_dup import stage_near_dup
 from medalmart.llm.token_planes import stage_tokens
 
 STAGES = [
     ("language", stage_language),
+    ("near_duplicates", stage_near_dup),
     ("mixing", stage_mixing),
     ("tokens", stage_tokens),
 ]
