@@ -46,8 +46,8 @@ MAGIC = b"BPL1"
 BLOCK = 1 << 16
 END_ID = 1
 TOKENIZER = "word_bpe_49k.json"
-#: Pieces of text whose ids a worker remembers, and characters that it works on at once.
-REMEMBERED, AT_ONCE = 400_000, 4 << 20
+#: Bytes of text that a worker encodes at once; a longer text alone.
+AT_ONCE = 8 << 20
 
 
 def tokenizer_path(name: str = TOKENIZER) -> str:
@@ -162,50 +162,67 @@ class ShardReader:
 
 
 class Encoder:
-    """Ids of whole texts. White space ends a word of this tokenizer, and so does a comma or stop
-    between a letter and white space; each such piece is encoded once and its ids remembered."""
+    """Ids of whole texts, each distinct piece of many texts encoded once.
+
+    White space ends a word of this tokenizer, and so does a comma or stop between a letter and
+    white space. Pieces of Latin letters alone need none of its clean-up but lower case; they go
+    to the same vocabulary and merges in long rows, in which each word's last id tells its end.
+    """
+
+    #: Lower-case letters for which lower case and composition change nothing else.
+    LATIN = r"^[a-z\x{DF}-\x{F6}\x{F8}-\x{FF}]+$"
+    ROW = 2000
 
     def __init__(self, path: str) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
-
-        self.tokenizer = Tokenizer.from_file(path)
-        self._forget()
-
-    def _forget(self) -> None:
-        self.known: dict[str, int] = {}
-        self.flat = np.empty(0, np.uint32)
-        self.ends = np.zeros(1, np.int64)
-
-    def _places(self, pieces: list[str]) -> np.ndarray:
-        """Where in ``ends`` each of the distinct pieces is."""
-        if len(self.known) > REMEMBERED:
-            self._forget()
-        known = self.known
-        new = [p for p in pieces if p not in known]
-        if new:
-            encoded = [e.ids for e in self.tokenizer.encode_batch_fast(new, add_special_tokens=False)]
-            known.update(zip(new, range(len(known), len(known) + len(new)), strict=True))
-            lengths = np.fromiter(map(len, encoded), np.int64, len(encoded))
-            self.flat = np.concatenate([self.flat, np.fromiter((i for e in encoded for i in e), np.uint32, lengths.sum())])
-            self.ends = np.concatenate([self.ends, self.ends[-1] + np.cumsum(lengths)])
-        return np.fromiter(map(known.__getitem__, pieces), np.int64, len(pieces))
+        from tokenizers import Tokenizer, normalizers, pre_tokenizers
+
+        self.whole, self.bare = Tokenizer.from_file(path), Tokenizer.from_file(path)
+        self.bare.normalizer = normalizers.Sequence([])
+        self.bare.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+        vocabulary = self.whole.get_vocab()
+        self.last = np.zeros(max(vocabulary.values()) + 1, np.bool_)
+        self.last[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
+
+    def _latin(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        rows = [" ".join(pieces[i : i + self.ROW]) for i in range(0, len(pieces), self.ROW)]
+        ids = np.concatenate([np.array(e.ids, np.uint32) for e in self.bare.encode_batch_fast(rows, add_special_tokens=False)])
+        return np.diff(np.flatnonzero(self.last[ids]) + 1, prepend=0), ids
+
+    def _other(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        ids = [e.ids for e in self.whole.encode_batch_fast(pieces, add_special_tokens=False)]
+        lengths = np.fromiter(map(len, ids), np.int64, len(ids))
+        return lengths, np.fromiter((i for x in ids for i in x), np.uint32, lengths.sum())
 
     def __call__(self, texts: pa.Array, end_id: int) -> tuple[np.ndarray, np.ndarray]:
         """Number of ids of each text, and all ids; every text ends with ``end_id``."""
-        spaced = pc.replace_substring_regex(texts, r"(\pL)([.,])(\s|$)", r"\1 \2\3")
+        spaced = pc.replace_substring_regex(pc.ascii_lower(texts), r"(\pL)([.,])(\s|$)", r"\1 \2\3")
         split = pc.ascii_split_whitespace(spaced)
         n_pieces = pc.list_value_length(split).to_numpy(zero_copy_only=False)
         coded = split.flatten().dictionary_encode()
-        place = self._places(coded.dictionary.to_pylist())[coded.indices.to_numpy(zero_copy_only=False)] if len(coded) else np.empty(0, np.int64)
-        first, length = self.ends[place], self.ends[place + 1] - self.ends[place]
+        pieces, codes = coded.dictionary, coded.indices.to_numpy(zero_copy_only=False)
+        latin = pc.match_substring_regex(pieces, self.LATIN)
+        lengths, flats = np.zeros(len(pieces), np.int64), []
+        order = []
+        for mask, encode in ((latin, self._latin), (pc.invert(latin), self._other)):
+            at = np.flatnonzero(mask.to_numpy(zero_copy_only=False))
+            if len(at):
+                lengths[at], flat = encode(pieces.filter(mask).to_pylist())
+                flats.append(flat)
+                order.append(at)
+        starts = np.zeros(len(pieces), np.int64)
+        if order:
+            at = np.concatenate(order)
+            starts[at] = np.cumsum(lengths[at]) - lengths[at]
+        first, length = starts[codes], lengths[codes]
         upto = np.concatenate(([0], np.cumsum(length)))
         text_end = upto[np.cumsum(n_pieces)]
         counts = np.diff(text_end, prepend=0) + 1
         ids = np.full(counts.sum(), end_id, np.uint32)
         own = np.ones(len(ids), np.bool_)
         own[np.cumsum(counts) - 1] = False
-        ids[own] = self.flat[np.repeat(first - upto[:-1], length) + np.arange(upto[-1])]
+        if order:
+            ids[own] = np.concatenate(flats)[np.repeat(first - upto[:-1], length) + np.arange(upto[-1])]
         return counts, ids
 
 
