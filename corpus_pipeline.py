@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from medalmart.llm.common import stored, table
+from medalmart.llm.decontaminate import stage_decontaminate
 from medalmart.llm.language import stage_language
 from medalmart.llm.mixing import stage_mixing
 from medalmart.llm.near_dup import stage_near_dup
@@ -17,6 +18,7 @@ from medalmart.llm.token_planes import stage_tokens
 STAGES = [
     ("language", stage_language),
     ("near_duplicates", stage_near_dup),
+    ("decontamination", stage_decontaminate),
     ("mixing", stage_mixing),
     ("tokens", stage_tokens),
 ]
