@@ -47,7 +47,7 @@ BLOCK = 1 << 16
 END_ID = 1
 TOKENIZER = "word_bpe_49k.json"
 #: Bytes of text that a worker encodes at once; a longer text alone.
-AT_ONCE = 8 << 20
+AT_ONCE = 12 << 20
 
 
 def tokenizer_path(name: str = TOKENIZER) -> str:
@@ -77,7 +77,7 @@ def from_planes(planes: np.ndarray, n: int) -> np.ndarray:
 class ShardWriter:
     """Writes ids document by document; holds a block of them and the list of documents."""
 
-    def __init__(self, sink, unit: str = "byte", block: int = BLOCK, level: int = 3) -> None:
+    def __init__(self, sink, unit: str = "byte", block: int = BLOCK, level: int = 1) -> None:
         self.sink, self.unit, self.block = sink, unit, block
         self.packer = zstandard.ZstdCompressor(level=level)
         self.held: list[np.ndarray] = []
