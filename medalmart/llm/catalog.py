@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from .mixing import MIXING_SQL, op1_source_mixing
+from .suffix_dedup import op9_suffix_dedup
 from .token_planes import op5_token_planes
 from .decontaminate import op6_decontaminate
 from .language import op10_language
@@ -13,6 +14,7 @@ QUERIES = {
     "op5_token_planes": op5_token_planes,
     "op6_decontaminate": op6_decontaminate,
     "op7_near_dup": op7_near_dup,
+    "op9_suffix_dedup": op9_suffix_dedup,
     "op10_language": op10_language,
 }
 SQL = {"op1_source_mixing": MIXING_SQL}
