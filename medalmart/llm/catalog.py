@@ -5,12 +5,14 @@ from __future__ import annotations
 from .mixing import MIXING_SQL, op1_source_mixing
 from .suffix_dedup import op9_suffix_dedup
 from .token_planes import op5_token_planes
+from .block_search import op3_block_search
 from .decontaminate import op6_decontaminate
 from .language import op10_language
 from .near_dup import op7_near_dup
 
 QUERIES = {
     "op1_source_mixing": op1_source_mixing,
+    "op3_block_search": op3_block_search,
     "op5_token_planes": op5_token_planes,
     "op6_decontaminate": op6_decontaminate,
     "op7_near_dup": op7_near_dup,
