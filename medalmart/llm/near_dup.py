@@ -12,8 +12,9 @@ Texts that share a band are candidates; their multisets decide exactly. Linked t
 Not all pairs of a band's bucket are looked at: members already in one class need no link between
 them. In every round some members of a bucket are compared with all that are in other classes; a
 bucket is done when its members are one class, or when all members outside its largest class have
-been compared with the rest. So no candidate pair that would join two classes is left out, and a
-bucket with n members in one group costs about n comparisons.
+been compared with the rest, but for pairs that can't be similar enough by their sizes and by the
+shingles that no other member has. So no link between two classes is left out, and a bucket with n
+members in one group costs about n comparisons.
 
 Defined results: null and empty texts are never duplicates; texts without a word are duplicates of
 equal texts only; a text of fewer than five words is one shingle; repeated rows are copies; an empty
@@ -148,25 +149,62 @@ def _links(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return both.select("u", "v", "left", "right").mapInArrow(_verified, "u binary, v binary")
 
 
-def _pivots(spread: DataFrame, done: DataFrame | None, turn: int) -> DataFrame:
-    """Members to compare with the rest of their bucket.
+def _shingled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        texts = batch.column(1).to_pylist()
+        for a, b in slices([len(t) for t in texts], AT_ONCE):
+            doc, shingle, count = _weighted(texts[a:b])
+            yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a).take(pa.array(doc)), pa.array(shingle.view(np.int64)), pa.array(count, pa.int64())], ["content", "shingle", "count"])
+
+
+def _shared_sizes(texts: DataFrame) -> DataFrame:
+    """``content, size, shared``: shingles of each text, and how many of them any other of these texts has."""
+    rows = texts.select("content", "text").mapInArrow(_shingled, "content binary, shingle bigint, count bigint")
+    single = rows.groupBy("shingle").agg(F.count("*").alias("texts"), F.any_value("content").alias("content"), F.any_value("count").alias("count"))
+    size = rows.groupBy("content").agg(F.sum("count").alias("size"))
+    own = single.where("texts = 1").groupBy("content").agg(F.sum("count").alias("own"))
+    return size.join(own, "content", "left").select("content", "size", (F.col("size") - F.coalesce("own", F.lit(0))).alias("shared"))
+
+
+def _most(shared: Column, size: Column, other: Column) -> Column:
+    """Upper bound of the similarity of two texts, one of which has ``shared`` shingles that it can share."""
+    return shared / (size + F.greatest(other, shared) - shared)
+
+
+def _able(spread: DataFrame, sizes: DataFrame | None) -> DataFrame:
+    """Members that could be similar enough to some other of their bucket, going by sizes alone.
+
+    Near-copies of one text differ from each other at twice the places at which they differ from the
+    text, so large groups have many members that are similar to few or none. A shingle that no other
+    member has can't be shared: that settles most of them without a comparison.
+    """
+    if sizes is None:
+        return spread.withColumn("size", F.lit(0).cast("long")).withColumn("shared", F.lit(0).cast("long"))
+    sized = spread.join(sizes, "content")
+    least = sized.groupBy("bucket").agg(F.min("size").alias("least"))
+    return sized.join(least, "bucket").where(_most(F.col("shared"), F.col("size"), F.col("least")) >= SIMILARITY - 1e-9).drop("least")
+
+
+def _pivots(able: DataFrame, done: DataFrame | None, turn: int) -> DataFrame:
+    """Members to compare with the rest of their bucket, the most central first.
 
     First one, then two and four of any class: in a large group they soon join most of the rest.
     Then those outside the bucket's largest class, four times as many each turn, until none is left.
     Where only a few are outside, all of them at once.
     """
-    sizes = spread.groupBy("bucket", "class").agg(F.count("*").alias("n"))
+    sizes = able.groupBy("bucket", "class").agg(F.count("*").alias("n"))
     shape = sizes.groupBy("bucket").agg(F.sum("n").alias("all"), F.max(F.struct("n", "class")).alias("top"))
     shape = shape.where("all > top.n").select("bucket", F.col("top.class").alias("main"), (F.col("all") - F.col("top.n")).alias("outside"))
-    able = spread.join(shape, "bucket")
+    able = able.join(shape, "bucket")
     if done is not None:
         able = able.join(done, ["bucket", "content"], "left_anti")
     outside = F.col("class") != F.col("main")
     wanted = outside if turn >= 3 else outside | (F.col("outside") > FEW)
     limit = F.when(F.col("outside") <= FEW, FEW).otherwise(1 << turn if turn < 3 else 4**turn)
-    order = Window.partitionBy("bucket").orderBy(F.xxhash64("content", F.lit(turn)), "content")
+    order = Window.partitionBy("bucket").orderBy(F.desc("weight"), "content")
     ranked = able.where(wanted).withColumn("nth", F.row_number().over(order))
-    return ranked.where((F.col("nth") <= max(FEW, 4**turn)) & (F.col("nth") <= limit)).select("bucket", F.col("content").alias("pivot"), F.col("class").alias("pivot_class"))
+    ranked = ranked.where((F.col("nth") <= max(FEW, 4**turn)) & (F.col("nth") <= limit))
+    return ranked.select("bucket", F.col("content").alias("pivot"), F.col("class").alias("pivot_class"), F.col("size").alias("pivot_size"), F.col("shared").alias("pivot_shared"))
 
 
 def content(text: Column) -> Column:
@@ -179,18 +217,32 @@ def classes(docs: DataFrame, key: str = "doc_id", text: str = "text") -> tuple[D
     kind = rows.schema["key"].dataType.simpleString()
     signed = stored(rows.select("key", "content", "text").mapInArrow(_banded, f"key {kind}, content binary, bands array<bigint>"), "signatures")
     each = signed.select("content", "bands").groupBy("content").agg(F.any_value("bands").alias("bands")).select("content", F.explode("bands").alias("bucket"))
-    shared = each.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1").select("bucket")
-    members = stored(each.join(shared, "bucket"), "members")
+    shared = each.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1")
+    weight = F.sum("n").over(Window.partitionBy("content")).alias("weight")
+    members = stored(each.join(shared, "bucket").select("bucket", "content", weight), "members")
     needed = members.select("content").distinct()
     texts = stored(rows.select("content", "text").join(needed, "content", "left_semi").groupBy("content").agg(F.any_value("text").alias("text")), "texts")
     known = stored(needed.select(F.col("content").alias("node"), F.col("content").alias("class")), "classes")
-    done, turn = None, 0
+    done = sizes = None
+    turn = 0
     while True:
         spread = members.join(known.withColumnRenamed("node", "content"), "content")
-        pivots = stored(_pivots(spread, done, turn), "pivots")
+        if turn == 1:
+            # Buckets that the most central members have not made one class, and what their texts can share.
+            open_ = spread.groupBy("bucket").agg(F.min("class").alias("a"), F.max("class").alias("b")).where("a < b").select("bucket")
+            members = stored(members.join(open_, "bucket"), "members")
+            sizes = stored(_shared_sizes(texts.join(members.select("content").distinct(), "content", "left_semi")), "sizes")
+            spread = members.join(known.withColumnRenamed("node", "content"), "content")
+        able = _able(spread, sizes)
+        pivots = stored(_pivots(able, done, turn), "pivots")
         if pivots.isEmpty():
             break
-        pairs = spread.join(pivots, "bucket").where("class != pivot_class").select(F.least("content", "pivot").alias("u"), F.greatest("content", "pivot").alias("v")).distinct()
+        met = F.col("class") != F.col("pivot_class")
+        if sizes is not None:
+            most = F.least("shared", "pivot_shared")
+            met &= most / (F.col("size") + F.col("pivot_size") - most) >= SIMILARITY - 1e-9
+        pairs = able.join(pivots.withColumnRenamed("bucket", "b"), (F.col("bucket") == F.col("b")) & met)
+        pairs = pairs.select(F.least("content", "pivot").alias("u"), F.greatest("content", "pivot").alias("v")).distinct()
         links = stored(_links(pairs, texts), "links")
         named = known.select(F.col("node").alias("u"), F.col("class").alias("cu"))
         edges = links.join(named, "u").join(named.toDF("v", "cv"), "v").select(F.col("cu").alias("u"), F.col("cv").alias("v"))
