@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 from .mixing import MIXING_SQL, op1_source_mixing
+from .quality import op4_quality_gam
 from .suffix_dedup import op9_suffix_dedup
 from .token_planes import op5_token_planes
+from .toxicity import op2_toxic_clauses
 from .block_search import op3_block_search
 from .decontaminate import op6_decontaminate
 from .language import op10_language
@@ -12,7 +14,9 @@ from .near_dup import op7_near_dup
 
 QUERIES = {
     "op1_source_mixing": op1_source_mixing,
+    "op2_toxic_clauses": op2_toxic_clauses,
     "op3_block_search": op3_block_search,
+    "op4_quality_gam": op4_quality_gam,
     "op5_token_planes": op5_token_planes,
     "op6_decontaminate": op6_decontaminate,
     "op7_near_dup": op7_near_dup,
