@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from .line_runs import op8_line_runs
 from .mixing import MIXING_SQL, op1_source_mixing
 from .quality import op4_quality_gam
 from .suffix_dedup import op9_suffix_dedup
@@ -20,6 +21,7 @@ QUERIES = {
     "op5_token_planes": op5_token_planes,
     "op6_decontaminate": op6_decontaminate,
     "op7_near_dup": op7_near_dup,
+    "op8_line_runs": op8_line_runs,
     "op9_suffix_dedup": op9_suffix_dedup,
     "op10_language": op10_language,
 }
