@@ -21,6 +21,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import crc_mod, slices, table, without
 from .texts import bounds, code_points, mixed, tables
@@ -201,9 +202,11 @@ def predict(docs: DataFrame, model: dict, text: str = "text", spans: bool = Fals
     kept = without(docs, names)
     row = F.struct(*kept).alias("row") if kept else F.struct(F.lit(0).alias("none")).alias("row")
     rows = docs.select(row, F.col(text).cast("string").alias("text"))
-    kind = rows.schema["row"].dataType.simpleString()
-    more = ", spans array<struct<start: bigint, end: bigint, lang: string>>" if spans else ""
-    out = rows.mapInArrow(_predictor(model, spans), f"row {kind}, lang_pred string, score double{more}")
+    fields = [rows.schema["row"], T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())]
+    if spans:
+        span = T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType()), T.StructField("lang", T.StringType())])
+        fields.append(T.StructField("spans", T.ArrayType(span)))
+    out = rows.mapInArrow(_predictor(model, spans), T.StructType(fields))
     return out.select("row.*", *names) if kept else out.select(*names)
 
 

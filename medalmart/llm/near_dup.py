@@ -42,6 +42,8 @@ BANDS, ROWS = 25, 5
 AT_ONCE = 1 << 20
 #: Members of a bucket outside its largest class that are all compared at once.
 FEW = 4
+#: Growth of the number of a bucket's members that are compared in one turn.
+MANY = 32
 
 
 def _weighted(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -138,15 +140,15 @@ def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             n = stop - start
             found = overlaps(both.take(pa.array(at)).to_pylist(), codes[:n], codes[n:]) >= SIMILARITY
             mask = pa.array(found)
-            yield pa.RecordBatch.from_arrays([part.column(0).filter(mask), part.column(1).filter(mask)], ["u", "v"])
+            yield pa.RecordBatch.from_arrays([part.column(4).filter(mask), part.column(5).filter(mask)], ["u", "v"])
 
 
 def _links(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """Of the pairs of contents, those that are similar enough. A hot content is many rows on one
+    """Classes of those pairs of contents that are similar enough. A hot content is many rows on one
     side of a join and one on the other, which adaptive execution splits."""
     left = pairs.join(texts.select(F.col("content").alias("v"), F.col("text").alias("right")), "v")
     both = left.join(texts.select(F.col("content").alias("u"), F.col("text").alias("left")), "u")
-    return both.select("u", "v", "left", "right").mapInArrow(_verified, "u binary, v binary")
+    return both.select("u", "v", "left", "right", "cu", "cv").mapInArrow(_verified, "u binary, v binary")
 
 
 def _shingled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -188,8 +190,8 @@ def _able(spread: DataFrame, sizes: DataFrame | None) -> DataFrame:
 def _pivots(able: DataFrame, done: DataFrame | None, turn: int) -> DataFrame:
     """Members to compare with the rest of their bucket, the most central first.
 
-    First one, then two and four of any class: in a large group they soon join most of the rest.
-    Then those outside the bucket's largest class, four times as many each turn, until none is left.
+    At first one of each bucket: in a large group around one text it joins most of the rest. Then
+    those outside the bucket's largest class, ``MANY`` times as many each turn, until none is left.
     Where only a few are outside, all of them at once.
     """
     sizes = able.groupBy("bucket", "class").agg(F.count("*").alias("n"))
@@ -199,11 +201,11 @@ def _pivots(able: DataFrame, done: DataFrame | None, turn: int) -> DataFrame:
     if done is not None:
         able = able.join(done, ["bucket", "content"], "left_anti")
     outside = F.col("class") != F.col("main")
-    wanted = outside if turn >= 3 else outside | (F.col("outside") > FEW)
-    limit = F.when(F.col("outside") <= FEW, FEW).otherwise(1 << turn if turn < 3 else 4**turn)
+    wanted = outside if turn else outside | (F.col("outside") > FEW)
+    limit = F.when(F.col("outside") <= FEW, FEW).otherwise(MANY**turn)
     order = Window.partitionBy("bucket").orderBy(F.desc("weight"), "content")
     ranked = able.where(wanted).withColumn("nth", F.row_number().over(order))
-    ranked = ranked.where((F.col("nth") <= max(FEW, 4**turn)) & (F.col("nth") <= limit))
+    ranked = ranked.where((F.col("nth") <= max(FEW, MANY**turn)) & (F.col("nth") <= limit))
     return ranked.select("bucket", F.col("content").alias("pivot"), F.col("class").alias("pivot_class"), F.col("size").alias("pivot_size"), F.col("shared").alias("pivot_shared"))
 
 
@@ -219,21 +221,20 @@ def classes(docs: DataFrame, key: str = "doc_id", text: str = "text") -> tuple[D
     each = signed.select("content", "bands").groupBy("content").agg(F.any_value("bands").alias("bands")).select("content", F.explode("bands").alias("bucket"))
     shared = each.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1")
     weight = F.sum("n").over(Window.partitionBy("content")).alias("weight")
-    members = stored(each.join(shared, "bucket").select("bucket", "content", weight), "members")
+    members = stored(each.join(shared, "bucket").select("bucket", "content", weight, F.col("content").alias("class")), "members")
     needed = members.select("content").distinct()
     texts = stored(rows.select("content", "text").join(needed, "content", "left_semi").groupBy("content").agg(F.any_value("text").alias("text")), "texts")
-    known = stored(needed.select(F.col("content").alias("node"), F.col("content").alias("class")), "classes")
+    known = texts.select(F.col("content").alias("node"), F.col("content").alias("class"))
     done = sizes = None
     turn = 0
     while True:
-        spread = members.join(known.withColumnRenamed("node", "content"), "content")
         if turn == 1:
-            # Buckets that the most central members have not made one class, and what their texts can share.
-            open_ = spread.groupBy("bucket").agg(F.min("class").alias("a"), F.max("class").alias("b")).where("a < b").select("bucket")
+            # Buckets that their most central members have not made one class, and what their texts can share.
+            open_ = members.groupBy("bucket").agg(F.min("class").alias("a"), F.max("class").alias("b")).where("a < b").select("bucket")
             members = stored(members.join(open_, "bucket"), "members")
             sizes = stored(_shared_sizes(texts.join(members.select("content").distinct(), "content", "left_semi")), "sizes")
-            spread = members.join(known.withColumnRenamed("node", "content"), "content")
-        able = _able(spread, sizes)
+            members = stored(_able(members, sizes), "members")
+        able = members if turn else _able(members, None)
         pivots = stored(_pivots(able, done, turn), "pivots")
         if pivots.isEmpty():
             break
@@ -242,12 +243,12 @@ def classes(docs: DataFrame, key: str = "doc_id", text: str = "text") -> tuple[D
             most = F.least("shared", "pivot_shared")
             met &= most / (F.col("size") + F.col("pivot_size") - most) >= SIMILARITY - 1e-9
         pairs = able.join(pivots.withColumnRenamed("bucket", "b"), (F.col("bucket") == F.col("b")) & met)
-        pairs = pairs.select(F.least("content", "pivot").alias("u"), F.greatest("content", "pivot").alias("v")).distinct()
-        links = stored(_links(pairs, texts), "links")
-        named = known.select(F.col("node").alias("u"), F.col("class").alias("cu"))
-        edges = links.join(named, "u").join(named.toDF("v", "cv"), "v").select(F.col("cu").alias("u"), F.col("cv").alias("v"))
-        merged = components(edges)
-        known = stored(known.join(merged.withColumnRenamed("node", "class"), "class", "left").select("node", F.coalesce("component", "class").alias("class")), "classes")
+        one, two = F.struct("content", "class"), F.struct(F.col("pivot").alias("content"), F.col("pivot_class").alias("class"))
+        pairs = pairs.select(F.least(one, two).alias("x"), F.greatest(one, two).alias("y")).distinct()
+        pairs = pairs.select(F.col("x.content").alias("u"), F.col("y.content").alias("v"), F.col("x.class").alias("cu"), F.col("y.class").alias("cv"))
+        merged = stored(components(_links(pairs, texts)).withColumnRenamed("node", "class"), "merged")
+        renamed = lambda frame: frame.join(merged, "class", "left").withColumn("class", F.coalesce("component", "class")).drop("component")  # noqa: B023, E731
+        known, members = stored(renamed(known), "classes"), stored(renamed(members), "members")
         now = pivots.select("bucket", F.col("pivot").alias("content"))
         done = now if done is None else done.unionByName(now)
         turn += 1

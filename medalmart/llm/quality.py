@@ -22,6 +22,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import crc_mod, slices, table, without
 from .labelled import sample
@@ -229,7 +230,7 @@ def quality(docs: DataFrame, model: dict, text: str = "text") -> DataFrame:
     kept = without(docs, ("score", "predicted"))
     row = F.struct(*kept) if kept else F.struct(F.lit(0).alias("none"))
     rows = docs.select(row.alias("row"), F.col(text).cast("string").alias("text"))
-    out = rows.mapInArrow(_scorer(model), f"row {rows.schema['row'].dataType.simpleString()}, score double, predicted int")
+    out = rows.mapInArrow(_scorer(model), T.StructType([rows.schema["row"], T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType())]))
     return out.select(*(["row.*"] if kept else []), "score", "predicted")
 
 

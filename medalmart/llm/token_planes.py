@@ -71,7 +71,7 @@ def from_planes(planes: np.ndarray, n: int) -> np.ndarray:
     if len(planes) == 4:
         return np.ascontiguousarray(planes.T).view("<u4").reshape(-1)
     bits = np.unpackbits(planes, axis=1, count=n, bitorder="little")
-    return np.packbits(bits.T, axis=1, bitorder="little").view("<u4").reshape(-1)
+    return np.ascontiguousarray(np.packbits(bits.T, axis=1, bitorder="little")).view("<u4").reshape(-1)
 
 
 class ShardWriter:

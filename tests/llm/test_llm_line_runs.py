@@ -1,0 +1,39 @@
+import hashlib
+
+import pytest
+
+from medalmart.llm.line_runs import line_runs
+
+
+def brute(rows, n):
+    """Kept text by key; rows in the order of key and hash of text."""
+    seen, out = set(), {}
+    for k, t in sorted(rows, key=lambda r: (r[0] is None, r[0], hashlib.md5((r[1] or "").encode()).digest())):
+        lines = (t or "").split("\n")
+        own = [i for i, x in enumerate(lines) if x.strip(" ")]
+        gone = set()
+        for p in range(len(own) - n + 1):
+            run = tuple(lines[i].strip(" ") for i in own[p : p + n])
+            if run in seen:
+                gone.update(own[p : p + n])
+            seen.add(run)
+        out[k] = ("\n".join(x for i, x in enumerate(lines) if i not in gone), len(own), len(gone))
+    return out
+
+
+@pytest.mark.parametrize("n", [1, 2, 3, 4])
+def test_same_lines_as_brute_force(docs, rows, n):
+    got = {r["doc_id"]: (r["kept_text"], r["n_lines"], r["n_removed"]) for r in line_runs(docs, min_lines=n).collect()}
+    assert got == brute([(r[0], r[1]) for r in rows], n)
+
+
+def test_maximal_runs(spark):
+    rows = [(1, "a\nb\nc\nd"), (2, "x\nb\n\nc\nd\ny\na\nb"), (3, "b\nc")]
+    got = {r["doc_id"]: [tuple(x) for x in r["runs"]] for r in line_runs(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {1: [], 2: [(1, 3, 1, 1), (5, 2, 1, 0)], 3: [(0, 2, 1, 1)]}
+
+
+def test_odd_rows(odd, empty):
+    got = sorted((str(r["doc_id"]), r["n_removed"]) for r in line_runs(odd, min_lines=1).collect())
+    assert got == [("1", 0), ("1", 0), ("2", 0), ("None", 1)]
+    assert line_runs(empty).count() == 0
