@@ -130,8 +130,8 @@ def matches(docs: DataFrame, benchmark: DataFrame, text: str = "text", item: str
     grams = texts.select("content", F.posexplode(shingle_list(word_list(F.col("text")))).alias("pos", "gram"))
     hits = grams.join(held, "gram").select("content", "pos", F.explode("sizes").alias("n"))
     hits = stored(hits.groupBy("content").agg(F.collect_set(F.struct("pos", "n")).alias("hits")), "hits")
-    # Windows of the few texts that have hits, each text once.
-    touched = texts.join(hits.select("content"), "content", "left_semi").groupBy("content").agg(F.any_value("text").alias("text")).join(hits, "content")
+    # Windows of the few texts that have hits, each text once. Texts move once, at every size of the input.
+    touched = texts.join(hits.select("content").hint("merge"), "content", "left_semi").groupBy("content").agg(F.any_value("text").alias("text")).join(hits.hint("merge"), "content")
     window = lambda grams: lambda h: F.struct(h["n"].alias("n"), F.array_sort(F.slice(grams, h["pos"] + 1, h["n"])).alias("grams"))
     cut = let(shingle_list(word_list(F.col("text"))), lambda grams: F.transform("hits", window(grams)))
     windows = touched.select("content", F.explode(cut).alias("w")).select("content", "w.n", "w.grams").where(F.size("grams") >= F.col("n") * F.lit(SIMILARITY))
