@@ -39,7 +39,7 @@ from .texts import mixed
 
 LENGTH, GRAM = 400, 48
 #: Bytes of slices in a shard, about; a minimizer with more is spread over several.
-SHARD_BYTES = 4 << 20
+SHARD_BYTES = 3 << 19
 #: Bytes worked on at once; longer texts are cut into overlapping pieces.
 AT_ONCE = 1 << 20
 _ODD = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
@@ -146,7 +146,7 @@ def ranks(octets: np.ndarray, room: np.ndarray, length: int) -> np.ndarray:
     keys = np.zeros(n, np.uint64)
     for k in range(8):
         keys = (keys << np.uint64(8)) | padded[k : k + n]
-    order = np.argsort(keys, kind="stable")
+    order = np.argsort(keys)
     new = np.concatenate(([True], keys[order][1:] != keys[order][:-1]))
     rank = np.empty(n, np.int64)
     rank[order] = np.maximum.accumulate(np.where(new, np.arange(n), 0))
@@ -157,7 +157,7 @@ def ranks(octets: np.ndarray, room: np.ndarray, length: int) -> np.ndarray:
         tied = np.flatnonzero((room >= deeper) & (size[rank] > 1))
         old = rank[tied]
         keys = old * (n + 1) + rank[tied + deeper - depth]
-        order = np.argsort(keys, kind="stable")
+        order = np.argsort(keys)
         keys, old = keys[order], old[order]
         at = np.arange(len(keys))
         group = np.maximum.accumulate(np.where(np.concatenate(([True], old[1:] != old[:-1])), at, 0)) if len(keys) else at
