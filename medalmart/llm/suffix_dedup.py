@@ -17,8 +17,9 @@ bytes if and only if they are still tied; as nothing but this is asked of the co
 is no separate pass for them.
 
 *Merging.* A minimizer with more bytes than a shard holds is spread over several. Each of these
-reports one 128-bit key for every group of equal strings, in sorted order; keys that several shards
-report are repeated as well. Hashes of 128 bits stand for equal strings here and for equal slices.
+reports one 128-bit key for every group of equal strings, sorted and packed by range of keys; where
+the packs of a range meet, keys that several shards report are repeated as well. Hashes of 128 bits
+stand for equal strings here and for equal slices.
 
 Defined results: a null text is an empty one; texts below 400 bytes stay whole; repeated rows lose
 all bytes if they have 400; an empty table gives no rows.
@@ -31,8 +32,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import slices, stored, table
 from .texts import mixed
@@ -167,45 +170,73 @@ def ranks(octets: np.ndarray, room: np.ndarray, length: int) -> np.ndarray:
     return rank
 
 
-def _rows(content: pa.Array, start: np.ndarray, end: np.ndarray, keys: list[np.ndarray] | None) -> pa.Table:
-    k1, k2 = keys or [np.zeros(len(start), np.int64)] * 2
-    return pa.table({"content": content, "from": pa.array(start, pa.int64()), "to": pa.array(end, pa.int64()), "keyed": pa.array([keys is not None] * len(start), pa.bool_()), "k1": pa.array(k1), "k2": pa.array(k2)})
+TOLD = T.StructType([
+    T.StructField("group", T.LongType()), T.StructField("content", T.BinaryType()), T.StructField("from", T.LongType()), T.StructField("to", T.LongType()),
+    T.StructField("k1", T.ArrayType(T.LongType())), T.StructField("k2", T.ArrayType(T.LongType())), T.StructField("owner", T.ArrayType(T.LongType())),
+    T.StructField("start", T.ArrayType(T.LongType())), T.StructField("contents", T.ArrayType(T.BinaryType())),
+])
+_ARROW = pa.schema([("group", pa.int64()), ("content", pa.binary()), ("from", pa.int64()), ("to", pa.int64()), *((n, pa.list_(pa.int64())) for n in ("k1", "k2", "owner", "start")), ("contents", pa.list_(pa.binary()))])
 
 
-def _sharded(length: int):
+def _sharded(length: int, groups: int):
     def run(shard: pa.Table) -> pa.Table:
-        """Repeated runs of starts; for spread minimizers, keys of the rest and one of each group."""
-        split = shard.column("spread").to_pylist()
-        octets = b"".join(shard.column("octets").to_pylist())
-        octets = np.frombuffer(octets, np.uint8)
+        """Repeated runs of starts; for spread minimizers also packed keys, a row for each group."""
+        octets = np.frombuffer(b"".join(shard.column("octets").to_pylist()), np.uint8)
         n, seen = shard.column("n").to_numpy(), shard.column("copies").to_numpy()
         size = n + length - 1
         first = np.cumsum(size) - size
-        room = np.repeat(first + size, size) - np.arange(len(octets))
-        rank = ranks(octets, room, length)
+        rank = ranks(octets, np.repeat(first + size, size) - np.arange(len(octets)), length)
         place = np.repeat(first - (np.cumsum(n) - n), n) + np.arange(n.sum())
         own = np.repeat(np.arange(len(n)), n)
         mine = rank[place]
-        count = np.bincount(mine, minlength=len(octets))
-        repeated = (count[mine] > 1) | (seen[own] > 1)
+        repeated = (np.bincount(mine, minlength=len(octets))[mine] > 1) | (seen[own] > 1)
         start = shard.column("start").to_numpy()[own] + place - first[own]
         content = shard.column("content").combine_chunks()
-        want = repeated & (seen[own] == 1)
-        # Runs of neighbouring starts of a slice.
-        hit = np.flatnonzero(want)
-        begins = np.concatenate((np.diff(hit) != 1, [True])) | np.concatenate((np.diff(own[hit]) != 0, [True])) if len(hit) else np.empty(0, bool)
-        last = hit[begins]  # the last of each run; the first follows the last before it
-        new = hit[np.concatenate(([True], begins[:-1]))] if len(hit) else hit
-        told = _rows(content.take(pa.array(own[new])), start[new], start[last] + length, None)
-        spread = np.array(split, np.bool_)[own]
-        if not spread.any():
-            return told
-        # One of each group of equal strings, in sorted order. A group that is repeated already only tells the others.
-        order = np.argsort(mine, kind="stable")
-        at = order[np.concatenate(([True], mine[order][1:] != mine[order][:-1])) & spread[order]]
-        keys = [range_hash(prefix_sums(octets, k), k, place[at], place[at] + length).view(np.int64) for k in (0, 1)]
-        who = content.take(pa.array(own[at], mask=repeated[at]))
-        return pa.concat_tables([told, _rows(who, start[at], start[at] + length, keys)])
+        # Runs of neighbouring starts of a slice; what occurs as a whole elsewhere is told already.
+        hit = np.flatnonzero(repeated & (seen[own] == 1))
+        ends = np.concatenate(((np.diff(hit) != 1) | (np.diff(own[hit]) != 0), [True])) if len(hit) else np.empty(0, bool)
+        new, last = hit[np.concatenate(([True], ends[:-1]))] if len(hit) else hit, hit[ends]
+        who = content.take(pa.array(own[new]))
+        rows = [{"group": i % groups, "content": c, "from": a, "to": b + length} for i, c, a, b in zip(range(len(new)), who.to_pylist(), start[new].tolist(), start[last].tolist(), strict=True)]
+        spread = np.array(shard.column("spread").to_pylist(), np.bool_)[own]
+        if spread.any():
+            # One of each group of equal strings. A group that is repeated already only tells the others.
+            order = np.argsort(mine, kind="stable")
+            at = order[np.concatenate(([True], mine[order][1:] != mine[order][:-1])) & spread[order]]
+            k1, k2 = (range_hash(prefix_sums(octets, k), k, place[at], place[at] + length) for k in (0, 1))
+            to, owner = (k1 % np.uint64(groups)).astype(np.int64), np.where(repeated[at], -1, own[at])
+            by = np.lexsort((k2, k1, to))
+            cuts = np.searchsorted(to[by], np.arange(groups + 1))
+            for g in range(groups):
+                part = by[cuts[g] : cuts[g + 1]]
+                if len(part):
+                    used, code = np.unique(owner[part], return_inverse=True)
+                    code = code - (used[0] < 0)  # -1 still is nobody
+                    names = content.take(pa.array(used[used >= 0])).to_pylist()
+                    rows.append({"group": g, "k1": k1[part].view(np.int64), "k2": k2[part].view(np.int64), "owner": code, "start": start[at[part]], "contents": names})
+        return pa.Table.from_pylist(rows, _ARROW)
+
+    return run
+
+
+def _merged(length: int):
+    def run(group: pa.Table) -> pa.Table:
+        """The runs as they are, and strings of spread minimizers that several shards have."""
+        packed = group.filter(pc.is_valid(group.column("k1")))
+        plain = group.filter(pc.is_null(group.column("k1"))).select(["content", "from", "to"])
+        if not len(packed):
+            return plain
+        lists = [packed.column(n).combine_chunks() for n in ("k1", "k2", "owner", "start")]
+        shard = np.repeat(np.arange(len(packed)), pc.list_value_length(lists[0]).to_numpy())
+        k1, k2, owner, start = (x.flatten().to_numpy() for x in lists)
+        order = np.lexsort((k2, k1))
+        same = (k1[order][1:] == k1[order][:-1]) & (k2[order][1:] == k2[order][:-1])
+        found = order[np.concatenate((same, [False])) | np.concatenate(([False], same))]
+        found = found[owner[found] >= 0]
+        base = np.cumsum([0, *pc.list_value_length(packed.column("contents").combine_chunks()).to_pylist()])
+        names = packed.column("contents").combine_chunks().flatten().take(pa.array(base[shard[found]] + owner[found]))
+        at = start[found]
+        return pa.concat_tables([plain, pa.table({"content": names, "from": at, "to": at + length}, schema=plain.schema)])
 
     return run
 
@@ -233,10 +264,10 @@ def repeats(docs: DataFrame, text: str = "text", length: int = LENGTH, gram: int
     per_text = edges.select("content", F.struct(shard.alias("shard"), spread.alias("spread"), "copies", "start", "n").alias("slice")).groupBy("content").agg(F.collect_list("slice").alias("slices"))
     piece = F.transform("slices", lambda s: F.struct(s["shard"].alias("shard"), s["spread"].alias("spread"), s["copies"].alias("copies"), s["start"].alias("start"), s["n"].alias("n")))
     cut_out = once.join(per_text, "content").select("content", "octets", F.explode(piece).alias("s")).select("content", "s.*", F.substring(F.col("octets"), (F.col("s.start") + 1).cast("int"), (F.col("s.n") + (length - 1)).cast("int")).alias("octets"))
-    told = cut_out.groupBy("shard").applyInArrow(_sharded(length), "content binary, from bigint, to bigint, keyed boolean, k1 bigint, k2 bigint")
-    # Shards of one minimizer meet here, with a row for each key and shard.
-    alike = Window.partitionBy("keyed", "k1", "k2", F.when(~F.col("keyed"), F.struct("content", "from")))
-    edge = told.withColumn("shards", F.count("*").over(alike)).where("content IS NOT NULL AND (NOT keyed OR shards > 1)").select("content", "from", "to")
+    groups = total // shard_bytes + 1
+    told = cut_out.groupBy("shard").applyInArrow(_sharded(length, groups), TOLD)
+    # Shards of one minimizer meet here, their keys sorted and dealt by value.
+    edge = told.groupBy("group").applyInArrow(_merged(length), "content binary, from bigint, to bigint")
     return once, whole.unionByName(edge)
 
 
