@@ -12,9 +12,9 @@ Texts that share a band are candidates; their multisets decide exactly. Linked t
 Not all pairs of a band's bucket are looked at: members already in one class need no link between
 them. In every round some members of a bucket are compared with all that are in other classes; a
 bucket is done when its members are one class, or when all members outside its largest class have
-been compared with the rest, but for pairs that can't be similar enough by their sizes and by the
-shingles that no other member has. So no link between two classes is left out, and a bucket with n
-members in one group costs about n comparisons.
+been compared with the rest, but for pairs that can't be similar enough by their sizes and their rare
+shingles. So no link between two classes is left out, and a bucket with n members in one group costs
+about n comparisons.
 
 Defined results: null and empty texts are never duplicates; texts without a word are duplicates of
 equal texts only; a text of fewer than five words is one shingle; repeated rows are copies; an empty
@@ -44,6 +44,8 @@ AT_ONCE = 1 << 20
 FEW = 4
 #: Growth of the number of a bucket's members that are compared in one turn.
 MANY = 32
+#: Slots in which shingles are counted to put them in order.
+SLOTS = 1 << 18
 
 
 def _weighted(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -151,21 +153,52 @@ def _links(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return both.select("u", "v", "left", "right", "cu", "cv").mapInArrow(_verified, "u binary, v binary")
 
 
-def _shingled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _slot_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    sums = np.zeros(SLOTS, np.int64)
     for batch in batches:
-        texts = batch.column(1).to_pylist()
+        texts = batch.column(2).to_pylist()
         for a, b in slices([len(t) for t in texts], AT_ONCE):
-            doc, shingle, count = _weighted(texts[a:b])
-            yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a).take(pa.array(doc)), pa.array(shingle.view(np.int64)), pa.array(count, pa.int64())], ["content", "shingle", "count"])
-
-
-def _shared_sizes(texts: DataFrame) -> DataFrame:
-    """``content, size, shared``: shingles of each text, and how many of them any other of these texts has."""
-    rows = texts.select("content", "text").mapInArrow(_shingled, "content binary, shingle bigint, count bigint")
-    single = rows.groupBy("shingle").agg(F.count("*").alias("texts"), F.any_value("content").alias("content"), F.any_value("count").alias("count"))
-    size = rows.groupBy("content").agg(F.sum("count").alias("size"))
-    own = single.where("texts = 1").groupBy("content").agg(F.sum("count").alias("own"))
-    return size.join(own, "content", "left").select("content", "size", (F.col("size") - F.coalesce("own", F.lit(0))).alias("shared"))
+            _, shingle, _ = _weighted(texts[a:b])
+            sums += np.bincount((shingle % np.uint64(SLOTS)).astype(np.int64), minlength=SLOTS)
+    at = np.flatnonzero(sums)
+    yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(sums[at])], ["slot", "n"])
+
+
+def _prefixes(often: np.ndarray):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = batch.column(2).to_pylist()
+            for a, b in slices([len(t) for t in texts], AT_ONCE):
+                doc, shingle, count = _weighted(texts[a:b])
+                order = np.lexsort((shingle, often[(shingle % np.uint64(SLOTS)).astype(np.int64)], doc))
+                doc, shingle, count = doc[order], shingle[order], count[order]
+                size = np.bincount(doc, count, b - a).astype(np.int64)
+                place = np.cumsum(count) - count - (np.cumsum(size) - size)[doc]
+                keep = place <= size[doc] - np.ceil(SIMILARITY * size[doc] - 1e-9)
+                doc, shingle, place = doc[keep], shingle[keep], place[keep]
+                own = batch.slice(a, b - a)
+                names = [own.column(k).take(pa.array(doc)) for k in (0, 1)]
+                yield pa.RecordBatch.from_arrays([pa.array(shingle.view(np.int64)), *names, pa.array(size[doc]), pa.array(size[doc] - place)], ["bucket", "content", "class", "size", "shared"])
+
+    return run
+
+
+def _by_rare_shingles(open_: DataFrame, texts: DataFrame) -> DataFrame:
+    """New buckets for the contents of ``open_`` (content, class): by their rarest shingles, one bucket each.
+
+    Put the shingles of all texts in one order, rare ones first. The first that two texts have in
+    common has all their common ones at or after it; so texts that are similar enough share one among
+    the first fifth of each, and ``shared``, what a text has left from there on, bounds what they can
+    share. Near-copies of one text differ from each other at twice the places at which they differ
+    from the text: most of them meet nobody here. Any order would be right. This one is by counts in
+    ``SLOTS`` slots, whatever the number of texts.
+    """
+    rows = texts.join(open_, "content").select("content", "class", "text")
+    counts = rows.mapInArrow(_slot_counts, "slot bigint, n bigint").groupBy("slot").agg(F.sum("n").alias("n")).toArrow()
+    often = np.zeros(SLOTS, np.int64)
+    often[counts.column("slot").to_numpy()] = counts.column("n").to_numpy()
+    out = rows.mapInArrow(_prefixes(often), "bucket bigint, content binary, class binary, size bigint, shared bigint")
+    return out.withColumn("weight", F.col("shared"))
 
 
 def _most(shared: Column, size: Column, other: Column) -> Column:
@@ -173,18 +206,10 @@ def _most(shared: Column, size: Column, other: Column) -> Column:
     return shared / (size + F.greatest(other, shared) - shared)
 
 
-def _able(spread: DataFrame, sizes: DataFrame | None) -> DataFrame:
-    """Members that could be similar enough to some other of their bucket, going by sizes alone.
-
-    Near-copies of one text differ from each other at twice the places at which they differ from the
-    text, so large groups have many members that are similar to few or none. A shingle that no other
-    member has can't be shared: that settles most of them without a comparison.
-    """
-    if sizes is None:
-        return spread.withColumn("size", F.lit(0).cast("long")).withColumn("shared", F.lit(0).cast("long"))
-    sized = spread.join(sizes, "content")
-    least = sized.groupBy("bucket").agg(F.min("size").alias("least"))
-    return sized.join(least, "bucket").where(_most(F.col("shared"), F.col("size"), F.col("least")) >= SIMILARITY - 1e-9).drop("least")
+def _able(members: DataFrame) -> DataFrame:
+    """Members that could be similar enough to some other of their bucket, going by sizes alone."""
+    least = members.groupBy("bucket").agg(F.min("size").alias("least"), F.count("*").alias("n")).where("n > 1").drop("n")
+    return members.join(least, "bucket").where(_most(F.col("shared"), F.col("size"), F.col("least")) >= SIMILARITY - 1e-9).drop("least")
 
 
 def _pivots(able: DataFrame, done: DataFrame | None, turn: int) -> DataFrame:
@@ -221,28 +246,26 @@ def classes(docs: DataFrame, key: str = "doc_id", text: str = "text") -> tuple[D
     each = signed.select("content", "bands").groupBy("content").agg(F.any_value("bands").alias("bands")).select("content", F.explode("bands").alias("bucket"))
     shared = each.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1")
     weight = F.sum("n").over(Window.partitionBy("content")).alias("weight")
-    members = stored(each.join(shared, "bucket").select("bucket", "content", weight, F.col("content").alias("class")), "members")
+    none = F.lit(0).cast("long")
+    members = stored(each.join(shared, "bucket").select("bucket", "content", F.col("content").alias("class"), weight, none.alias("size"), none.alias("shared")), "members")
     needed = members.select("content").distinct()
     texts = stored(rows.select("content", "text").join(needed, "content", "left_semi").groupBy("content").agg(F.any_value("text").alias("text")), "texts")
     known = texts.select(F.col("content").alias("node"), F.col("content").alias("class"))
-    done = sizes = None
-    turn = 0
+    done, turn = None, 0
     while True:
         if turn == 1:
-            # Buckets that their most central members have not made one class, and what their texts can share.
-            open_ = members.groupBy("bucket").agg(F.min("class").alias("a"), F.max("class").alias("b")).where("a < b").select("bucket")
-            members = stored(members.join(open_, "bucket"), "members")
-            sizes = stored(_shared_sizes(texts.join(members.select("content").distinct(), "content", "left_semi")), "sizes")
-            members = stored(_able(members, sizes), "members")
-        able = members if turn else _able(members, None)
-        pivots = stored(_pivots(able, done, turn), "pivots")
+            # Buckets that their most central members have not made one class: their contents meet by rare shingles.
+            mixed_ = members.groupBy("bucket").agg(F.min("class").alias("a"), F.max("class").alias("b")).where("a < b").select("bucket")
+            open_ = members.join(mixed_, "bucket").select("content", "class").distinct()
+            members = stored(_able(stored(_by_rare_shingles(open_, texts), "rare-shingles")), "members")
+        pivots = stored(_pivots(members, done, turn), "pivots")
         if pivots.isEmpty():
             break
         met = F.col("class") != F.col("pivot_class")
-        if sizes is not None:
+        if turn:
             most = F.least("shared", "pivot_shared")
             met &= most / (F.col("size") + F.col("pivot_size") - most) >= SIMILARITY - 1e-9
-        pairs = able.join(pivots.withColumnRenamed("bucket", "b"), (F.col("bucket") == F.col("b")) & met)
+        pairs = members.join(pivots.withColumnRenamed("bucket", "b"), (F.col("bucket") == F.col("b")) & met)
         one, two = F.struct("content", "class"), F.struct(F.col("pivot").alias("content"), F.col("pivot_class").alias("class"))
         pairs = pairs.select(F.least(one, two).alias("x"), F.greatest(one, two).alias("y")).distinct()
         pairs = pairs.select(F.col("x.content").alias("u"), F.col("y.content").alias("v"), F.col("x.class").alias("cu"), F.col("y.class").alias("cv"))
@@ -250,7 +273,7 @@ def classes(docs: DataFrame, key: str = "doc_id", text: str = "text") -> tuple[D
         renamed = lambda frame: frame.join(merged, "class", "left").withColumn("class", F.coalesce("component", "class")).drop("component")  # noqa: B023, E731
         known, members = stored(renamed(known), "classes"), stored(renamed(members), "members")
         now = pivots.select("bucket", F.col("pivot").alias("content"))
-        done = now if done is None else done.unionByName(now)
+        done = now if done is None or turn == 1 else done.unionByName(now)
         turn += 1
     return signed.select("key", "content"), known
 
