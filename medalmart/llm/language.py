@@ -19,6 +19,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -165,14 +166,14 @@ def label_words(texts: list[str], model: dict) -> tuple[np.ndarray, np.ndarray,
     return viterbi(score, doc, len(texts)), doc, n, start
 
 
-def _predictor(model: dict, with_spans: bool):
+def _predictor(model: dict, with_spans: bool, field: int):
     names = model["names"]
 
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = [t or "" for t in batch.column(1).to_pylist()]
-            for a, b in slices([len(t) for t in texts], 32 * AT_ONCE):
-                yield batch.slice(a, b - a), texts[a:b]
+            column = batch.column(0).flatten()[field]
+            for a, b in slices(pc.fill_null(pc.binary_length(column), 0).to_pylist(), 8 * AT_ONCE):
+                yield batch.slice(a, b - a), [t or "" for t in column.slice(a, b - a).to_pylist()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, texts in predict(batches):
@@ -200,14 +201,18 @@ def predict(docs: DataFrame, model: dict, text: str = "text", spans: bool = Fals
     """The rows with ``lang_pred``, ``score`` and, if wanted, ``spans`` (start, end, lang by character)."""
     names = ["lang_pred", "score"] + ["spans"] * spans
     kept = without(docs, names)
-    row = F.struct(*kept).alias("row") if kept else F.struct(F.lit(0).alias("none")).alias("row")
-    rows = docs.select(row, F.col(text).cast("string").alias("text"))
+    # The text travels once: as a field of the row, or beside it if a result takes its name.
+    own = F.col(text).cast("string").alias("__text")
+    rows = docs.select(F.struct(*kept, own).alias("row"))
+    place = len(kept)
+    if text in docs.columns and docs.schema[text].dataType == T.StringType() and text not in names:
+        rows, place = docs.select(F.struct(*kept).alias("row")), [c for c in docs.columns if c.lower() not in names].index(text)
     fields = [rows.schema["row"], T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())]
     if spans:
         span = T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType()), T.StructField("lang", T.StringType())])
         fields.append(T.StructField("spans", T.ArrayType(span)))
-    out = rows.mapInArrow(_predictor(model, spans), T.StructType(fields))
-    return out.select("row.*", *names) if kept else out.select(*names)
+    out = rows.mapInArrow(_predictor(model, spans, place), T.StructType(fields))
+    return out.select("row.*", *names).drop("__text")
 
 
 def held_out(key: Column) -> Column:
@@ -220,9 +225,11 @@ def languages(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: st
 
 def stage_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language can be told; those without a letter, or without one main language, go."""
-    rows = docs.select(F.struct(*without(docs, ())).alias("row"), "text")
-    told = predict(rows, languages(docs))
-    return told.where((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= MAIN_SHARE)).select("row.*")
+    # Results get names that documents don't have.
+    names = {c: f"__{i}" for i, c in enumerate(docs.columns) if c.lower() in ("lang_pred", "score")}
+    told = predict(docs.withColumnsRenamed(names), languages(docs))
+    told = told.where((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= MAIN_SHARE)).drop("lang_pred", "score")
+    return told.withColumnsRenamed({v: k for k, v in names.items()})
 
 
 #: A document stays if one language has at least this share of its letters.
