@@ -17,7 +17,6 @@ from medalmart.config import Model, compile_rules, default_rules
 from medalmart.plans.bronze import MASK, stamp
 from medalmart.plans.gold import dimension_frame, fact_frame
 from medalmart.plans.silver import COPIES, silver_frame
-from medalmart.sources.scratch import scratch_path
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -150,7 +149,8 @@ SELECT customer_id, id_number, first_name, last_name, TRY_CAST(dob AS DATE) AS d
     ELSE province END AS province,
   income_band, segment, TRY_CAST(risk_score AS INTEGER) AS risk_score, kyc_status, product_flags,
   {STAMP_SQL} AS ingestion_timestamp,
-  CASE WHEN TRY_CAST(risk_score AS INTEGER) NOT BETWEEN 1 AND 10 THEN 'TYPE_MISMATCH' END AS dq_flag
+  CASE WHEN TRY_CAST(risk_score AS INTEGER) NOT BETWEEN 1 AND 10 OR (risk_score IS NOT NULL AND TRY_CAST(risk_score AS INTEGER) IS NULL)
+    THEN 'TYPE_MISMATCH' END AS dq_flag
 FROM ({PARTY}) p
 """
 
@@ -235,12 +235,7 @@ FROM ({SILVER_TX_SQL}) t
 
 
 class Bank:
-    """The banking model over the role tables, with the layers at rest as in a run.
-
-    Bronze tables and the parents of links are written to the shared scratch
-    folder once per object, so that rules read stored columns and not the text
-    expressions of the roles, and sizes are true sizes.
-    """
+    """The banking model over the role tables. Layers are frames over each other; nothing is written."""
 
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark, self.sf_dir = spark, sf_dir
@@ -248,27 +243,23 @@ class Bank:
         doc = default_rules()
         self.rules = {n: compile_rules(doc, t) for n, t in self.model.tables.items()}
         self._texts = {"customers": PARTY, "accounts": ACCOUNT, "transactions": TX}
-        self._stored: dict[str, str] = {}
-
-    def at_rest(self, name: str, build: Callable[[], DataFrame]) -> DataFrame:
-        if name not in self._stored:
-            path = scratch_path(self.spark, name)
-            build().write.parquet(path)
-            self._stored[name] = path
-        return self.spark.read.parquet(self._stored[name])
+        self._silver: dict[str, DataFrame] = {}
 
     def raw(self, name: str) -> DataFrame:
         return role(self.spark, self.sf_dir, self._texts[name])
 
     def bronze(self, name: str) -> DataFrame:
-        return self.at_rest(f"bronze-{name}", lambda: stamp(self.raw(name), RUN_AT))
+        return stamp(self.raw(name), RUN_AT)
 
-    def stored_silver(self, name: str) -> DataFrame:
-        return self.at_rest(f"silver-{name}", lambda: self.silver(name))
+    def one_silver(self, name: str) -> DataFrame:
+        """The same frame every time, so that plans over it can share its exchanges."""
+        if name not in self._silver:
+            self._silver[name] = self.silver(name)
+        return self._silver[name]
 
     def parent(self, name: str) -> DataFrame | None:
         link = self.model.tables[name].link
-        return self.stored_silver(link.table) if link else None
+        return self.one_silver(link.table) if link else None
 
     def silver(self, name: str) -> DataFrame:
         return self.silver_with_metrics(name).drop(MASK, COPIES)
@@ -278,7 +269,7 @@ class Bank:
 
     def dimension(self, name: str, keys: str = "hash") -> DataFrame:
         dim = self.model.dimensions[name]
-        return dimension_frame(self.stored_silver(dim.table), dim, RUN_AT.date(), keys)
+        return dimension_frame(self.one_silver(dim.table), dim, RUN_AT.date(), keys)
 
     def fact(self) -> DataFrame:
         spec = self.model.facts["fact_transactions"]

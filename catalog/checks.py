@@ -150,7 +150,7 @@ def _link_sql(name: str, child: str, key: str, parent: str, parent_key: str) ->
 def chk_fk(spark: SparkSession, d: str) -> DataFrame:
     bank = Bank(spark, d)
     accounts, parties = bank.raw("accounts"), bank.raw("customers")
-    fact = bank.at_rest("gold-fact", bank.fact)
+    fact = bank.fact()
     lines, orders = table(spark, d, "lineitem"), table(spark, d, "orders")
     return reference_check(
         {

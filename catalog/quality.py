@@ -86,6 +86,21 @@ def dq_type_check(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
+@query(
+    "dq_cast_lost",
+    f"""SELECT customer_id, risk_score, dob,
+          CASE WHEN risk_score IS NOT NULL AND TRY_CAST(risk_score AS INTEGER) IS NULL THEN 'TYPE_MISMATCH' END AS dq_flag
+        FROM ({PARTY}) p""",
+)
+def dq_cast_lost(spark: SparkSession, d: str) -> DataFrame:
+    """The rules that every typed column has: a value that can't be typed is told before silver loses it."""
+    bank = Bank(spark, d)
+    rules, own = bank.rules["customers"].rules, ("risk_score_cast_failed", "dob_unreadable")
+    ruleset = R.RuleSet([r for r in rules.rules if r.issue_type in own])
+    df = bank.raw("customers")
+    return df.select("customer_id", "risk_score", "dob", ruleset.flag(ruleset.mask(df)).alias("dq_flag"))
+
+
 @query(
     "dq_domain",
     f"""SELECT transaction_id, transaction_type, channel, CASE WHEN b_type OR b_channel THEN 'TYPE_MISMATCH' END AS dq_flag
@@ -157,6 +172,8 @@ def quarantine_split(spark: SparkSession, d: str) -> DataFrame:
 
 
 _ISSUES = {
+    "corrupt_record_transactions": "false",
+    "transaction_timestamp_uncomposable": "false",
     "null_transaction_id": "b_null_key",
     "null_required": "b_null",
     "amount_type_mismatch": "b_quoted",
@@ -234,7 +251,9 @@ e AS (
   UNION ALL SELECT 'credit_limit_range', count(*), any_value(na), 'FLAGGED',
     (SELECT count(*) FROM s WHERE credit_limit NOT BETWEEN 5000 AND 250000)
     FROM a, n WHERE TRY_CAST(credit_limit AS DECIMAL(18,2)) NOT BETWEEN 5000 AND 250000
-  UNION ALL SELECT 'date_format_inconsistency', count(*), any_value(na), 'NORMALISED_DATE',
+  UNION ALL SELECT 'risk_score_cast_failed', count(*), any_value(np), 'FLAGGED', count(*)
+    FROM p, n WHERE risk_score IS NOT NULL AND TRY_CAST(risk_score AS INTEGER) IS NULL
+  UNION ALL SELECT 'account_date_format_inconsistency', count(*), any_value(na), 'NORMALISED_DATE',
     (SELECT count(*) FROM a WHERE contains(last_activity_date, '/') AND account_id IN (SELECT account_id FROM s))
     FROM a, n WHERE contains(last_activity_date, '/')
   UNION ALL SELECT 'unlinked_accounts', count(*), any_value(na), 'QUARANTINED', 0 FROM a, n WHERE account_id NOT IN (SELECT account_id FROM s)

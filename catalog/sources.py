@@ -70,6 +70,29 @@ def jsonl_roundtrip(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
+@query(
+    "jsonl_drift",
+    """SELECT event_id, event_type, CASE WHEN event_id % 10 <> 0 THEN true END AS flag, event_id % 10 = 0 AS misfit,
+         CASE WHEN user_id % 3 = 0 THEN CAST(user_id AS VARCHAR) END AS loyalty
+       FROM {events}""",
+)
+def jsonl_drift(spark: SparkSession, d: str) -> DataFrame:
+    """A field that nobody declared comes back with its value; a value of another type leaves the line's text."""
+    path = scratch_path(spark, "drift")
+    flag = F.when(F.col("event_id") % 10 == 0, F.lit('"maybe"')).otherwise(F.lit("true"))
+    loyalty = F.when(F.col("user_id") % 3 == 0, F.col("user_id"))
+    events = table(spark, d, "events").select("event_id", "event_type", F.parse_json(flag).alias("flag"), loyalty.alias("loyalty"))
+    events.select(F.to_json(F.struct("*"))).write.text(path)
+    df = read_jsonl(spark, path, "event_id bigint, event_type string, flag boolean")
+    return df.select(
+        "event_id",
+        "event_type",
+        "flag",
+        F.col("_corrupt_record").isNotNull().alias("misfit"),
+        F.col("_undeclared")["loyalty"].alias("loyalty"),
+    )
+
+
 @query(
     "json_flatten",
     """SELECT event_id, user_id, event_type, CAST(props->>'k' AS INTEGER) AS k, CAST(NULL AS VARCHAR) AS source

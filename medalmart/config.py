@@ -17,6 +17,9 @@ from .operators.shape import as_struct
 
 DEFAULTS = Path(__file__).parent / "defaults"
 
+# Where readers put the text of a line that they can't read.
+CORRUPT = "_corrupt_record"
+
 # The environment variable and the places searched for each file.
 CONFIG_VARIABLE = "PIPELINE_CONFIG"
 SEARCH_DIRS = ("/data/config", "/app/config")
@@ -88,6 +91,8 @@ class Dimension:
     contract: str
     rename: dict[str, str] = field(default_factory=dict)
     bands: dict[str, str] = field(default_factory=dict)
+    links: dict[str, str] = field(default_factory=dict)
+    members: dict[str, list[str]] = field(default_factory=dict)
 
 
 @dataclass(frozen=True)
@@ -98,6 +103,7 @@ class Fact:
     surrogate: str
     contract: str
     references: dict[str, dict[str, str]]
+    agree: dict[str, dict[str, str]] = field(default_factory=dict)
 
 
 @dataclass(frozen=True)
@@ -162,6 +168,19 @@ def compile_rules(doc: Mapping[str, Any], table: Table) -> TableRules:
     columns = set(flat_columns(table))
     out: list[R.Rule] = []
 
+    silent = set(_section(doc, "unchecked", table) or [])
+    if CORRUPT not in silent:
+        spec = doc.get("corrupt_records") or {}
+        out.append(
+            R.Rule(
+                spec.get("issue_type", "corrupt_record") + f"_{table.name}",
+                spec.get("dq_flag", "TYPE_MISMATCH"),
+                spec.get("handling", "QUARANTINED"),
+                R.filled(CORRUPT),
+                (CORRUPT,),
+            )
+        )
+
     null_key = _section(doc, "null_keys", table) or {"issue_type": f"null_{table.key[0]}"}
     out.append(
         R.Rule(
@@ -191,6 +210,7 @@ def compile_rules(doc: Mapping[str, Any], table: Table) -> TableRules:
     dates = doc.get("date_format_checks") or {}
     if isinstance(dates, list):
         dates = {"fields": dates}
+    dates = {**dates, **(_section(dates, "per_table", table) or {})}
     formats = list(dates.get("formats") or [ISO_DATE])
     dated = [f for f in dates.get("fields") or [] if f in columns and table.types.get(f) == "date"]
 
@@ -221,6 +241,34 @@ def compile_rules(doc: Mapping[str, Any], table: Table) -> TableRules:
             )
         )
 
+    # A value that silver can't type is lost there, so every typed column has a rule unless told otherwise.
+    options = _section(doc, "type_checks", table)
+    option = lambda name: o if isinstance(o := options.get(name), dict) else {}
+    for name, kind in table.types.items():
+        if name in dated or name not in columns or name in silent or name in options and kind != "date":
+            continue
+        date = kind == "date"
+        out.append(
+            R.Rule(
+                option(name).get("issue_type", f"{name}_unreadable" if date else f"{name}_cast_failed"),
+                option(name).get("dq_flag", "DATE_FORMAT" if date else "TYPE_MISMATCH"),
+                option(name).get("handling", "FLAGGED"),
+                R.unreadable_date([name]) if date else R.uncastable(name, kind),
+                (name,),
+            )
+        )
+    for name, (date, time) in table.timestamps.items():
+        if name not in silent and {date, time} <= columns:
+            out.append(
+                R.Rule(
+                    option(name).get("issue_type", f"{name}_uncomposable"),
+                    option(name).get("dq_flag", "DATE_FORMAT"),
+                    option(name).get("handling", "QUARANTINED"),
+                    R.uncomposable(date, time, formats if date in dated else [ISO_DATE]),
+                    (date, time),
+                )
+            )
+
     for name, spec in (doc.get("domain_checks") or {}).items():
         if name in columns and spec.get("table", table.name) in (table.name, table.gold):
             out.append(
@@ -240,7 +288,7 @@ def compile_rules(doc: Mapping[str, Any], table: Table) -> TableRules:
                     spec.get("issue_type", f"{name}_range"),
                     spec.get("dq_flag", "TYPE_MISMATCH"),
                     spec.get("handling", "FLAGGED"),
-                    R.beyond(name, spec.get("low"), spec.get("high"), spec.get("type", "double")),
+                    R.beyond(name, spec.get("low"), spec.get("high"), spec.get("type", "double"), formats if name in dated else [ISO_DATE]),
                     (name,),
                 )
             )

@@ -35,8 +35,8 @@ def matched_format(text: str | Column, formats: Sequence[str] = (ISO_DATE,)) ->
 
 
 def compose_timestamp(date: Column, time: Column, pattern: str = f"{ISO_DATE} HH:mm:ss") -> Column:
-    """Timestamp of a DATE and a time-of-day text; null if either is missing or bad."""
-    return F.try_to_timestamp(F.concat(date.cast("string"), F.lit(" "), time), F.lit(pattern))
+    """Instant of a DATE and a time-of-day text, both in UTC whatever the session's zone; null if either is missing or bad."""
+    return F.try_to_timestamp(F.concat(date.cast("string"), F.lit(" "), time, F.lit("+00:00")), F.lit(f"{pattern}xxx"))
 
 
 def canonical_name(

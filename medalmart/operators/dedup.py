@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -73,11 +75,15 @@ def surplus_rows(
 ) -> DataFrame:
     """What :func:`keep_first` drops: each distinct content with its number of removed copies.
 
-    Identical rows are counted together first, then the kept content of each
-    key gives back one copy. Counts stand for copies throughout, so a key or a
-    single content with very many copies is never gathered in one task.
+    Only rows of repeated keys go on, by a join with one row a key. Identical
+    rows are counted together, then the kept content of each key gives back one
+    copy. Counts stand for copies throughout, so a key or a single content with
+    very many copies is never gathered in one task.
     """
     columns = df.columns
+    repeated = duplicate_groups(df, keys).select(*keys)
+    same = reduce(and_, [F.col(f"__all.{k}").eqNullSafe(F.col(f"__repeated.{k}")) for k in keys])
+    df = df.alias("__all").join(repeated.alias("__repeated"), same, "left_semi")
     counted = df.groupBy(*columns).agg(F.count(F.lit(1)).alias(removed))
     kept = keep_first(df, keys, order).withColumn(removed, F.lit(-1).cast("bigint"))
     return (

@@ -13,7 +13,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.conform import ISO_DATE, matched_format, parse_date
+from ..functions.conform import ISO_DATE, compose_timestamp, matched_format, parse_date
 
 # The issue codes a row may carry, in default order of priority.
 FLAGS: tuple[str, ...] = (
@@ -93,11 +93,13 @@ def outside(field: str, allowed: Sequence[str]) -> Test:
     return lambda col: col(field).isNotNull() & ~col(field).isin(list(allowed))
 
 
-def beyond(field: str, low: object = None, high: object = None, data_type: str = "double") -> Test:
+def beyond(
+    field: str, low: object = None, high: object = None, data_type: str = "double", formats: Sequence[str] = (ISO_DATE,)
+) -> Test:
     """A readable value lies below ``low`` or above ``high``; a bound of None is open."""
 
     def test(col: Resolver) -> Column:
-        value = parse_date(col(field)) if data_type == "date" else col(field).try_cast(data_type)
+        value = parse_date(col(field), formats) if data_type == "date" else col(field).try_cast(data_type)
         out = F.lit(False)
         if low is not None:
             out = out | (value < F.lit(low).cast(data_type))
@@ -132,6 +134,21 @@ def unreadable_date(fields: Sequence[str], formats: Sequence[str] = (ISO_DATE,))
     return test
 
 
+def uncomposable(date: str, time: str, formats: Sequence[str] = (ISO_DATE,)) -> Test:
+    """Date and time of day are there, and the date is readable, but they make no timestamp."""
+
+    def test(col: Resolver) -> Column:
+        day = parse_date(col(date), formats)
+        return day.isNotNull() & col(time).isNotNull() & compose_timestamp(day, col(time)).isNull()
+
+    return test
+
+
+def filled(field: str) -> Test:
+    """The field holds something, such as the text of a line that could not be read."""
+    return lambda col: col(field).isNotNull()
+
+
 def differs(field: str, target: str) -> Test:
     """A value is there and is not the target."""
     return lambda col: F.coalesce(col(field) != F.lit(target), F.lit(False))

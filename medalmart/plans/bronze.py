@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..config import Table, TableRules
 from ..operators.rules import Resolver
-from ..sources.readers import read_csv, read_jsonl
+from ..sources.readers import UNDECLARED, read_csv, read_jsonl
 from ..sources.writers import write_table
 
 STAMP = "ingestion_timestamp"
@@ -52,4 +52,5 @@ def write_bronze(df: DataFrame, table: Table, rules: TableRules, path: str, fmt:
     masked = df.withColumn(MASK, rules.rules.mask(df, nested_columns(table)))
     bits = F.col(MASK)
     dropped = F.count_if(rules.rules.dropped(bits)).alias("dropped")
-    return write_table(masked, path, fmt, [dropped, *rules.rules.counts(bits)], [MASK])
+    extra = F.count(F.col(UNDECLARED)) if UNDECLARED in df.columns else F.count_if(F.lit(False))
+    return write_table(masked, path, fmt, [dropped, extra.alias(UNDECLARED), *rules.rules.counts(bits)], [MASK])

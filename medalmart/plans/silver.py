@@ -11,7 +11,7 @@ from ..operators.dedup import keep_first
 from ..operators.lookup import hot_keys, key_counts, lookup, unmatched
 from ..operators.rules import removed
 from ..operators.shape import flatten
-from ..sources.readers import CORRUPT
+from ..sources.readers import CORRUPT, UNDECLARED
 from .bronze import MASK
 
 COPIES = "__copies"
@@ -65,7 +65,7 @@ def silver_frame(
     Rows that cannot stay leave first (without a shuffle), so they neither travel
     nor win over a good copy. Then one lookup and one deduplication shuffle.
     """
-    flat = flatten(bronze, table.flatten)
+    flat = flatten(bronze, table.flatten).drop(UNDECLARED)
     staying = flat.filter(rules.rules.keeps(flat))
     staying = staying.withColumn(MASK, rules.rules.mask(flat, staying=True))
     if parent is not None and table.link is not None:

@@ -6,10 +6,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..config import CORRUPT
 from ..functions.conform import variant_kind, variant_text
 from ..operators.shape import align, as_struct
 
-CORRUPT = "_corrupt_record"
+#: Fields of a JSON line that the schema does not declare: name -> value as text.
+UNDECLARED = "_undeclared"
 
 
 def read_csv(spark: SparkSession, path: str, schema: T.StructType | str | None = None) -> DataFrame:
@@ -33,19 +35,31 @@ def read_csv(spark: SparkSession, path: str, schema: T.StructType | str | None =
 
 
 def read_jsonl(spark: SparkSession, path: str, schema: T.StructType | str) -> DataFrame:
-    """JSON, one object a line, without an inference pass.
+    """JSON, one object a line, without an inference pass; each line is read once.
 
     Fields declared VARIANT come back as text that keeps the delivered digits,
-    with a ``<name>_kind`` column telling a number from a quoted one. A line
-    that is no JSON keeps its text in ``_corrupt_record``.
+    with a ``<name>_kind`` column telling a number from a quoted one. Fields that
+    are not declared come with names and values in the map ``_undeclared``. A
+    line that is no JSON, or holds a value of another type than declared, keeps
+    its whole text in ``_corrupt_record``.
     """
     want = as_struct(schema)
-    df = (
-        spark.read.schema(T.StructType([*want.fields, T.StructField(CORRUPT, T.StringType())]))
-        .option("columnNameOfCorruptRecord", CORRUPT)
-        .json(path)
-    )
-    return df.select(*split_variants(want), F.col(CORRUPT))
+    lines = spark.read.text(path).where(F.trim("value") != "")
+    full = T.StructType([*want.fields, T.StructField(CORRUPT, T.StringType())])
+    parsed = F.from_json("value", full, {"columnNameOfCorruptRecord": CORRUPT})
+    known = F.array(*[F.lit(f.name) for f in want.fields])
+    rest = F.map_filter(F.from_json("value", "map<string,string>"), lambda k, _: ~F.array_contains(known, k))
+    df = lines.select(parsed.alias("line"), F.when(F.size(rest) > 0, rest).alias(UNDECLARED)).select("line.*", UNDECLARED)
+    return df.select(*split_variants(want), F.col(CORRUPT), F.col(UNDECLARED))
+
+
+def undeclared_fields(df: DataFrame, most: int = 100) -> DataFrame:
+    """``field, rows``: the undeclared fields of a JSON source, the ``most`` frequent ones.
+
+    Names are data and may be any number; they are counted where they are.
+    """
+    names = df.where(F.col(UNDECLARED).isNotNull()).select(F.explode(F.map_keys(UNDECLARED)).alias("field"))
+    return names.groupBy("field").agg(F.count(F.lit(1)).alias("rows")).orderBy(F.desc("rows"), "field").limit(most)
 
 
 def split_variants(schema: T.StructType) -> list:
@@ -59,16 +73,6 @@ def split_variants(schema: T.StructType) -> list:
     return out
 
 
-def json_fields(spark: SparkSession, path: str) -> list[str]:
-    """Top-level field names that occur in a JSON-lines source, found by a distributed scan.
-
-    An opt-in drift check: it reads the file once more, and only names leave the tasks.
-    """
-    whole = spark.read.option("singleVariantColumn", "v").json(path)
-    names = whole.select(F.explode(F.map_keys(F.from_json(F.to_json("v"), "map<string,string>"))).alias("name"))
-    return sorted(r.name for r in names.distinct().collect())
-
-
 def read_table(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFrame:
     """A layer table."""
     return spark.read.format(fmt).load(path)

@@ -2,36 +2,12 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry
+import catalog
 from conftest import TESTDATA
 
 DIR = str(TESTDATA / "sf0.001")
 TABLES = ["nation", "region", "customer", "supplier", "part", "orders", "lineitem", "events"]
 
-# One query per kind of operator; tools/compare.py runs them all.
-QUICK = [
-    "age_band",
-    "bronze_stamp",
-    "chk_key_unique",
-    "chk_rerun_stable",
-    "csv_roundtrip",
-    "dedup_first",
-    "dq_duplicates",
-    "dq_flag_priority",
-    "dq_issue_counts",
-    "dq_orphan_flag",
-    "gold_dim_customer",
-    "gold_fact_lookup",
-    "jsonl_roundtrip",
-    "lookup_hot_keys",
-    "medallion_fact",
-    "profile_fanout",
-    "profile_numeric",
-    "quarantine_split",
-    "sk_dense",
-    "val_unlinked_accounts",
-]
-
-
 @pytest.fixture(scope="module")
 def oracle():
     con = duckdb.connect()
@@ -45,7 +21,8 @@ def cells(record, names):
 
 
 def test_every_query_has_its_sql():
-    assert set(entry.queries()) == set(entry.oracle_sql())
+    assert set(catalog.QUERIES) == set(catalog.SQL)
+    assert set(catalog.QUERIES) <= set(entry.queries()) and set(catalog.SQL) <= set(entry.oracle_sql())
 
 
 def test_entry_has_rows(spark):
@@ -53,7 +30,7 @@ def test_entry_has_rows(spark):
 
 
 @pytest.mark.skipif(not TESTDATA.exists(), reason="no test data")
-@pytest.mark.parametrize("name", QUICK)
+@pytest.mark.parametrize("name", sorted(catalog.QUERIES))
 def test_rows_agree_with_sql(spark, oracle, name):
     df = entry.queries()[name](spark, DIR)
     got = sorted(cells(r, df.columns) for r in df.collect())

@@ -83,3 +83,16 @@ def test_variants_keep_digits_and_kind(spark):
     rows = df.select(variant_text("v"), variant_kind("v")).collect()
     assert [r[0] for r in rows] == ["12345678901234.56", "12.5", "1000", None, "true", None] or rows[2][0] == "1000.0"
     assert [r[1] for r in rows] == ["NUMBER", "STRING", "NUMBER", None, "BOOLEAN", None]
+
+
+def test_timestamps_do_not_depend_on_the_session_zone(spark):
+    zone = spark.conf.get("spark.sql.session.timeZone")
+    try:
+        df = spark.createDataFrame([("2025-03-09", "02:30:00"), ("2025-03-09", "25:61:00")], "d string, t string")
+        made = []
+        for z in ("UTC", "America/New_York"):
+            spark.conf.set("spark.sql.session.timeZone", z)
+            made.append([r[0] for r in df.select(F.unix_timestamp(compose_timestamp(F.col("d").cast("date"), F.col("t")))).collect()])
+        assert made[0] == made[1] == [1741487400, None]
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", zone)

@@ -4,9 +4,10 @@ from decimal import Decimal
 
 import pytest
 import yaml
+from pyspark.sql import functions as F
 
 import medalmart
-from conftest import RUN_AT
+from conftest import RUN_AT, tx
 from medalmart.__main__ import main
 from medalmart.operators.checks import rerun_check
 from medalmart.plans.validation import mart_checks, open_gold
@@ -61,7 +62,8 @@ def test_dirty_sources_come_out_as_specified(run):
 
     gone = m.table("bronze", "quarantine/transactions").collect()
     assert sorted((r.transaction_id or "", r.dq_handling) for r in gone) == sorted(
-        [("", "EXCLUDED_NULL_PK")] * 3
+        [("", "EXCLUDED_NULL_PK")] * 2
+        + [("", "QUARANTINED")]
         + [(t, "EXCLUDED_CAST_FAILED") for t in ("t11", "t12", "t23")]
         + [(t, "QUARANTINED") for t in ("t14", "t15", "t17", "t22")]
     )
@@ -144,8 +146,9 @@ def test_stages_can_run_apart(spark, extracts, rules_doc, tmp_path, monkeypatch)
     (tmp_path / "pipeline_config.yaml").write_text(yaml.safe_dump(config))
     path = str(tmp_path / "pipeline_config.yaml")
     assert main(["check", "--config", path]) == 1
-    for stage in ("bronze", "silver", "gold", "check"):
+    for stage in ("bronze", "silver", "gold"):
         assert main([stage, "--config", path]) == 0
+    assert main(["check", "--config", path]) == 1  # the sources are dirty, and the mart shows it
     gold = open_gold(spark, extracts["output"]["gold_path"], ["fact_transactions", "dim_accounts", "dim_customers"])
     assert gold["fact_transactions"].count() == 17
     sql = "select count(*) from dim_accounts a left join dim_customers c on a.customer_id = c.customer_id where c.customer_id is null"
@@ -161,17 +164,41 @@ def test_unexpected_columns_are_reported_and_kept_in_bronze(spark, extracts, rul
     open(path, "w", encoding="utf-8").write("\n".join([lines[0] + ",shoe", lines[1] + ",41"]) + "\n")
     with open(extracts["input"]["transactions_path"], "a", encoding="utf-8") as f:
         f.write('{"transaction_id": "t77", "loyalty": 3}\n')
-    m = medalmart.Medallion(spark, {**extracts, "drift_scan": True}, rules_doc, run_at=RUN_AT)
+    m = medalmart.Medallion(spark, extracts, rules_doc, run_at=RUN_AT)
     m.bronze()
     assert m.drift["customers"].extra == ("shoe",) and m.drift["accounts"].extra == ()
     assert m.drift["transactions"].extra == ("loyalty",)
     assert m.table("bronze", "customers").first().shoe == "41"
+    assert m.table("bronze", "transactions").where("transaction_id = 't77'").first()._undeclared == {"loyalty": "3"}
+
+
+def test_nothing_is_lost_in_silence(spark, extracts, rules_doc):
+    """Values that silver can't type, lines that don't fit, references that are missing: all told."""
+    with open(extracts["input"]["customers_path"], "a", encoding="utf-8") as f:
+        f.write("c8,****8,A,B,31/12/1990,F,Gauteng,LOW,MASS,5,VERIFIED,\nc9,****9,A,B,1990-01-01,F,Gauteng,LOW,MASS,5,VERIFIED,,more\n")
+    with open(extracts["input"]["accounts_path"], "a", encoding="utf-8") as f:
+        f.write("a8,c1,SAVINGS,ACTIVE,01/02/2020,BASIC,,APP,xx,yy,\na9,,SAVINGS,ACTIVE,2020-01-01,BASIC,,APP,,1.00,\n")
+    with open(extracts["input"]["transactions_path"], "a", encoding="utf-8") as f:
+        f.write(tx("t70", transaction_time="25:61:00") + "\n" + tx("t71", metadata={"retry_flag": "maybe"}) + "\n" + tx("t72", location="nowhere") + "\n")
+    m = medalmart.Medallion(spark, extracts, rules_doc, run_at=RUN_AT)
+    m.run()
+    flags = {r.customer_id: r.dq_flag for r in m.table("silver", "customers").collect()}
+    assert flags["c8"] == "DATE_FORMAT" and flags["c3"] == "TYPE_MISMATCH" and "c9" not in flags
+    assert {r.account_id: r.dq_flag for r in m.table("silver", "accounts").collect()}["a8"] == "TYPE_MISMATCH"
+    gone = {(t, r[0]): r.dq_handling for t in ("customers", "accounts", "transactions") for r in m.table("bronze", f"quarantine/{t}").collect()}
+    for key in (("customers", "c9"), ("accounts", "a9"), ("transactions", "t70"), ("transactions", "t71"), ("transactions", "t72")):
+        assert gone[key] == "QUARANTINED"
+    told = {i["issue_type"]: i["records_affected"] for i in json.loads(m.report().first().value)["dq_issues"]}
+    assert told["dob_unreadable"] == told["open_date_unreadable"] == told["credit_limit_cast_failed"] == told["current_balance_cast_failed"] == 1
+    assert told["corrupt_record_customers"] == 1 and told["corrupt_record_transactions"] == 3 and told["null_customer_ref"] == 1
+    assert told["transaction_timestamp_uncomposable"] == 1
 
 
 def test_gold_contracts_hold(run):
     m = run(partition_by={"fact_transactions": ["transaction_type"]})
     fact = m.table("gold", "fact_transactions")
-    assert len(fact.columns) == 14 and fact.columns[-1] == "transaction_type"
+    assert len(fact.columns) == 14 and fact.columns[6] == "transaction_type" and fact.count() == 17
+    assert not [r for r in m.checks().collect() if r.check.endswith(": schema") and r.violations]
     assert len(m.table("gold", "dim_accounts").columns) == 11 and m.table("gold", "dim_accounts").columns[2] == "customer_id"
     assert len(m.table("gold", "dim_customers").columns) == 9 and "dob" not in m.table("gold", "dim_customers").columns
 
@@ -179,7 +206,9 @@ def test_gold_contracts_hold(run):
 def test_broken_contracts_are_counted(spark, run, model):
     m = run()
     checks = {r.check: r.violations for r in m.checks().collect()}
-    assert len(checks) == 10 and not any(checks.values()) and m.unfilled() == []
+    assert len(checks) == 16 and m.unfilled() == []
+    dirty = {"dim_customers: not null": 1, "fact_transactions: province as in dim_customers": 2, "dim_customers: province members": 6}
+    assert {k: v for k, v in checks.items() if v} == dirty
     gold = {n: m.table("gold", n) for n in [*model.dimensions, *model.facts]}
     gold["dim_accounts"] = gold["dim_accounts"].filter("account_id = 'a1'").unionAll(gold["dim_accounts"].filter("account_id = 'a1'"))
     gold["dim_customers"] = gold["dim_customers"].withColumnRenamed("gender", "sex")
@@ -189,7 +218,13 @@ def test_broken_contracts_are_counted(spark, run, model):
         "dim_customers: schema": 2,
         "fact_transactions: account_sk -> dim_accounts": 1,
         "fact_transactions: currency = USD": 17,
+        **dirty,
     }
+    gold["dim_accounts"] = gold["dim_accounts"].withColumn("customer_id", F.when(F.col("account_id") != "a1", F.col("customer_id")))
+    gold["fact_transactions"] = gold["fact_transactions"].withColumn("customer_sk", F.when(F.col("transaction_id") != "t01", F.col("customer_sk")))
+    found = {r.check: r.violations for r in mart_checks(gold, model).collect() if r.violations}
+    assert found["dim_accounts: customer_id -> dim_customers"] == 2 and found["dim_accounts: not null"] == 2
+    assert found["fact_transactions: not null"] == 1
 
 
 def test_silver_plan_moves_rows_once(spark, run):

@@ -28,10 +28,12 @@ def names(rules):
 def test_short_rules_take_the_defaults(spark, model):
     got = compile_rules(yaml.safe_load(SHORT), model.tables["transactions"])
     assert names(got) == [
+        "corrupt_record_transactions",
         "null_transaction_id",
         "null_required",
         "amount_type_mismatch",
         "amount_cast_failed",
+        "transaction_timestamp_uncomposable",
         "channel_domain",
         "date_format_inconsistency",
         "date_unreadable",
@@ -121,3 +123,9 @@ def test_links_must_follow_their_table(tmp_path):
     (tmp_path / "m.yaml").write_text(yaml.safe_dump(doc))
     with pytest.raises(ValueError, match="before"):
         Model.load(tmp_path / "m.yaml")
+
+
+def test_date_ranges_know_the_formats(spark):
+    df = spark.createDataFrame([("22/03/1999",), ("1999-03-22",), ("22/03/2009",), ("?",)], "d string")
+    test = R.beyond("d", "2000-01-01", None, "date", ["yyyy-MM-dd", "dd/MM/yyyy"])
+    assert [r[0] for r in df.select(test(F.col)).collect()] == [True, True, False, False]

@@ -1,7 +1,7 @@
 from pyspark.sql import functions as F
 
 from medalmart.operators.shape import align, drift, flatten, project, schema_report
-from medalmart.sources.readers import json_fields, read_csv, read_jsonl
+from medalmart.sources.readers import read_csv, read_jsonl, undeclared_fields
 
 
 def test_align_adds_typed_nulls_and_keeps_extras(spark):
@@ -44,4 +44,14 @@ def test_jsonl_is_read_without_inference(spark, tmp_path):
     rows = read_jsonl(spark, path, "id string, v variant").orderBy(F.col("id").asc_nulls_last()).collect()
     assert [(r.id, r.v_kind) for r in rows] == [("1", "NUMBER"), ("2", "STRING"), (None, None)]
     assert rows[2]._corrupt_record == "nope"
-    assert json_fields(spark, path) == ["_corrupt_record", "id", "more", "v"] or json_fields(spark, path) == ["id", "more", "v"]
+    assert [r._undeclared for r in rows] == [{"more": "1"}, None, None]
+    assert [tuple(r) for r in undeclared_fields(read_jsonl(spark, path, "id string, v variant")).collect()] == [("more", 1)]
+
+
+def test_jsonl_keeps_what_does_not_fit(spark, tmp_path):
+    lines = ['{"id":"1","flag":"maybe","new":{"a":[1,2]},"other":null}', '{"id":"2","place":"nowhere"}', '{"id":"3","flag":true,"place":{"x":"y"}}', ""]
+    (tmp_path / "x.jsonl").write_text("\n".join(lines) + "\n", encoding="utf-8")
+    rows = read_jsonl(spark, str(tmp_path / "x.jsonl"), "id string, flag boolean, place struct<x:string>").orderBy("id").collect()
+    assert [r.id for r in rows] == ["1", "2", "3"]
+    assert [r._corrupt_record for r in rows] == [lines[0], lines[1], None]
+    assert rows[0]._undeclared == {"new": '{"a":[1,2]}', "other": None} and rows[2].place.x == "y"
