@@ -7,7 +7,7 @@ from collections.abc import Iterable, Iterator, Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from medalmart.sources.scratch import scratch_path
+from medalmart.sources.scratch import drop_path, scratch_path
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -19,7 +19,16 @@ def stored(frame: DataFrame, name: str) -> DataFrame:
     spark = frame.sparkSession
     path = scratch_path(spark, name)
     frame.write.parquet(path)
-    return spark.read.schema(frame.schema).parquet(path)
+    out = spark.read.schema(frame.schema).parquet(path)
+    out.stored_at = path
+    return out
+
+
+def discard(*frames: DataFrame | None) -> None:
+    """Remove stored frames that nothing reads any more."""
+    for f in frames:
+        if f is not None:
+            drop_path(f.sparkSession, f.stored_at)
 
 
 def without(frame: DataFrame, names: Iterable[str]) -> list[Column]:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import discard, stored
 
 
 def _star(edges: DataFrame, large: bool) -> DataFrame:
@@ -30,7 +30,8 @@ def components(edges: DataFrame) -> DataFrame:
     """
     edges = stored(edges.where("u != v").select("u", "v").distinct(), "edges")
     while not edges.isEmpty():
-        edges = stored(_star(_star(edges, True), False), "edges")
+        before, edges = edges, stored(_star(_star(edges, True), False), "edges")
+        discard(before)
         # Edges lead from a larger to a smaller node; if none leads on from where another ends, all are stars.
         if edges.join(edges.select(F.col("u").alias("v")), "v", "left_semi").isEmpty():
             break

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import slices, stored, table, without
+from .common import discard, slices, stored, table, without
 from .graph import components
 from .texts import mixed, shingle_hashes, word_hashes
 
@@ -207,8 +207,8 @@ def _most(shared: Column, size: Column, other: Column) -> Column:
 
 
 def _able(members: DataFrame) -> DataFrame:
-    """Members that could be similar enough to some other of their bucket, going by sizes alone."""
-    least = members.groupBy("bucket").agg(F.min("size").alias("least"), F.count("*").alias("n")).where("n > 1").drop("n")
+    """Members of buckets of several classes that could be similar enough to some other, going by sizes alone."""
+    least = members.groupBy("bucket").agg(F.min("size").alias("least"), F.min("class").alias("a"), F.max("class").alias("b")).where("a < b").drop("a", "b")
     return members.join(least, "bucket").where(_most(F.col("shared"), F.col("size"), F.col("least")) >= SIMILARITY - 1e-9).drop("least")
 
 
@@ -251,14 +251,17 @@ def classes(docs: DataFrame, key: str = "doc_id", text: str = "text") -> tuple[D
     needed = members.select("content").distinct()
     texts = stored(rows.select("content", "text").join(needed, "content", "left_semi").groupBy("content").agg(F.any_value("text").alias("text")), "texts")
     known = texts.select(F.col("content").alias("node"), F.col("content").alias("class"))
-    done, turn = None, 0
+    done, turn, spent = None, 0, []
     while True:
         if turn == 1:
             # Buckets that their most central members have not made one class: their contents meet by rare shingles.
             mixed_ = members.groupBy("bucket").agg(F.min("class").alias("a"), F.max("class").alias("b")).where("a < b").select("bucket")
             open_ = members.join(mixed_, "bucket").select("content", "class").distinct()
-            members = stored(_able(stored(_by_rare_shingles(open_, texts), "rare-shingles")), "members")
+            rare = stored(_by_rare_shingles(open_, texts), "rare-shingles")
+            banded, members = members, stored(_able(rare), "members")
+            discard(rare, banded)
         pivots = stored(_pivots(members, done, turn), "pivots")
+        spent.append(pivots)
         if pivots.isEmpty():
             break
         met = F.col("class") != F.col("pivot_class")
@@ -271,10 +274,15 @@ def classes(docs: DataFrame, key: str = "doc_id", text: str = "text") -> tuple[D
         pairs = pairs.select(F.col("x.content").alias("u"), F.col("y.content").alias("v"), F.col("x.class").alias("cu"), F.col("y.class").alias("cv"))
         merged = stored(components(_links(pairs, texts)).withColumnRenamed("node", "class"), "merged")
         renamed = lambda frame: frame.join(merged, "class", "left").withColumn("class", F.coalesce("component", "class")).drop("component")  # noqa: B023, E731
+        old = (known if turn else None, members, merged)
         known, members = stored(renamed(known), "classes"), stored(renamed(members), "members")
+        discard(*old)
         now = pivots.select("bucket", F.col("pivot").alias("content"))
         done = now if done is None or turn == 1 else done.unionByName(now)
         turn += 1
+    if not turn:
+        known = stored(known, "classes")
+    discard(texts, members, *spent)
     return signed.select("key", "content"), known
 
 
@@ -290,14 +298,16 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
 
 def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """The documents, of each class only the one with the smallest key. Copies leave before the shuffle."""
-    _, known = classes(docs, key, text)
-    names = docs.columns
+    keyed, known = classes(docs, key, text)
+    first = Window.partitionBy("class").orderBy(F.col("key").asc_nulls_last(), "content")
+    named = keyed.join(known.withColumnRenamed("node", "content"), "content", "left").withColumn("class", F.coalesce("class", "content"))
+    kept = named.withColumn("nth", F.row_number().over(first)).where("nth = 1").select("content", F.xxhash64("key").alias("k"))
+    # Which rows stay is settled on keys; the rows themselves move once, and only one of equal rows stays.
     row = F.struct(*without(docs, ())).alias("row")
-    rows = docs.select(row, F.col(key).alias("key"), content(F.col(text)).alias("content"))
-    named = rows.join(known.withColumnRenamed("node", "content"), "content", "left").select("row", "key", F.coalesce("class", "content").alias("class"))
-    first = Window.partitionBy("class").orderBy(F.col("key").asc_nulls_last())
-    kept = named.where("class IS NOT NULL").withColumn("nth", F.row_number().over(first)).where("nth = 1")
-    return kept.select("row.*").unionByName(named.where("class IS NULL").select("row.*")).select(*[F.col(f"`{n}`") for n in names])
+    rows = docs.select(row, content(F.col(text)).alias("content"), F.xxhash64(F.col(key)).alias("k"))
+    once = Window.partitionBy("content", "k").orderBy("k")
+    one = rows.where("content IS NOT NULL").join(kept, ["content", "k"]).withColumn("nth", F.row_number().over(once)).where("nth = 1")
+    return one.select("row.*").unionByName(rows.where("content IS NULL").select("row.*"))
 
 
 def stage_near_dup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -14,9 +14,8 @@ PIECE = 1 << 20
 def tables() -> tuple[np.ndarray, np.ndarray]:
     """Lower case of each code point (itself where that is longer), and whether it is a letter or digit."""
     if not _TABLES:
-        chars = list(map(chr, range(_UNICODE)))
-        _TABLES["lower"] = np.fromiter((ord(y) if len(y := x.lower()) == 1 else ord(x) for x in chars), np.uint32, _UNICODE)
-        _TABLES["alnum"] = np.fromiter(map(str.isalnum, chars), np.bool_, _UNICODE)
+        _TABLES["lower"] = np.fromiter((ord(y) if len(y := x.lower()) == 1 else ord(x) for x in map(chr, range(_UNICODE))), np.uint32, _UNICODE)
+        _TABLES["alnum"] = np.fromiter(map(str.isalnum, map(chr, range(_UNICODE))), np.bool_, _UNICODE)
     return _TABLES["lower"], _TABLES["alnum"]
 
 
