@@ -244,7 +244,10 @@ def classes(docs: DataFrame, key: str = "doc_id", text: str = "text") -> tuple[D
     kind = rows.schema["key"].dataType.simpleString()
     signed = stored(rows.select("key", "content", "text").mapInArrow(_banded, f"key {kind}, content binary, bands array<bigint>"), "signatures")
     each = signed.select("content", "bands").groupBy("content").agg(F.any_value("bands").alias("bands")).select("content", F.explode("bands").alias("bucket"))
-    shared = each.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1")
+    # Most buckets of a group have the same members, as another of it has; one of each set is enough.
+    marks = [F.bit_xor(F.xxhash64(F.lit(k), "content")).alias(f"mark{k}") for k in (1, 2)]
+    shared = each.groupBy("bucket").agg(F.count("*").alias("n"), *marks).where("n > 1")
+    shared = shared.groupBy("n", "mark1", "mark2").agg(F.min("bucket").alias("bucket"), F.count("*").alias("alike")).select("bucket", (F.col("n") * F.col("alike")).alias("n"))
     weight = F.sum("n").over(Window.partitionBy("content")).alias("weight")
     none = F.lit(0).cast("long")
     members = stored(each.join(shared, "bucket").select("bucket", "content", F.col("content").alias("class"), weight, none.alias("size"), none.alias("shared")), "members")
