@@ -222,7 +222,9 @@ class Encoder:
         own = np.ones(len(ids), np.bool_)
         own[np.cumsum(counts) - 1] = False
         if order:
-            ids[own] = np.concatenate(flats)[np.repeat(first - upto[:-1], length) + np.arange(upto[-1])]
+            place = np.repeat((first - upto[:-1]).astype(np.int32), length)
+            place += np.arange(upto[-1], dtype=np.int32)
+            ids[own] = np.concatenate(flats)[place]
         return counts, ids
 
 
@@ -261,6 +263,7 @@ def _writer(folder: str, path: str, unit: str, block: int, end_id: int) -> Calla
             n_docs += len(keys)
             for a, b in slices(pc.binary_length(texts).to_pylist(), AT_ONCE):
                 shard.add(keys.slice(a, b - a), *encoder(path)(texts.slice(a, b - a), end_id))
+                pa.default_memory_pool().release_unused()  # workers live on; others need the memory
         if shard is not None:
             shard.close(key_type)
             sink.close()
