@@ -27,8 +27,8 @@ from pyspark.sql import functions as F
 
 from .common import stored, table
 
-#: Lines that a repeated run has at least.
-MIN_LINES = 2
+#: Lines that a repeated run has at least: a single line counts, so one-line documents and passages on one line go too.
+MIN_LINES = 1
 RUNS = "array<struct<line: bigint, lines: bigint, from_key: {0}, from_line: bigint>>"
 
 

@@ -2,7 +2,7 @@ import hashlib
 
 import pytest
 
-from medalmart.llm.line_runs import line_runs
+from medalmart.llm.line_runs import line_runs, op8_line_runs
 
 
 def brute(rows, n):
@@ -37,3 +37,11 @@ def test_odd_rows(odd, empty):
     got = sorted((str(r["doc_id"]), r["n_removed"]) for r in line_runs(odd, min_lines=1).collect())
     assert got == [("1", 0), ("1", 0), ("2", 0), ("None", 1)]
     assert line_runs(empty).count() == 0
+
+
+def test_single_lines_go_too(spark, tmp_path):
+    passage = " ".join(f"word{i}" for i in range(60))
+    rows = [(1, f"a\n{passage}\nb"), (2, f"c\n{passage}\nd"), (3, passage), (4, "alone"), (5, "alone"), (6, "e\nf")]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r["doc_id"]: (r["n_removed"], r["n_runs"]) for r in op8_line_runs(spark, str(tmp_path)).collect()}
+    assert got == {1: (0, 0), 2: (1, 1), 3: (1, 1), 4: (0, 0), 5: (1, 1), 6: (0, 0)}
