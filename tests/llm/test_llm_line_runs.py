@@ -1,4 +1,5 @@
 import hashlib
+import random
 
 import pytest
 
@@ -45,3 +46,40 @@ def test_single_lines_go_too(spark, tmp_path):
     spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
     got = {r["doc_id"]: (r["n_removed"], r["n_runs"]) for r in op8_line_runs(spark, str(tmp_path)).collect()}
     assert got == {1: (0, 0), 2: (1, 1), 3: (1, 1), 4: (0, 0), 5: (1, 1), 6: (0, 0)}
+
+
+def brute_runs(rows, n):
+    """Maximal repeated runs by key, from the longest earlier occurrence of every suffix."""
+    rows = sorted(rows, key=lambda r: (r[0] is None, r[0], hashlib.md5((r[1] or "").encode()).digest()))
+    seqs = [(k, [x.strip(" ") for x in (t or "").split("\n") if x.strip(" ")]) for k, t in rows]
+    out = {}
+    for i, (k, own) in enumerate(seqs):
+        out[k], end = [], 0
+        for p in range(len(own)):
+            best = (0, None, None)
+            for a, (q, other) in enumerate(seqs[: i + 1]):
+                for b in range(p if a == i else len(other)):
+                    size = 0
+                    while p + size < len(own) and b + size < len(other) and own[p + size] == other[b + size]:
+                        size += 1
+                    if size > best[0]:
+                        best = (size, q, b)
+            if best[0] >= n and p + best[0] > end:
+                out[k].append((p, *best))
+                end = p + best[0]
+    return out
+
+
+def test_run_is_whole_if_part_of_it_occurs_earlier(spark):
+    rows = [(1, "b\nc"), (2, "a\nb\nc\nd"), (3, "a\nb\nc\nd")]
+    got = {r["doc_id"]: [tuple(x) for x in r["runs"]] for r in line_runs(spark.createDataFrame(rows, "doc_id long, text string"), min_lines=2).collect()}
+    assert got == {1: [], 2: [(1, 2, 1, 0)], 3: [(0, 4, 2, 0)]}
+
+
+@pytest.mark.parametrize("n", [1, 3])
+def test_runs_as_brute_force(spark, n):
+    rng = random.Random(5)
+    texts = ["\n".join(rng.choice("abc") for _ in range(rng.randint(0, 14))) for _ in range(40)]
+    rows = list(enumerate([*texts, "\n".join("x" * 21), texts[3] + "\n" + texts[4], texts[9]]))
+    got = {r["doc_id"]: [tuple(x) for x in r["runs"]] for r in line_runs(spark.createDataFrame(rows, "doc_id long, text string"), min_lines=n).collect()}
+    assert got == brute_runs(rows, n)
