@@ -130,7 +130,8 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = NEAREST, key: str = "
     every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
     dealt = lambda n: F.pmod(F.xxhash64("id", "v"), F.lit(n)).cast("int")
     asking = rows.where("asks").dropDuplicates(["id", "v"]).select("dim", dealt(n_query).alias("qb"), every(n_candidate).alias("cb"), "id", "v")
-    offered = rows.select("dim", every(n_query).alias("qb"), dealt(n_candidate).alias("cb"), "id", "v")
+    # Rows that repeat a vector under its id would all be dealt to one block; copies go before they move.
+    offered = rows.select("dim", "id", "v").distinct().select("dim", every(n_query).alias("qb"), dealt(n_candidate).alias("cb"), "id", "v")
     keys = ["dim", "qb", "cb"]
     found = asking.groupBy(*keys).cogroup(offered.groupBy(*keys)).applyInArrow(_tiles(k), "query_id bigint, vec_id bigint, score double")
     # Each query has k rows for each candidate block. The rank limits what each task sends on to k rows a query.

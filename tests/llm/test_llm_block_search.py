@@ -1,6 +1,7 @@
 import numpy as np
 import pytest
 
+from medalmart.llm import block_search
 from medalmart.llm.block_search import nearest, products, quantised
 from pyspark.sql import functions as F
 
@@ -29,6 +30,27 @@ def test_exact_with_ties_and_odd_vectors(spark, size, k):
     assert nearest(frame.limit(0), F.lit(True)).count() == 0
 
 
+def test_repeated_rows_do_not_fill_a_block(spark, monkeypatch):
+    rng = np.random.default_rng(4)
+    rows = [(i, rng.normal(size=8).tolist()) for i in range(1, 61)]
+    frame = spark.createDataFrame(rows + [rows[6]] * 600, "vec_id long, embedding array<float>")
+    real = block_search._tiles
+
+    def watched(k):
+        run = real(k)
+
+        def small(queries, candidates):
+            assert len(candidates) <= 60, f"{len(candidates)} candidates in a block"
+            return run(queries, candidates)
+
+        return small
+
+    monkeypatch.setattr(block_search, "_tiles", watched)
+    asks = F.coalesce(F.col("vec_id") % 20 == 0, F.lit(False))
+    got = sorted(map(tuple, nearest(frame, asks, 5, candidates=100).collect()))
+    assert got == brute([(i, tuple(np.float32(v).tolist())) for i, v in rows], 5)
+
+
 def test_bounds_hold():
     rng = np.random.default_rng(0)
     x, y = rng.normal(size=(200, 32)) * np.exp(rng.normal(size=(200, 1)) * 3), rng.normal(size=(200, 32))
