@@ -23,6 +23,14 @@ def test_pieces_encode_like_whole_texts(texts):
     assert counts.tolist() == list(map(len, want)) and ids.tolist() == sum(want, [])
 
 
+def test_added_tokens_are_matched_in_their_own_case():
+    texts = ["Some <|ENDOFTEXT|> here, THERE.", "A<|StartOfText|>B x", "<|endoftext|> <|Endoftext|>", "NO token, Here."]
+    t = Tokenizer.from_file(tokenizer_path())
+    counts, ids = encoder(tokenizer_path())(pa.array(texts), 1)
+    want = [t.encode(x, add_special_tokens=False).ids + [1] for x in texts]
+    assert counts.tolist() == list(map(len, want)) and ids.tolist() == sum(want, [])
+
+
 @pytest.mark.parametrize("unit", ["byte", "bit"])
 @pytest.mark.parametrize("n", [1, 7, 8, 1000])
 def test_planes_round_trip(unit, n):
