@@ -53,13 +53,10 @@ def read_jsonl(spark: SparkSession, path: str, schema: T.StructType | str) -> Da
     return df.select(*split_variants(want), F.col(CORRUPT), F.col(UNDECLARED))
 
 
-def undeclared_fields(df: DataFrame, most: int = 100) -> DataFrame:
-    """``field, rows``: the undeclared fields of a JSON source, the ``most`` frequent ones.
-
-    Names are data and may be any number; they are counted where they are.
-    """
+def undeclared_fields(df: DataFrame) -> DataFrame:
+    """``field, rows``: all undeclared fields of a JSON source. Names are data and may be any number."""
     names = df.where(F.col(UNDECLARED).isNotNull()).select(F.explode(F.map_keys(UNDECLARED)).alias("field"))
-    return names.groupBy("field").agg(F.count(F.lit(1)).alias("rows")).orderBy(F.desc("rows"), "field").limit(most)
+    return names.groupBy("field").agg(F.count(F.lit(1)).alias("rows"))
 
 
 def split_variants(schema: T.StructType) -> list:

@@ -172,6 +172,16 @@ def test_unexpected_columns_are_reported_and_kept_in_bronze(spark, extracts, rul
     assert m.table("bronze", "transactions").where("transaction_id = 't77'").first()._undeclared == {"loyalty": "3"}
 
 
+def test_every_undeclared_field_is_told(spark, extracts, rules_doc, caplog):
+    with open(extracts["input"]["transactions_path"], "a", encoding="utf-8") as f:
+        f.write("".join(f'{{"transaction_id": "u{i}", "extra{i:03}": 1}}\n' for i in range(130)))
+    m = medalmart.Medallion(spark, extracts, rules_doc, run_at=RUN_AT)
+    m.bronze()
+    assert m.undeclared == {"transactions": 130} and len(m.drift["transactions"].extra) == 100
+    assert "130 undeclared fields" in caplog.text
+    assert {r.field for r in m.table("bronze", "transactions_undeclared").collect()} == {f"extra{i:03}" for i in range(130)}
+
+
 def test_nothing_is_lost_in_silence(spark, extracts, rules_doc):
     """Values that silver can't type, lines that don't fit, references that are missing: all told."""
     with open(extracts["input"]["customers_path"], "a", encoding="utf-8") as f:
