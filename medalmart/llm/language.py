@@ -238,5 +238,5 @@ MAIN_SHARE = 0.5
 
 def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    told = predict(docs.select("doc_id", F.col("text")), languages(docs))
-    return told.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
+    told = predict(docs.select("doc_id", F.col("text")), languages(docs), spans=True)
+    return told.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score", F.size("spans").cast("long").alias("n_spans"))

@@ -45,6 +45,14 @@ def test_spans_of_mixed_text(langs):
         assert abs(len(p) - (s["end"] - s["start"])) <= 12
 
 
+def test_query_counts_spans(langs, tmp_path):
+    frame, rows, text = langs
+    mixed = frame.sparkSession.createDataFrame([(2000, text(ENGLISH, 25) + " / " + text(GERMAN, 40), None)], frame.schema)
+    frame.unionByName(mixed).write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r["doc_id"]: r["n_spans"] for r in language.op10_language(frame.sparkSession, str(tmp_path)).collect()}
+    assert got[2000] == 2 and got[900] == got[902] == 0 and all(got[r[0]] == 1 for r in rows[:150])
+
+
 def test_viterbi_is_the_best_path():
     rng = np.random.default_rng(2)
     score, doc = rng.normal(size=(14, 3)).astype(np.float32) * 3, np.array([0] * 6 + [2] * 5 + [3] * 3)
