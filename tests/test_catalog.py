@@ -3,7 +3,7 @@ import pytest
 
 import __spark_entry__ as entry
 import catalog
-from conftest import TESTDATA
+from support import TESTDATA
 
 DIR = str(TESTDATA / "sf0.001")
 TABLES = ["nation", "region", "customer", "supplier", "part", "orders", "lineitem", "events"]

@@ -7,7 +7,7 @@ import yaml
 from pyspark.sql import functions as F
 
 import medalmart
-from conftest import RUN_AT, tx
+from support import RUN_AT, tx
 from medalmart.__main__ import main
 from medalmart.operators.checks import rerun_check
 from medalmart.plans.validation import mart_checks, open_gold
