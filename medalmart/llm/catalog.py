@@ -12,6 +12,9 @@ from .block_search import op3_block_search
 from .decontaminate import op6_decontaminate
 from .language import op10_language
 from .near_dup import op7_near_dup
+from .filter_audit import AUDIT_SQL, op13_filter_audit
+from .resampling import RESAMPLING_SQL, op12_importance_resampling
+from .secret_scan import op11_secret_scan
 
 QUERIES = {
     "op1_source_mixing": op1_source_mixing,
@@ -24,5 +27,8 @@ QUERIES = {
     "op8_line_runs": op8_line_runs,
     "op9_suffix_dedup": op9_suffix_dedup,
     "op10_language": op10_language,
+    "op11_secret_scan": op11_secret_scan,
+    "op12_importance_resampling": op12_importance_resampling,
+    "op13_filter_audit": op13_filter_audit,
 }
-SQL = {"op1_source_mixing": MIXING_SQL}
+SQL = {"op1_source_mixing": MIXING_SQL, "op12_importance_resampling": RESAMPLING_SQL, "op13_filter_audit": AUDIT_SQL}

@@ -1,0 +1,118 @@
+import hashlib
+import math
+import re
+import zlib
+from collections import Counter
+from pathlib import Path
+
+import duckdb
+import numpy as np
+import pytest
+from texts import SCHEMA, prose
+
+from medalmart.llm import resampling as rs
+
+WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
+
+
+def runs(text, run=1):
+    lower = re.sub("[A-Z]", lambda m: m[0].lower(), text or "")
+    words = WORD.findall(lower)
+    return words, [" ".join(words[i : i + k]) for k in range(1, run + 1) for i in range(len(words) - k + 1)]
+
+
+def bucket(feature, m):
+    return zlib.crc32(feature.encode()) % m
+
+
+def brute(docs, target, run=1, m=10_000, least=20, percent=10, seed=2024):
+    s, t = Counter(), Counter()
+    for _, text, *_ in docs:
+        s.update(bucket(f, m) for f in runs(text, run)[1])
+    for text in target:
+        t.update(bucket(f, m) for f in runs(text, run)[1])
+    all_s, all_t = sum(s.values()), sum(t.values())
+    gain = [math.floor(1000 * math.log((t[b] + 1) * (all_s + m) / ((s[b] + 1) * (all_t + m)))) for b in range(m)]
+    out = []
+    for key, text, *_ in docs:
+        words, own = runs(text, run)
+        weight = sum(gain[bucket(f, m)] for f in own) // len(own) if own else 0
+        h = int(hashlib.sha256(f"{seed}:{'' if key is None else key}".encode()).hexdigest()[:8], 16)
+        out.append([key, len(own), weight, weight + math.floor(-1000 * math.log(-math.log((h + 0.5) / 4294967296))), len(words)])
+    able = sorted((r for r in out if r[4] >= least), key=lambda r: (-r[3], r[0] is None, r[0] or 0))
+    rank = {id(r): i for i, r in enumerate(able[: percent * len(able) // 100], 1)}
+    return [(*r[:4], rank.get(id(r))) for r in out]
+
+
+def found(frame):
+    return sorted(map(tuple, frame.select("doc_id", "n_features", "weight", "score", "rank").collect()), key=repr)
+
+
+@pytest.mark.parametrize("run, percent", [(1, 10), (1, 45), (3, 30)])
+def test_agrees_with_brute_force(spark, rows, run, percent):
+    target = [rows[0][1], rows[3][1][:90], None, ""]
+    bench = spark.createDataFrame([(t,) for t in target], "text string")
+    docs = spark.createDataFrame(rows, SCHEMA).repartition(3)
+    assert found(rs.resample(docs, bench, run=run, percent=percent)) == sorted(brute(rows, target, run, percent=percent), key=repr)
+
+
+def test_sql_agrees_with_brute_force(rows):
+    con = duckdb.connect()
+    con.execute("CREATE TABLE documents (doc_id BIGINT, text VARCHAR)")
+    con.execute("CREATE TABLE benchmark (item_id BIGINT, text VARCHAR)")
+    con.executemany("INSERT INTO documents VALUES (?, ?)", [r[:2] for r in rows])
+    con.executemany("INSERT INTO benchmark VALUES (?, ?)", [(1, rows[0][1]), (2, None)])
+    assert sorted(con.execute(rs.RESAMPLING_SQL).fetchall(), key=repr) == sorted(brute(rows, [rows[0][1], None]), key=repr)
+
+
+def test_runs_across_pieces():
+    words = prose(__import__("random").Random(1), 60)
+    for run in (1, 2, 4):
+        whole = Counter(w.encode() for w in runs(words, run)[1])
+        for size in (5, 30, 10_000):
+            rs_lists = rs.word_lists
+            try:
+                rs.word_lists = lambda t, table, size=size: rs_lists(t, table, size)
+                got = Counter()
+                for _, counts in rs.features(words.encode(), run):
+                    got.update(counts)
+            finally:
+                rs.word_lists = rs_lists
+            assert got == whole
+
+
+@pytest.mark.parametrize("ties", [1, 3, 500])
+def test_quickselect_finds_every_place(spark, ties):
+    rng = np.random.default_rng(ties)
+    score = rng.integers(-200 // ties, 200 // ties + 1, 500)
+    data = [(None if i % 50 == 0 else int(rng.integers(0, 9)), 20, 20, 0, int(x)) for i, x in enumerate(score)]
+    scored = spark.createDataFrame(data, "key long, n_words long, n_features long, weight long, score long").repartition(4)
+    order = sorted(((-d[4], d[0] is None, d[0] or 0) for d in data))
+    for percent in (1, 37, 100):
+        got = rs.drawn(scored, percent=percent).where("rank IS NOT NULL").orderBy("rank").collect()
+        assert [r.rank for r in got] == list(range(1, percent * 5 + 1))
+        assert [(-r.score, r.key is None, r.key or 0) for r in got] == order[: percent * 5]
+
+
+def test_one_row_a_third_of_the_table_many_times(spark):
+    data = [(7, "same words " * 15, None, None)] * 60 + [(i, f"other words {i} " * 10, None, None) for i in range(100, 140)]
+    docs = spark.createDataFrame(data, SCHEMA).repartition(4)
+    bench = spark.createDataFrame([("same words",)], "text string")
+    got = [tuple(r) for r in rs.resample(docs, bench, percent=50).select("doc_id", "n_features", "weight", "score", "rank").collect()]
+    assert sorted(got, key=repr) == sorted(brute(data, ["same words"], percent=50), key=repr)
+
+
+def test_odd_and_empty_input(spark, odd, empty):
+    bench = spark.createDataFrame([], "text string")
+    assert rs.resample(empty, bench).count() == 0
+    rows = [(r.doc_id, r.text) for r in odd.collect()]
+    assert found(rs.resample(odd, bench, least_words=5, percent=70)) == sorted(brute(rows, [], least=5, percent=70), key=repr)
+    assert {r.rank for r in rs.resample(odd, bench).collect()} == {None}
+
+
+@pytest.mark.skipif(not Path("/root/testdata/sf0.001").exists(), reason="no test data")
+def test_the_query_draws_a_tenth(spark):
+    out = rs.op12_importance_resampling(spark, "/root/testdata/sf0.001")
+    assert out.columns == ["doc_id", "n_features", "weight", "score", "rank"]
+    n = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").count()
+    assert out.count() == n and out.where("n_features >= 20").count() // 10 == out.where("rank IS NOT NULL").count()
