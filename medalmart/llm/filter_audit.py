@@ -2,9 +2,10 @@
 
 Words are encoded twice. A task makes CSR shards of the document-term matrix with a dictionary of
 their own; the distinct words of all shards form the global dictionary, whose numbers then replace
-the shards' own. So only distinct words of shards are shuffled, never tokens. Row sums of the
-matrix are word counts, its nonzero entries distinct words. A document that a shard can't hold is
-several rows of several shards; global numbers tell which of its words are the same.
+the shards' own. So only distinct words of shards are shuffled, never tokens, and they travel in
+packs: those of one shard and one part of the dictionary together. Row sums of the matrix are word
+counts, its nonzero entries distinct words. A document that a shard can't hold is several rows of
+several shards; global numbers tell which of its words are the same.
 
 With a bit for each filter, a document's failures are one of 32 masks. Everything else follows
 from counts by part and mask, whatever the number of documents.
@@ -21,12 +22,15 @@ import hashlib
 from collections import Counter
 from collections.abc import Iterator
 from itertools import permutations
+from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from medalmart.operators.lookup import estimated_bytes
+
 from .common import stored, table
 from .octets import PIECE, octets, row_numbers, word_lists
 
@@ -37,9 +41,14 @@ MARKS = b"#$%&*|"
 _CAPITALS = bytes(range(ord("A"), ord("Z") + 1))
 _CONTINUED = bytes(range(0x80, 0xC0))
 #: A shard ends when its texts or its dictionary are this large.
-SHARD_BYTES, SHARD_WORDS = 16 << 20, 1 << 19
-#: Words longer than this stand in the dictionary as a blank and their digest; no word begins with a blank.
+SHARD_BYTES, SHARD_WORDS = 8 << 20, 1 << 18
+#: Words longer than this stand in the dictionary as a tab and their digest; no word begins with a tab.
 LONG_WORD = 64
+#: The dictionary has a part for so many bytes of input (as the optimizer estimates them), up to a
+#: million parts. A part then holds a few MB of words at any size, and packs are never more than words.
+PART_BYTES, MOST_PARTS = 2 << 20, 1 << 20
+#: A term is its part, and in the low bits the word's place in the part's order.
+PART_BITS = 32
 
 _CSR = "shard bigint, row array<bigint>, split array<boolean>, first array<int>, {columns}, n array<int>"
 _FACT = (("row", pa.int64()), ("key", None), ("part", pa.string()), ("content", pa.binary()), ("marked", pa.bool_()), ("capitals", pa.int64()), ("points", pa.int64()))
@@ -62,14 +71,22 @@ class _Shard:
         self.n.append(np.fromiter(counts.values(), np.int32, n))
         self.rows.append((row, split))
 
-    def batch(self, number: int, fact: pa.DataType | None) -> pa.RecordBatch:
-        words = [w if len(w) <= LONG_WORD else b" " + hashlib.sha256(w).digest() for w in self.codes]
+    def batch(self, number: int, fact: pa.DataType | None, parts: int) -> pa.RecordBatch:
+        words = [w if len(w) <= LONG_WORD else b"\t" + hashlib.sha256(w).hexdigest().encode() for w in self.codes]
+        part = np.fromiter(map(crc32, words), np.int64, len(words)) % parts
+        order = np.argsort(part, kind="stable")
+        code = np.empty(len(words), np.int32)
+        code[order] = np.arange(len(words))
+        cuts = np.flatnonzero(np.diff(part[order], prepend=-1, append=-1))
+        ordered = [words[k] for k in order.tolist()]
+        packs = [{"part": p, "words": b" ".join(ordered[a:b])} for p, a, b in zip(part[order][cuts[:-1]].tolist(), cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)]
         first = np.cumsum([0, *map(len, self.code)])
         row, split = zip(*self.rows, strict=True)
         names = [n for n, _ in _FACT]
         columns = {
-            "row": (row, pa.int64()), "split": (split, pa.bool_()), "first": (first, pa.int32()), "code": (np.concatenate(self.code), pa.int32()),
-            "words": (words, pa.binary()), "facts": ([dict(zip(names, f, strict=True)) for f in self.facts], fact), "n": (np.concatenate(self.n), pa.int32()),
+            "row": (row, pa.int64()), "split": (split, pa.bool_()), "first": (first, pa.int32()), "code": (code[np.concatenate(self.code)], pa.int32()),
+            "packs": (packs, pa.struct([("part", pa.int64()), ("words", pa.binary())])), "facts": ([dict(zip(names, f, strict=True)) for f in self.facts], fact),
+            "n": (np.concatenate(self.n), pa.int32()),
         }
         lists = [pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), pa.array(x, t)) for x, t in columns.values()]
         return pa.RecordBatch.from_arrays([pa.array([number], pa.int64()), *lists], ["shard", *columns])
@@ -80,7 +97,7 @@ def _facts(text: bytes) -> tuple:
     return hashlib.sha256(text).digest()[:16], len(text.translate(None, MARKS)) < len(text), len(text) - len(text.translate(None, _CAPITALS)), len(text.translate(None, _CONTINUED))
 
 
-def _sharded(shard_bytes: int, shard_words: int, piece: int):
+def _sharded(shard_bytes: int, shard_words: int, piece: int, parts: int):
     def full(shard: _Shard) -> bool:
         return shard.size >= shard_bytes or len(shard.codes) >= shard_words
 
@@ -96,24 +113,24 @@ def _sharded(shard_bytes: int, shard_words: int, piece: int):
                     if size >= shard_bytes or len(counts) >= shard_words:
                         # What one shard can't hold goes on in the next.
                         if shard.rows:
-                            yield shard.batch(next(numbers), fact)
+                            yield shard.batch(next(numbers), fact, parts)
                         shard = _Shard()
                         shard.add(row, counts, True)
-                        yield shard.batch(next(numbers), fact)
+                        yield shard.batch(next(numbers), fact, parts)
                         shard, counts, size, split = _Shard(), Counter(), 0, True
                 shard.add(row, counts, split)
                 shard.facts.append((row, key, part, *_facts(text)))
                 shard.size += len(text)
                 if full(shard):
-                    yield shard.batch(next(numbers), fact)
+                    yield shard.batch(next(numbers), fact, parts)
                     shard = _Shard()
         if shard.rows:
-            yield shard.batch(next(numbers), fact)
+            yield shard.batch(next(numbers), fact, parts)
 
     return run
 
 
-def term_matrix(docs: DataFrame, key: str = "doc_id", text: str = "text", part: str = "lang", shard_bytes: int = SHARD_BYTES, shard_words: int = SHARD_WORDS, piece: int = PIECE) -> tuple[DataFrame, DataFrame, DataFrame]:
+def term_matrix(docs: DataFrame, key: str = "doc_id", text: str = "text", part: str = "lang", shard_bytes: int = SHARD_BYTES, shard_words: int = SHARD_WORDS, piece: int = PIECE, part_bytes: int = PART_BYTES) -> tuple[DataFrame, DataFrame, DataFrame]:
     """The matrix in CSR shards, the global dictionary (``word, term``), and other facts of the documents.
 
     A shard has ``row`` (numbers of documents), ``split`` (whether other shards hold more of the document),
@@ -123,28 +140,41 @@ def term_matrix(docs: DataFrame, key: str = "doc_id", text: str = "text", part:
     texts = docs.select(F.col(key).alias("key"), F.coalesce(F.col(part).cast("string"), F.lit("")).alias("part"), octets(F.col(text)).alias("octets"))
     kinds = {"key": texts.schema["key"].dataType.simpleString(), "part": "string", "content": "binary", "marked": "boolean"}
     fact = ", ".join(f"{n}: {kinds.get(n, 'bigint')}" for n, _ in _FACT)
+    parts = min(MOST_PARTS, 1 + estimated_bytes(texts) // part_bytes)
     # Stored: documents and shards are numbered once, by one scan.
-    local = stored(texts.mapInArrow(_sharded(shard_bytes, shard_words, piece), _CSR.format(columns=f"code array<int>, words array<binary>, facts array<struct<{fact}>>")), "term-shards")
-    terms = local.select("shard", F.posexplode("words").alias("code", "word"))
-    dictionary = stored(terms.select("word").distinct().withColumn("term", F.monotonically_increasing_id()), "dictionary")
-    # A word is in a shard once: not even the most frequent one is hot.
-    known = terms.join(dictionary.hint("merge"), "word").groupBy("shard").agg(F.collect_list(F.struct("code", "term")).alias("known"))
-    known = known.select("shard", F.col("known.code").alias("from"), F.col("known.term").alias("to"))
-    matrix = local.drop("words", "facts").join(known.hint("merge"), "shard", "left").mapInArrow(_global, _CSR.format(columns="term array<bigint>"))
+    local = stored(texts.mapInArrow(_sharded(shard_bytes, shard_words, piece, parts), _CSR.format(columns=f"code array<int>, packs array<struct<part: bigint, words: binary>>, facts array<struct<{fact}>>")), "term-shards")
+    packs = local.select("shard", F.inline("packs"))
+    numbered = stored(packs.groupBy("part").applyInArrow(_numbered, "part bigint, shard bigint, term array<bigint>, words binary"), "term-numbers")
+    word = F.posexplode(F.split(F.decode("words", "UTF-8"), " ")).alias("place", "word")
+    dictionary = numbered.where("shard IS NULL").select("part", word).select("word", (F.shiftleft("part", PART_BITS) + F.col("place")).alias("term"))
+    # A shard's packs come in the order of their parts, which is the order of its codes.
+    known = numbered.where("shard IS NOT NULL").groupBy("shard").agg(F.sort_array(F.collect_list(F.struct("part", "term"))).alias("known"))
+    known = known.select("shard", F.flatten("known.term").alias("known"))
+    matrix = local.drop("packs", "facts").join(known.hint("merge"), "shard", "left").mapInArrow(_global, _CSR.format(columns="term array<bigint>"))
     return matrix, dictionary, local.select(F.inline("facts"))
 
 
+def _numbered(packs: pa.Table) -> pa.Table:
+    """Numbers for the words of one part, in their order; the part's words as a row without a shard."""
+    part = packs.column("part")[0].as_py()
+    lists = [words.split(b" ") for words in packs.column("words").to_pylist()]
+    distinct = sorted(set().union(*lists))
+    number = dict(zip(distinct, range(part << PART_BITS, (part << PART_BITS) + len(distinct)), strict=True))
+    terms = [np.fromiter(map(number.__getitem__, words), np.int64, len(words)) for words in lists]
+    n = len(lists) + 1
+    return pa.table({
+        "part": pa.array([part] * n, pa.int64()), "shard": pa.array([*packs.column("shard").to_pylist(), None], pa.int64()),
+        "term": pa.array([*terms, None], pa.list_(pa.int64())), "words": pa.array([None] * len(lists) + [b" ".join(distinct)], pa.binary()),
+    })
+
+
 def _global(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The shards' codes become terms."""
     for batch in batches:
         for i in range(len(batch)):
             at = {name: batch.column(name)[i] for name in batch.schema.names}
             first, code, n = (at[c].values.to_numpy() for c in ("first", "code", "n"))
-            term = np.empty(len(code), np.int64)
-            if len(code):
-                known = np.empty(len(at["to"].values), np.int64)
-                known[at["from"].values.to_numpy()] = at["to"].values.to_numpy()
-                term = known[code]
+            term = at["known"].values.to_numpy()[code] if len(code) else np.empty(0, np.int64)
             row = np.repeat(np.arange(len(first) - 1), np.diff(first))
             order = np.lexsort((term, row))
             lists = [pa.array([x], t) for x, t in ((first, pa.list_(pa.int32())), (term[order], pa.list_(pa.int64())), (n[order], pa.list_(pa.int32())))]
