@@ -1,11 +1,10 @@
-"""Command line: ``python -m medalmart [run|bronze|silver|gold|check] [--config FILE]``."""
+"""Command line: ``python -m medalmart [run|bronze|silver|gold|report|check] [--config FILE]``."""
 
 from __future__ import annotations
 
 import argparse
 import logging
 import sys
-import sys
 
 from .config import load_config
 from .plans import medallion
@@ -15,6 +14,7 @@ STAGES = {
     "bronze": medallion.run_ingestion,
     "silver": medallion.run_transformation,
     "gold": medallion.run_provisioning,
+    "report": medallion.run_report,
     "check": medallion.run_checks,
 }
 

@@ -9,18 +9,22 @@ from pyspark.sql import functions as F
 # Fifteen digits are 60 bits, so the key is always a non-negative BIGINT.
 HEX_DIGITS = 15
 
+# Ranges of keys beyond the plain hashes, each as large as theirs, for keys whose hash another key has.
+RANGE, LEVELS = 1 << 60, 7
+
 
 def _escaped(part: Column) -> Column:
     text = F.replace(part.cast("string"), F.lit("\\"), F.lit("\\\\"))
     return F.replace(text, F.lit("|"), F.lit("\\|"))
 
 
-def hash_key(*parts: str | Column) -> Column:
+def hash_key(*parts: str | Column, digits: int = HEX_DIGITS, level: int = 0) -> Column:
     """BIGINT surrogate key of a natural key of one or more columns.
 
     One column is hashed as its plain text. Several are joined with ``|`` after
     escaping, so that ``('a|b', 'c')`` and ``('a', 'b|c')`` stay apart. A null
-    part gives a null key.
+    part gives a null key. ``digits`` shortens the hash. A ``level`` above 0 hashes the level with the
+    text, into the range of that level.
     """
     cols = [F.col(p) if isinstance(p, str) else p for p in parts]
     if len(cols) == 1:
@@ -30,5 +34,7 @@ def hash_key(*parts: str | Column) -> Column:
         for c in cols[1:]:
             pieces += [F.lit("|"), _escaped(c)]
         text = F.concat(*pieces)
-    digits = F.substring(F.sha2(text, 256), 1, HEX_DIGITS)
-    return F.conv(digits, 16, 10).cast("bigint")
+    if level:
+        text = F.concat(F.lit(f"{level}|"), text)
+    number = F.conv(F.substring(F.sha2(text, 256), 1, digits), 16, 10).cast("bigint")
+    return number + F.lit(level * RANGE) if level else number

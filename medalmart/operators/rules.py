@@ -253,6 +253,10 @@ def issue_counts(df: DataFrame, rules: RuleSet) -> DataFrame:
     return wide.unpivot([], [r.issue_type for r in rules.rules], "issue_type", "records_affected")
 
 
+# What :func:`removed` adds to a row.
+REMOVED = ("dq_flag", "dq_handling", "dq_issues")
+
+
 def removed(df: DataFrame, rules: RuleSet, mask: str) -> DataFrame:
     """Rows that a rule takes out, with flag, handling and all their issues."""
     bits = F.col(mask)
@@ -260,9 +264,8 @@ def removed(df: DataFrame, rules: RuleSet, mask: str) -> DataFrame:
         df.filter(rules.dropped(bits))
         .withColumns(
             {
-                "dq_flag": rules.flag(bits),
-                "dq_handling": rules.handling(bits),
-                "dq_issues": rules.issues(bits),
+                name: value
+                for name, value in zip(REMOVED, (rules.flag(bits), rules.handling(bits), rules.issues(bits)), strict=True)
             }
         )
         .drop(mask)

@@ -10,23 +10,28 @@ from pyspark.sql import functions as F
 
 from ..config import Dimension, Fact
 from ..functions.bands import band, whole_years
-from ..functions.keys import hash_key
 from ..operators.lookup import lookup
+from ..operators.registry import numbered, resolved
 from ..operators.runs import dense_keys
 from ..operators.shape import align, project
 
 
-def _keyed(df: DataFrame, key: str, surrogate: str, keys: str) -> DataFrame:
+def _keyed(df: DataFrame, key: str, surrogate: str, keys: str, known: DataFrame | None) -> DataFrame:
+    """``known``: the registered keys, or those that collisions moved."""
     if keys == "hash":
-        return df.withColumn(surrogate, hash_key(key))
+        return resolved(df, key, surrogate, known)
+    if keys == "registry":
+        if known is None:
+            raise ValueError(f"no registered keys for {surrogate!r}")
+        return numbered(df, key, known, surrogate)
     if keys == "dense":
         return dense_keys(df, [key], surrogate)
     raise ValueError(f"unknown kind of surrogate key {keys!r}")
 
 
-def dimension_frame(silver: DataFrame, dim: Dimension, run_date: dt.date, keys: str = "hash") -> DataFrame:
+def dimension_frame(silver: DataFrame, dim: Dimension, run_date: dt.date, keys: str = "hash", known: DataFrame | None = None) -> DataFrame:
     """A dimension: surrogate key, renames, bands and the contract's columns."""
-    out = _keyed(silver, dim.key, dim.surrogate, keys)
+    out = _keyed(silver, dim.key, dim.surrogate, keys, known)
     out = out.withColumns({b: band(whole_years(source, run_date)) for b, source in dim.bands.items()})
     out = out.withColumnsRenamed(dim.rename)
     return project(align(out, dim.contract), dim.contract)
@@ -45,17 +50,19 @@ def resolved_keys(
     return lookup(account.select(key, surrogate, owner), party, (owner, party_cols[0]), {party_cols[1]: party_cols[1]})
 
 
-def fact_frame(silver: DataFrame, fact: Fact, dims: Mapping[str, DataFrame], specs: Mapping[str, Dimension], keys: str = "hash") -> DataFrame:
+def fact_frame(silver: DataFrame, fact: Fact, dims: Mapping[str, DataFrame], specs: Mapping[str, Dimension], keys: str = "hash", known: Mapping[str, DataFrame | None] | None = None) -> DataFrame:
     """The fact: surrogate key, the dimensions' surrogates and the contract's columns.
 
     Silver has linked the rows already, and a hash key is a function of the
-    natural key, so linked rows need no join here at all. Dense keys are looked up.
+    natural key, so linked rows need no join here at all, but for keys that collisions moved. Dense and
+    registered keys are looked up. ``known`` has registered or moved keys by dimension and fact.
     """
-    out = _keyed(silver, fact.key, fact.surrogate, keys)
+    known = known or {}
+    out = _keyed(silver, fact.key, fact.surrogate, keys, known.get(fact.name))
     for name, ref in fact.references.items():
         dim = specs[ref["dimension"]]
         if keys == "hash" and ref["linked"] in silver.columns:
-            out = out.withColumn(name, F.when(F.col(ref["linked"]), hash_key(ref["field"])))
+            out = resolved(out, ref["field"], name, known.get(dim.name)).withColumn(name, F.when(F.col(ref["linked"]), F.col(name)))
         else:
             out = lookup(out, dims[dim.name], (ref["field"], dim.key), {name: dim.surrogate})
     return project(align(out, fact.contract), fact.contract)
