@@ -12,6 +12,7 @@ import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from medalmart.config import Model, compile_rules, default_rules
 from medalmart.plans.bronze import MASK, stamp
@@ -246,7 +247,9 @@ class Bank:
         self._silver: dict[str, DataFrame] = {}
 
     def raw(self, name: str) -> DataFrame:
-        return role(self.spark, self.sf_dir, self._texts[name])
+        """The role's rows. They pass a generator, which keeps the texts above from being copied into every rule."""
+        rows = role(self.spark, self.sf_dir, self._texts[name])
+        return rows.select(F.inline(F.array(F.struct(*rows.columns))))
 
     def bronze(self, name: str) -> DataFrame:
         return stamp(self.raw(name), RUN_AT)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import datetime as dt
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -9,8 +11,10 @@ from medalmart.functions.bands import band, whole_years
 from medalmart.functions.conform import canonical_name, compose_timestamp, matched_format, parse_date
 from medalmart.functions.keys import hash_key
 from medalmart.operators.dedup import duplicate_groups, keep_first, split_null_keys, surplus_rows
+from medalmart.operators.registry import collisions, numbered, register, resolved
 from medalmart.operators.rules import differs
 from medalmart.operators.runs import dense_keys
+from medalmart.sources.scratch import scratch_path
 
 from .base import PARTY, RUN_AT, TX, dmy, iso, naive, query, role, sk, table
 
@@ -107,6 +111,46 @@ def sk_dense(spark: SparkSession, d: str) -> DataFrame:
     return dense_keys(table(spark, d, "orders").select("o_orderkey", "o_custkey"), ["o_orderkey"], "account_sk")
 
 
+@query(
+    "sk_registry",
+    """SELECT o_orderkey, row_number() OVER (ORDER BY CASE WHEN o_orderstatus = 'F' THEN 0 WHEN o_orderstatus = 'O' THEN 1 ELSE 2 END, o_orderkey)
+         AS account_sk
+       FROM {orders}""",
+)
+def sk_registry(spark: SparkSession, d: str) -> DataFrame:
+    """Dense keys over three deliveries: each brings old orders again, whose numbers stay, and new ones."""
+    path = scratch_path(spark, "registry")
+    orders = table(spark, d, "orders").select("o_orderkey", "o_orderstatus")
+    for day, seen in enumerate((["F"], ["F", "O"], ["O", "P"])):
+        known = register(orders.where(F.col("o_orderstatus").isin(seen)), "o_orderkey", path, RUN_AT + dt.timedelta(days=day))
+    return numbered(orders.select("o_orderkey"), "o_orderkey", known, "account_sk")
+
+
+def _short(level: int) -> str:
+    text = "CAST(o_orderkey AS VARCHAR)" if level == 0 else f"'{level}|' || CAST(o_orderkey AS VARCHAR)"
+    return f"(('0x' || substr(sha256({text}), 1, 4))::BIGINT + {level} * 1152921504606846976)"
+
+
+_LEVELS = 5
+
+
+@query(
+    "sk_collisions",
+    "WITH k AS (SELECT DISTINCT o_orderkey, CAST(o_orderkey AS VARCHAR) AS name, 0 AS moves FROM {orders}), "
+    + ", ".join(
+        f"l{n} AS (SELECT o_orderkey, name, h, min(name) OVER (PARTITION BY h) AS least FROM (SELECT o_orderkey, name, {_short(n)} AS h FROM "
+        + ("k" if n == 0 else f"l{n - 1} WHERE name > least")
+        + ") x)"
+        for n in range(_LEVELS)
+    )
+    + " ".join([""] + [f"{'UNION ALL' if n else ''} SELECT o_orderkey, h AS account_sk FROM l{n} WHERE name = least" for n in range(_LEVELS)]),
+)
+def sk_collisions(spark: SparkSession, d: str) -> DataFrame:
+    """Keys of only 16 bits, so that many orders share one: all but the first of each move, and none meet."""
+    orders = table(spark, d, "orders").select("o_orderkey", F.col("o_orderkey").cast("string").alias("name"))
+    return resolved(orders, "name", "account_sk", collisions(orders, "name", digits=4), digits=4).drop("name")
+
+
 _PARTY_AGE = f"CAST(floor(date_diff('day', CAST(dob AS DATE), DATE '{RUN_AT.date()}') / 365.25) AS INTEGER)"
 
 

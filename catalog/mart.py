@@ -153,12 +153,16 @@ def write_extracts(spark: SparkSession, d: str, root: str) -> dict[str, str]:
     return {f"{n}_path": p for n, p in paths.items()}
 
 
-def medallion(spark: SparkSession, d: str, **config: object) -> Medallion:
-    """A run of all layers from text extracts in a fresh folder."""
+def configured(spark: SparkSession, d: str) -> dict:
+    """A configuration over text extracts, everything in a fresh folder."""
     root = scratch_path(spark, "medallion")
     layers = {f"{layer}_path": f"{root}/{layer}" for layer in ("bronze", "silver", "gold", "report")}
-    settings = {"input": write_extracts(spark, d, f"{root}/in"), "output": layers, **config}
-    run = Medallion(spark, settings, default_rules(), run_at=RUN_AT)
+    return {"input": write_extracts(spark, d, f"{root}/in"), "output": layers}
+
+
+def medallion(spark: SparkSession, d: str, **config: object) -> Medallion:
+    """A run of all layers from text extracts in a fresh folder."""
+    run = Medallion(spark, {**configured(spark, d), **config}, default_rules(), run_at=RUN_AT)
     run.run()
     return run
 

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from medalmart.operators.profile import fan_out, null_ratios, numeric_profile, value_shares
+from medalmart.operators.sketches import merged, quantile_sketches, rank_error, sketched_quantiles
 
 from .base import PARTY, TX, query, role, table
 
@@ -60,3 +61,26 @@ def profile_numeric(spark: SparkSession, d: str) -> DataFrame:
 )
 def profile_fanout(spark: SparkSession, d: str) -> DataFrame:
     return fan_out(table(spark, d, "customer"), "c_custkey", table(spark, d, "orders"), "o_custkey")
+
+
+@query(
+    "profile_sketch",
+    """SELECT l_returnflag, 'l_extendedprice' AS column_name, count(*) AS value_count, true AS p05, true AS median, true AS p95
+       FROM {lineitem} GROUP BY l_returnflag""",
+)
+def profile_sketch(spark: SparkSession, d: str) -> DataFrame:
+    """Quantiles by group from sketches that were made by day and merged; whether their ranks are right.
+
+    The rank of a quantile is between the shares of smaller values and of those that aren't larger.
+    """
+    lines = table(spark, d, "lineitem").select("l_returnflag", "l_shipdate", "l_extendedprice")
+    points = {"p05": 0.05, "median": 0.5, "p95": 0.95}
+    daily = quantile_sketches(lines, ["l_extendedprice"], ["l_returnflag", "l_shipdate"])
+    found = sketched_quantiles(merged(daily, ["l_returnflag"]), points)
+    # One row for each group and column.
+    told = lines.join(F.broadcast(found.withColumnRenamed("l_returnflag", "flag")), F.col("l_returnflag") == F.col("flag"))
+    ranks = [F.avg((F.col("l_extendedprice") < F.col(n)).cast("double")).alias(f"{n}_low") for n in points]
+    ranks += [F.avg((F.col("l_extendedprice") <= F.col(n)).cast("double")).alias(f"{n}_high") for n in points]
+    seen = told.groupBy("l_returnflag", "column_name", "value_count").agg(*ranks)
+    right = [((F.col(f"{n}_low") <= p + rank_error()) & (F.col(f"{n}_high") >= p - rank_error())).alias(n) for n, p in points.items()]
+    return seen.select("l_returnflag", "column_name", "value_count", *right)

@@ -2,14 +2,21 @@
 
 from __future__ import annotations
 
+import dataclasses
+import datetime as dt
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from medalmart.config import default_rules
 from medalmart.operators import rules as R
 from medalmart.operators.lookup import lookup
-from medalmart.plans.bronze import MASK
+from medalmart.operators.rules import REMOVED
+from medalmart.plans.bronze import MASK, STAMP, stamp
+from medalmart.plans.medallion import Medallion
+from medalmart.plans.replay import held_back
 from medalmart.plans.report import disposition_counts
-from medalmart.plans.silver import COPIES, orphan_keys, removed_rows
+from medalmart.plans.silver import COPIES, orphan_keys, removed_rows, silver_frame
 from medalmart.sources.scratch import scratch_path
 from medalmart.sources.writers import write_table
 
@@ -17,6 +24,7 @@ from .base import (
     ACCOUNT,
     FLAG_SQL,
     PARTY,
+    RUN_AT,
     SILVER_ACCOUNT_SQL,
     TX,
     TX_RANKED_SQL,
@@ -25,7 +33,7 @@ from .base import (
     query,
     role,
 )
-from .mart import medallion
+from .mart import configured, medallion
 
 _REQUIRED = ["account_id", "transaction_date", "transaction_time", "amount", "transaction_type", "currency", "channel"]
 
@@ -278,10 +286,7 @@ SELECT issue_type, affected AS records_affected, round(100.0 * affected / total,
   handling AS handling_action, kept AS records_in_output FROM e WHERE affected > 0"""
 
 
-@query("dq_report", _REPORT_ENTRIES)
-def dq_report(spark: SparkSession, d: str) -> DataFrame:
-    """The issue entries of the JSON report that a complete run has written."""
-    run = medallion(spark, d)
+def _entries(spark: SparkSession, run: Medallion) -> DataFrame:
     text = spark.read.text(run.config["output"]["report_path"])
     entry = (
         "issue_type string, records_affected bigint, percentage_of_total double, "
@@ -289,3 +294,49 @@ def dq_report(spark: SparkSession, d: str) -> DataFrame:
     )
     doc = text.select(F.from_json("value", f"dq_issues array<struct<{entry.replace(' ', ':').replace(',:', ',')}>>").alias("doc"))
     return doc.select(F.inline("doc.dq_issues"))
+
+
+@query("dq_report", _REPORT_ENTRIES)
+def dq_report(spark: SparkSession, d: str) -> DataFrame:
+    """The issue entries of the JSON report that a complete run has written."""
+    return _entries(spark, medallion(spark, d))
+
+
+@query("dq_report_apart", _REPORT_ENTRIES)
+def dq_report_apart(spark: SparkSession, d: str) -> DataFrame:
+    """The same from stages that know of each other only through the ledger."""
+    config = configured(spark, d)
+    stages = [Medallion(spark, config, default_rules(), run_at=RUN_AT) for _ in range(4)]
+    stages[0].bronze()
+    stages[1].silver()
+    stages[2].gold()
+    stages[3].write_report()
+    return _entries(spark, stages[3])
+
+
+_LATE = "TRY_CAST(r.account_id AS BIGINT) % 3 = 0"
+
+
+@query(
+    "quarantine_replay",
+    f"""SELECT transaction_id, account_id, amount, flag AS dq_flag, NOT first_line AS released FROM (
+          SELECT x.transaction_id, x.account_id, CAST(x.amount AS DECIMAL(18,2)) AS amount, {FLAG_SQL} AS flag,
+            x.transaction_id LIKE '%-1' AS first_line, rn
+          FROM ({TX_RANKED_SQL} AND (transaction_id LIKE '%-1' OR {_LATE})) x) y
+        WHERE rn = 1""",
+)
+def quarantine_replay(spark: SparkSession, d: str) -> DataFrame:
+    """Two days: on the first a third of the accounts is missing; the second has them all, and the first lines again.
+
+    Silver of the second day has the first lines once and the rows that their late accounts free.
+    """
+    bank = Bank(spark, d)
+    spec, rules = bank.model.tables["transactions"], bank.rules["transactions"]
+    tx, accounts = bank.bronze("transactions"), bank.parent("transactions")
+    early = accounts.where(F.col("account_id").cast("bigint") % 3 != 0)
+    taken = removed_rows(tx, spec, rules, orphan_keys(tx, spec, early)).drop(*REMOVED)
+    again = stamp(bank.raw("transactions").where("transaction_id LIKE '%-1'"), RUN_AT + dt.timedelta(days=1))
+    held = held_back(taken, again, STAMP)
+    silver = silver_frame(again.unionByName(held), dataclasses.replace(spec, flatten={}), rules, accounts)
+    released = F.col(STAMP) < F.lit((RUN_AT + dt.timedelta(days=1)).isoformat()).cast("timestamp")
+    return silver.select("transaction_id", "account_id", "amount", "dq_flag", released.alias("released"))

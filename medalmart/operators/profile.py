@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .runs import exact_quantiles
+from .sketches import approximate_quantiles
 
 
 def value_shares(df: DataFrame, columns: Sequence[str]) -> DataFrame:
@@ -32,9 +33,12 @@ def null_ratios(df: DataFrame, columns: Sequence[str] | None = None) -> DataFram
 
 
 def numeric_profile(
-    df: DataFrame, columns: Sequence[str], points: Mapping[str, float] | None = None
+    df: DataFrame, columns: Sequence[str], points: Mapping[str, float] | None = None, exact: bool = True
 ) -> DataFrame:
-    """Count, mean, standard deviation, extremes and exact quantiles per numeric column."""
+    """Count, mean, standard deviation, extremes and quantiles per numeric column.
+
+    ``exact`` quantiles need a sort; the others come from sketches in one more pass.
+    """
     points = points or {"median": 0.5}
     per_column = []
     for c in columns:
@@ -50,7 +54,8 @@ def numeric_profile(
             )
         )
     moments = df.agg(F.array(*per_column).alias("c")).select(F.inline("c"))
-    return moments.join(exact_quantiles(df, columns, points), "column_name", "left")
+    quantiles = exact_quantiles if exact else approximate_quantiles
+    return moments.join(quantiles(df, columns, points), "column_name", "left")
 
 
 def fan_out(parent: DataFrame, parent_key: str, child: DataFrame, child_key: str) -> DataFrame:

@@ -6,6 +6,10 @@ from collections.abc import Mapping
 
 from pyspark.sql import SparkSession
 
+# The rules of a table are one long expression. HotSpot never compiles a method of more than 8000
+# bytes of bytecode; below this limit Spark splits the expression instead of running it uncompiled.
+SETTINGS = {"spark.sql.session.timeZone": "UTC", "spark.sql.codegen.hugeMethodLimit": "8000"}
+
 
 def get_spark(settings: Mapping[str, object] | None = None) -> SparkSession:
     """The active session, or a new one from ``settings``.
@@ -20,8 +24,7 @@ def get_spark(settings: Mapping[str, object] | None = None) -> SparkSession:
     builder = SparkSession.builder.appName(str(settings.get("app_name", "medalmart")))
     if settings.get("master"):
         builder = builder.master(str(settings["master"]))
-    builder = builder.config("spark.sql.session.timeZone", "UTC")
-    for name, value in dict(settings.get("conf") or {}).items():
+    for name, value in {**SETTINGS, **dict(settings.get("conf") or {})}.items():
         builder = builder.config(name, value)
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("WARN")
