@@ -4,26 +4,38 @@ from __future__ import annotations
 
 from collections.abc import Iterable, Iterator, Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from medalmart.sources.scratch import drop_path, scratch_path
 
+#: Rows of keys and numbers (some hundred bytes each at most) up to which a stored frame is broadcast.
+FEW_ROWS = 10_000
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def stored(frame: DataFrame, name: str) -> DataFrame:
-    """The frame written to the shared folder and read back: cuts its lineage, survives lost executors."""
+    """The frame written to the shared folder and read back: cuts its lineage, survives lost executors.
+
+    Its ``rows`` are counted by the write.
+    """
     spark = frame.sparkSession
     path = scratch_path(spark, name)
-    frame.write.parquet(path)
+    seen = Observation()
+    frame.observe(seen, F.count(F.lit(1)).alias("rows")).write.parquet(path)
     out = spark.read.schema(frame.schema).parquet(path)
-    out.stored_at = path
+    out.stored_at, out.rows = path, seen.get["rows"]
     return out
 
 
+def met(frame: DataFrame) -> DataFrame:
+    """A stored frame of short rows as the small side of a join: broadcast if it has few rows, else merged."""
+    return F.broadcast(frame) if frame.rows <= FEW_ROWS else frame.hint("merge")
+
+
 def discard(*frames: DataFrame | None) -> None:
     """Remove stored frames that nothing reads any more."""
     for f in frames:

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -23,13 +26,40 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
     return moved.where("u != v").distinct()
 
 
+#: Edges up to which one task joins them in memory, at some 200 bytes each.
+FEW_EDGES = 50_000
+
+
+def _joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Components by union and find, the smallest node at the root."""
+    parent: dict[bytes, bytes] = {}
+
+    def root(x: bytes) -> bytes:
+        while (up := parent.setdefault(x, x)) != x:
+            parent[x] = x = parent[up]
+        return x
+
+    for batch in batches:
+        for u, v in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            a, b = root(u), root(v)
+            if a != b:
+                parent[max(a, b)] = min(a, b)
+    nodes = list(parent)
+    kind = batch.schema.field(0).type if nodes else pa.binary()
+    yield pa.RecordBatch.from_arrays([pa.array(nodes, kind), pa.array([root(x) for x in nodes], kind)], ["node", "component"])
+
+
 def components(edges: DataFrame) -> DataFrame:
     """``node, component`` (its smallest node) for every node of ``edges`` (``u, v``).
 
     Every round leaves a table in the shared folder. Rounds grow with the logarithm of the longest path.
+    Few edges are one task's work.
     """
     edges = stored(edges.where("u != v").select("u", "v").distinct(), "edges")
-    while not edges.isEmpty():
+    if edges.rows <= FEW_EDGES:
+        kind = edges.schema["u"].dataType.simpleString()
+        return edges.coalesce(1).mapInArrow(_joined, f"node {kind}, component {kind}")
+    while edges.rows:
         before, edges = edges, stored(_star(_star(edges, True), False), "edges")
         discard(before)
         # Edges lead from a larger to a smaller node; if none leads on from where another ends, all are stars.

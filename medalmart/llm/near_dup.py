@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import discard, slices, stored, table, without
+from .common import discard, met, slices, stored, table, without
 from .graph import components
 from .texts import mixed, shingle_hashes, word_hashes
 
@@ -224,7 +224,7 @@ def _pivots(able: DataFrame, done: DataFrame | None, turn: int) -> DataFrame:
     shape = shape.where("all > top.n").select("bucket", F.col("top.class").alias("main"), (F.col("all") - F.col("top.n")).alias("outside"))
     able = able.join(shape, "bucket")
     if done is not None:
-        able = able.join(done, ["bucket", "content"], "left_anti")
+        able = able.join(met(done), ["bucket", "content"], "left_anti")
     outside = F.col("class") != F.col("main")
     wanted = outside if turn else outside | (F.col("outside") > FEW)
     limit = F.when(F.col("outside") <= FEW, FEW).otherwise(MANY**turn)
@@ -252,7 +252,8 @@ def classes(docs: DataFrame, key: str = "doc_id", text: str = "text") -> tuple[D
     none = F.lit(0).cast("long")
     members = stored(each.join(shared, "bucket").select("bucket", "content", F.col("content").alias("class"), weight, none.alias("size"), none.alias("shared")), "members")
     needed = members.select("content").distinct()
-    texts = stored(rows.select("content", "text").join(needed, "content", "left_semi").groupBy("content").agg(F.any_value("text").alias("text")), "texts")
+    # The same join at every size, so that texts move alike.
+    texts = stored(rows.select("content", "text").join(needed.hint("merge"), "content", "left_semi").groupBy("content").agg(F.any_value("text").alias("text")), "texts")
     known = texts.select(F.col("content").alias("node"), F.col("content").alias("class"))
     done, turn, spent = None, 0, []
     while True:
@@ -265,23 +266,25 @@ def classes(docs: DataFrame, key: str = "doc_id", text: str = "text") -> tuple[D
             discard(rare, banded)
         pivots = stored(_pivots(members, done, turn), "pivots")
         spent.append(pivots)
-        if pivots.isEmpty():
+        if not pivots.rows:
             break
-        met = F.col("class") != F.col("pivot_class")
+        apart = F.col("class") != F.col("pivot_class")
         if turn:
             most = F.least("shared", "pivot_shared")
-            met &= most / (F.col("size") + F.col("pivot_size") - most) >= SIMILARITY - 1e-9
-        pairs = members.join(pivots.withColumnRenamed("bucket", "b"), (F.col("bucket") == F.col("b")) & met)
+            apart &= most / (F.col("size") + F.col("pivot_size") - most) >= SIMILARITY - 1e-9
+        pairs = members.join(met(pivots).withColumnRenamed("bucket", "b"), (F.col("bucket") == F.col("b")) & apart)
         one, two = F.struct("content", "class"), F.struct(F.col("pivot").alias("content"), F.col("pivot_class").alias("class"))
         pairs = pairs.select(F.least(one, two).alias("x"), F.greatest(one, two).alias("y")).distinct()
         pairs = pairs.select(F.col("x.content").alias("u"), F.col("y.content").alias("v"), F.col("x.class").alias("cu"), F.col("y.class").alias("cv"))
         merged = stored(components(_links(pairs, texts)).withColumnRenamed("node", "class"), "merged")
-        renamed = lambda frame: frame.join(merged, "class", "left").withColumn("class", F.coalesce("component", "class")).drop("component")  # noqa: B023, E731
+        renamed = lambda frame: frame.join(met(merged), "class", "left").withColumn("class", F.coalesce("component", "class")).drop("component")  # noqa: B023, E731
         old = (known if turn else None, members, merged)
         known, members = stored(renamed(known), "classes"), stored(renamed(members), "members")
         discard(*old)
         now = pivots.select("bucket", F.col("pivot").alias("content"))
-        done = now if done is None or turn == 1 else done.unionByName(now)
+        before = done if done is not None and turn != 1 else None
+        done = now if before is None else before.unionByName(now)
+        done.rows = pivots.rows + (before.rows if before is not None else 0)
         turn += 1
     if not turn:
         known = stored(known, "classes")
