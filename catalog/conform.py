@@ -10,7 +10,9 @@ from pyspark.sql import functions as F
 from medalmart.functions.bands import band, whole_years
 from medalmart.functions.conform import canonical_name, compose_timestamp, matched_format, parse_date
 from medalmart.functions.keys import hash_key
+from medalmart.operators.dates import date_evidence, settle
 from medalmart.operators.dedup import duplicate_groups, keep_first, split_null_keys, surplus_rows
+from medalmart.operators.names import near_names
 from medalmart.operators.registry import collisions, numbered, register, resolved
 from medalmart.operators.rules import differs
 from medalmart.operators.runs import dense_keys
@@ -204,3 +206,58 @@ def dq_duplicate_groups(spark: SparkSession, d: str) -> DataFrame:
 def dq_null_pk(spark: SparkSession, d: str) -> DataFrame:
     _, without = split_null_keys(role(spark, d, TX), ["transaction_id"])
     return without.select("account_id", "transaction_date", "transaction_time", "amount", "channel")
+
+
+_PROVINCES = ["Eastern Cape", "Free State", "Gauteng", "KwaZulu-Natal", "Limpopo", "Mpumalanga", "North West", "Northern Cape", "Western Cape"]
+_SPELT = f"""SELECT CASE c % 5 WHEN 0 THEN p WHEN 1 THEN concat(substr(p, 1, 2), substr(p, 4)) WHEN 2 THEN concat(substr(p, 1, 2), 'q', substr(p, 3))
+    WHEN 3 THEN concat(substr(p, 1, 2), 'q', substr(p, 4)) ELSE concat('zz', p) END AS province
+  FROM (SELECT cast(substr(customer_id, 2) AS bigint) AS c, province AS p FROM ({PARTY}) x) y"""
+
+
+@query(
+    "names_near",
+    f"""WITH v AS (SELECT DISTINCT province AS value, lower(regexp_replace(trim(province), '\\s+', ' ', 'g')) AS folded FROM ({_SPELT}) s),
+      met AS (SELECT value, name, levenshtein(folded, lower(name)) AS edits FROM v, (SELECT unnest({_PROVINCES}) AS name) n WHERE levenshtein(folded, lower(name)) <= 1),
+      best AS (SELECT value, min(edits) AS edits FROM met GROUP BY value),
+      told AS (SELECT value, b.edits, string_agg(name, ',' ORDER BY name) AS near, count(*) AS n, min(name) AS name FROM best b JOIN met m USING (value) WHERE m.edits = b.edits GROUP BY value, b.edits)
+      SELECT v.value, CASE WHEN n = 1 THEN name END AS name, CAST(edits AS INTEGER) AS edits, near FROM v LEFT JOIN told USING (value)""",
+)
+def names_near(spark: SparkSession, d: str) -> DataFrame:
+    """Misspelt provinces and the known name within one edit."""
+    found = near_names(role(spark, d, _SPELT), "province", _PROVINCES)
+    return found.withColumn("near", F.array_join("near", ","))
+
+
+_DAY = "cast(cast(o_orderdate AS date) AS string)"
+_DMY = f"concat(substr({_DAY}, 9, 2), '/', substr({_DAY}, 6, 2), '/', substr({_DAY}, 1, 4))"
+_MDY = f"concat(substr({_DAY}, 6, 2), '/', substr({_DAY}, 9, 2), '/', substr({_DAY}, 1, 4))"
+_DATED = f"""SELECT {_DMY} AS settled, CASE WHEN substr({_DAY}, 9, 2) < '13' THEN {_MDY} END AS unsettled,
+  CASE WHEN o_orderkey % 2 = 0 THEN {_DMY} ELSE {_MDY} END AS mixed,
+  CASE WHEN substr({_DAY}, 9, 2) = substr({_DAY}, 6, 2) THEN {_DMY} ELSE 'none' END AS indifferent FROM {{orders}}"""
+
+
+def _read_as(column: str, pattern: str) -> str:
+    return f"CAST(try_strptime({column}, '{pattern}') AS DATE)"
+
+
+def _evidence(column: str) -> str:
+    a, b = _read_as(column, "%d/%m/%Y"), _read_as(column, "%m/%d/%Y")
+    return f"""SELECT '{column}' AS column_name, count(*) FILTER ({a} IS NOT NULL AND {b} IS NULL) AS first_alone,
+      count(*) FILTER ({b} IS NOT NULL AND {a} IS NULL) AS second_alone, count(*) FILTER ({a} <> {b}) AS differing,
+      count(*) FILTER ({a} IS NOT NULL OR {b} IS NOT NULL) AS seen FROM t"""
+
+
+@query(
+    "date_settle",
+    f"WITH t AS ({_DATED}), e AS ("
+    + " UNION ALL ".join(_evidence(c) for c in ("settled", "unsettled", "mixed", "indifferent"))
+    + """) SELECT column_name,
+      CASE WHEN seen = 0 THEN 'UNREAD' WHEN first_alone > 0 AND second_alone > 0 THEN 'MIXED' WHEN first_alone + second_alone > 0 THEN 'SETTLED'
+        WHEN differing > 0 THEN 'UNSETTLED' ELSE 'INDIFFERENT' END AS verdict,
+      CASE WHEN first_alone + second_alone > 0 AND (first_alone = 0 OR second_alone = 0) THEN CASE WHEN first_alone > 0 THEN 'dd/MM/yyyy' ELSE 'MM/dd/yyyy' END
+        WHEN seen > 0 AND first_alone + second_alone = 0 AND differing = 0 THEN 'dd/MM/yyyy' END AS format,
+      CASE WHEN first_alone > 0 AND second_alone > 0 OR first_alone + second_alone = 0 THEN differing ELSE 0 END AS ambiguous FROM e""",
+)
+def date_settle(spark: SparkSession, d: str) -> DataFrame:
+    """Four columns of days in two orders, and which format each turns out to have."""
+    return settle(date_evidence(role(spark, d, _DATED), ["settled", "unsettled", "mixed", "indifferent"], ["dd/MM/yyyy", "MM/dd/yyyy"]))

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from medalmart.config import default_rules
 from medalmart.functions.keys import hash_key
 from medalmart.operators.dedup import keep_first, split_null_keys
+from medalmart.operators.drift import deliveries, observed_types, record_types, stored_types, type_changes
 from medalmart.operators.lookup import estimated_bytes, hot_keys, key_counts, lookup
 from medalmart.plans.gold import resolved_keys
 from medalmart.plans.medallion import Medallion
@@ -134,9 +135,15 @@ def write_extracts(spark: SparkSession, d: str, root: str) -> dict[str, str]:
     paths = {n: f"{root}/{n}" for n in ("customers", "accounts", "transactions")}
     role(spark, d, PARTY).write.option("header", True).csv(paths["customers"])
     role(spark, d, ACCOUNT).write.option("header", True).csv(paths["accounts"])
+    json_lines(role(spark, d, TX)).write.text(paths["transactions"])
+    return {f"{n}_path": p for n, p in paths.items()}
+
+
+def json_lines(rows: DataFrame, *more: Column) -> DataFrame:
+    """Transactions as they are delivered, a line each; with ``more`` fields."""
     quoted = F.concat(F.lit('"'), F.col("amount"), F.lit('"'))
     delivered = F.when(F.col("amount_kind") == "STRING", quoted).otherwise(F.col("amount"))
-    nested = role(spark, d, TX).select(
+    nested = rows.select(
         "transaction_id",
         "account_id",
         "transaction_date",
@@ -148,9 +155,9 @@ def write_extracts(spark: SparkSession, d: str, root: str) -> dict[str, str]:
         "channel",
         F.struct("province", "city", "coordinates").alias("location"),
         F.struct("device_id", "session_id", "retry_flag").alias("metadata"),
+        *more,
     )
-    nested.select(F.to_json(F.struct("*"))).write.text(paths["transactions"])
-    return {f"{n}_path": p for n, p in paths.items()}
+    return nested.select(F.to_json(F.struct("*")).alias("value"))
 
 
 def configured(spark: SparkSession, d: str) -> dict:
@@ -171,3 +178,21 @@ def medallion(spark: SparkSession, d: str, **config: object) -> Medallion:
 def medallion_fact(spark: SparkSession, d: str) -> DataFrame:
     """The gold fact of a complete run: extracts, bronze, silver and gold on disk."""
     return naive(medallion(spark, d).table("gold", "fact_transactions"))
+
+
+@query(
+    "json_type_drift",
+    f"""SELECT '$.amount' AS path, 'NEW_KIND' AS change, 'STRING' AS kind, count(*) AS rows, 0::BIGINT AS rows_before, true AS declared
+        FROM ({TX}) t WHERE amount_kind = 'STRING' HAVING count(*) > 0
+        UNION ALL
+        SELECT '$.loyalty', 'NEW_FIELD', 'NUMBER', count(*), 0::BIGINT, false FROM ({TX}) t WHERE transaction_type = 'FEE' HAVING count(*) > 0""",
+)
+def json_type_drift(spark: SparkSession, d: str) -> DataFrame:
+    """A delivery of numbers only, then one whose amounts are in part quoted and which has a new field."""
+    path = scratch_path(spark, "types")
+    rows = role(spark, d, TX)
+    loyalty = F.when(F.col("transaction_type") == "FEE", 3).alias("loyalty")
+    for day, lines in enumerate((json_lines(rows.where("amount_kind = 'NUMBER'")), json_lines(rows, loyalty))):
+        record_types(observed_types(lines), path, str(day))
+    before, after = (stored_types(spark, path, day) for day in deliveries(spark, path))
+    return type_changes(before, after, ["amount"])

@@ -39,6 +39,11 @@ def compose_timestamp(date: Column, time: Column, pattern: str = f"{ISO_DATE} HH
     return F.try_to_timestamp(F.concat(date.cast("string"), F.lit(" "), time, F.lit("+00:00")), F.lit(f"{pattern}xxx"))
 
 
+def folded_name(text: str | Column) -> Column:
+    """A name without differences of case and spacing."""
+    return F.lower(F.regexp_replace(F.trim(_col(text)), r"\s+", " "))
+
+
 def canonical_name(
     text: str | Column, names: Sequence[str], aliases: Mapping[str, str] | None = None
 ) -> Column:
@@ -49,8 +54,7 @@ def canonical_name(
     """
     known = {n.lower(): n for n in names} | {a.lower(): n for a, n in (aliases or {}).items()}
     table = F.create_map(*[F.lit(x) for pair in known.items() for x in pair])
-    tidy = F.regexp_replace(F.trim(_col(text)), r"\s+", " ")
-    return F.coalesce(F.try_element_at(table, F.lower(tidy)), _col(text))
+    return F.coalesce(F.try_element_at(table, folded_name(text)), _col(text))
 
 
 def variant_text(value: str | Column) -> Column:

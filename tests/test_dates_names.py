@@ -1,0 +1,115 @@
+import datetime as dt
+import random
+
+import pytest
+
+from medalmart.operators.dates import date_evidence, parsed_dates, settle, settled_formats
+from medalmart.operators.names import corrected, near_names, strikings
+
+FORMATS = ["dd/MM/yyyy", "MM/dd/yyyy"]
+NAMES = ["Eastern Cape", "Free State", "Gauteng", "KwaZulu-Natal", "Limpopo", "Mpumalanga", "North West", "Northern Cape", "Western Cape"]
+
+
+def verdict(spark, *values, formats=FORMATS):
+    df = spark.createDataFrame([(v,) for v in values], "d string")
+    r = settle(date_evidence(df, ["d"], formats)).first()
+    return r.verdict, r.format, r.ambiguous
+
+
+def test_one_value_settles_a_column(spark):
+    assert verdict(spark, "03/04/2024", "25/04/2024", None, "junk") == ("SETTLED", "dd/MM/yyyy", 0)
+    assert verdict(spark, "03/04/2024", "04/25/2024") == ("SETTLED", "MM/dd/yyyy", 0)
+
+
+def test_what_cannot_be_settled_is_told(spark):
+    assert verdict(spark, "03/04/2024", "05/06/2024", "07/07/2024") == ("UNSETTLED", None, 2)
+    assert verdict(spark, "03/04/2024", "25/04/2024", "04/25/2024") == ("MIXED", None, 1)
+    assert verdict(spark, "07/07/2024", "08/08/2024")[::2] == ("INDIFFERENT", 0)
+    assert verdict(spark, "junk", None) == ("UNREAD", None, 0)
+    assert verdict(spark) == ("UNREAD", None, 0)
+    # A third format reads what the settled one can't.
+    three = [*FORMATS, "yyyy/MM/dd"]
+    assert verdict(spark, "25/04/2024", "2024/04/25", formats=three)[0] == "MIXED"
+    assert verdict(spark, "2024/04/25", formats=three) == ("SETTLED", "yyyy/MM/dd", 0)
+
+
+def test_columns_settle_apart_in_one_pass(spark):
+    rows = [("25/04/2024", "04/25/2024", "03/04/2024"), ("03/04/2024", "03/04/2024", "2024-05-06")]
+    df = spark.createDataFrame(rows, "a string, b string, c string")
+    assert settled_formats(df, ["a", "b", "c"], FORMATS) == {"a": "dd/MM/yyyy", "b": "MM/dd/yyyy", "c": None}
+    out = parsed_dates(df, ["a", "b", "c"], FORMATS, always=["yyyy-MM-dd"]).collect()
+    assert (out[1].a, out[1].b) == (dt.date(2024, 4, 3), dt.date(2024, 3, 4))
+    assert (out[0].c, out[0].c_ambiguous, out[1].c, out[1].c_ambiguous) == (None, True, dt.date(2024, 5, 6), False)
+    assert not any(r.a_ambiguous or r.b_ambiguous for r in out)
+    plan = date_evidence(df, ["a", "b", "c"], FORMATS)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1
+
+
+def test_days_on_which_formats_agree_are_read_in_unsettled_columns(spark):
+    df = spark.createDataFrame([("07/07/2024",), ("03/04/2024",), (None,), ("x",)], "d string")
+    assert [(r.d, r.d_ambiguous) for r in parsed_dates(df, ["d"], FORMATS).collect()] == [(dt.date(2024, 7, 7), False), (None, True), (None, False), (None, False)]
+
+
+# Names.
+
+
+def edits(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        row, last = [i], row
+        for j, y in enumerate(b, 1):
+            row.append(min(last[j] + 1, row[j - 1] + 1, last[j - 1] + (x != y)))
+    return row[-1]
+
+
+def brute(value, known, distance):
+    fold = lambda s: " ".join(s.split()).lower()
+    found = sorted((edits(fold(value), fold(n)), n) for n in known)
+    found = [f for f in found if f[0] <= distance]
+    if not found:
+        return None, None, None
+    near = sorted(n for e, n in found if e == found[0][0])
+    return (near[0] if len(near) == 1 else None), found[0][0], near
+
+
+@pytest.mark.parametrize("distance", [0, 1, 2])
+def test_agrees_with_brute_force(spark, distance):
+    rng = random.Random(distance)
+    known = [*NAMES, "North East"]
+    values = {"", " ", "x", "gauteng", " North  west ", "North Est", "Limpopo!"}
+    for n in known:
+        for _ in range(12):
+            s = list(n)
+            for _ in range(rng.randint(0, 3)):
+                k, c = rng.randrange(len(s) + 1), rng.choice("aeixz ")
+                s[k : k + rng.choice((0, 1))] = rng.choice(([c], []))
+            values.add("".join(s))
+    df = spark.createDataFrame([(v,) for v in values] * 3 + [(None,)], "p string").repartition(3)
+    got = {r.value: (r.name, r.edits, r.near) for r in near_names(df, "p", known, distance).collect()}
+    assert got == {v: brute(v, known, distance) for v in values}
+
+
+def test_one_letter_errors_map_right_and_ties_are_flagged(spark):
+    rng = random.Random(2)
+    wrong = []
+    for n in NAMES:
+        k = rng.randrange(len(n))
+        wrong += [(n[:k] + n[k + 1 :], n), (n[:k] + "q" + n[k:], n), (n[:k] + "q" + n[k + 1 :], n)]
+    df = spark.createDataFrame([*wrong, (None, None), ("Atlantis", "Atlantis")], "p string, want string")
+    rows = corrected(df, "p", NAMES).collect()
+    assert all(r.p == r.want for r in rows) and not any(r.name_tied for r in rows)
+    assert sum(r.name_corrected for r in rows) == len(wrong)
+    tied = corrected(spark.createDataFrame([("bat",), ("cat",), ("rat",)], "p string"), "p", ["cat", "rat"]).collect()
+    assert {(r.p, r.name_tied, r.name_corrected) for r in tied} == {("bat", True, False), ("cat", False, False), ("rat", False, False)}
+
+
+def test_strikings():
+    assert strikings("ab", 1) == {"ab", "a", "b"} and strikings("", 2) == {""} and strikings("aab", 1) == {"aab", "ab", "aa"}
+
+
+def test_values_are_grouped_before_they_are_struck(spark):
+    df = spark.createDataFrame([("Gauten",)] * 1000, "p string")
+    plan = near_names(df, "p", NAMES)._jdf.queryExecution().executedPlan().toString()
+    assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
+    assert near_names(df, "p", NAMES).count() == 1
+    assert near_names(df.limit(0), "p", NAMES).count() == 0
