@@ -213,7 +213,9 @@ def failures(docs: DataFrame, key: str = "doc_id", text: str = "text", part: str
     matrix, _, facts = term_matrix(docs, key, text, part)
     counted = facts.join(word_counts(matrix).hint("merge"), "row")
     # Only texts under several keys are looked up, each with its smallest key.
+    # Stored, so that the join reads them anew and a text with very many rows can be split.
     least = facts.groupBy("content").agg(F.min("key").alias("least"), F.max("key").alias("most")).where("least < most").select("content", "least")
+    least = stored(least, "least-keys")
     joined = counted.join(least.hint("merge"), "content", "left")
     fails = (
         F.col("words") < LEAST_WORDS,
