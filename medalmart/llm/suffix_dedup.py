@@ -135,6 +135,7 @@ def _slicer(length: int, gram: int):
                 first = np.concatenate(([0], ends[:-1]))[own]
                 content = batch.column(0).take(pa.array(text[own]))
                 yield pa.RecordBatch.from_arrays([content, *(pa.array(x) for x in (low.view(np.int64), digest.view(np.int64), start - first + offset[own], n))], ["content", "low", "digest", "start", "n"])
+                pa.default_memory_pool().release_unused()
 
     return run
 
@@ -272,36 +273,43 @@ def repeats(docs: DataFrame, text: str = "text", length: int = LENGTH, gram: int
 
 
 def _digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        out: list[tuple] = []
-        for octets, spans in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
-            kept, removed, n_spans, at = hashlib.sha256(), 0, 0, 0
-            end = -1
-            for a, b in sorted((s["from"], s["to"]) for s in spans or ()):
-                if a > end:
-                    kept.update(octets[at:a])
-                    n_spans += 1
-                    removed += b - a
-                elif b > end:
-                    removed += b - end
-                end = max(end, b)
-                at = end
-            kept.update(octets[at:])
-            out.append((removed, n_spans, kept.hexdigest()))
-        removed, n_spans, kept = zip(*out, strict=True) if out else ((), (), ())
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(removed, pa.int64()), pa.array(n_spans, pa.int64()), pa.array(kept, pa.string())], ["content", "n_removed", "n_spans", "kept_sha256"])
+    for whole in batches:
+        for a, b in slices(pc.binary_length(whole.column(1)).to_pylist(), AT_ONCE):
+            batch = whole.slice(a, b - a)
+            out: list[tuple] = []
+            for octets, spans in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
+                runs: list[list[int]] = []
+                for x, y in sorted((s["from"], s["to"]) for s in spans or ()):
+                    if runs and x <= runs[-1][1]:
+                        runs[-1][1] = max(runs[-1][1], y)
+                    else:
+                        runs.append([x, y])
+                edges = [0, *(x for run in runs for x in run), len(octets)]
+                kept = b"".join(octets[x:y] for x, y in zip(edges[::2], edges[1::2], strict=True)) if runs else octets
+                out.append((len(octets), kept, hashlib.sha256(kept).hexdigest(), [{"from": x, "to": y} for x, y in runs]))
+            types = (pa.int64(), pa.binary(), pa.string(), pa.list_(pa.struct([("from", pa.int64()), ("to", pa.int64())])))
+            columns = [pa.array(list(x), t) for x, t in zip(zip(*out, strict=True), types, strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *columns], ["key", "n_bytes", "kept", "kept_sha256", "removed"])
+            del out, columns
+            pa.default_memory_pool().release_unused()  # workers live on; others need the memory
 
 
 def suffix_dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", **options) -> DataFrame:
-    """Key, n_bytes, n_removed, n_spans (maximal removed runs), kept_sha256 of every document."""
-    once, spans = repeats(docs, text, **options)
-    per_text = spans.groupBy("content").agg(F.collect_list(F.struct("from", "to")).alias("spans"))
-    digests = once.join(per_text, "content").select("content", "octets", "spans").mapInArrow(_digest, "content binary, n_removed bigint, n_spans bigint, kept_sha256 string")
+    """Every document's key, n_bytes, ``kept`` (remaining bytes), their kept_sha256, and ``removed``: maximal runs of removed bytes, in order."""
+    _, spans = repeats(docs, text, **options)
+    # Stored, so that the join reads it anew and a text with very many rows can be split.
+    per_text = stored(spans.groupBy("content").agg(F.collect_list(F.struct("from", "to")).alias("spans")), "spans")
     octets = F.coalesce(F.col(text).cast("string"), F.lit("")).cast("binary")
-    rows = docs.select(F.col(key), F.unhex(F.md5(octets)).alias("content"), F.length(octets).cast("long").alias("n_bytes"), F.sha2(octets, 256).alias("whole"))
-    zero = F.lit(0).cast("long")
-    return rows.join(digests, "content", "left").select(key, "n_bytes", F.coalesce("n_removed", zero).alias("n_removed"), F.coalesce("n_spans", zero).alias("n_spans"), F.coalesce("kept_sha256", "whole").alias("kept_sha256"))
+    rows = docs.select(F.col(key).alias("key"), octets.alias("octets")).withColumn("content", F.unhex(F.md5("octets")))
+    joined = rows.join(per_text.hint("merge"), "content", "left").select("key", "octets", "spans")
+    kind = rows.schema["key"].dataType.simpleString()
+    result = f"key {kind}, n_bytes bigint, kept binary, kept_sha256 string, removed array<struct<from: bigint, to: bigint>>"
+    return joined.mapInArrow(_digest, result).withColumnRenamed("key", key)
 
 
 def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return suffix_dedup(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    out = suffix_dedup(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    n_removed = F.aggregate("removed", F.lit(0).cast("long"), lambda n, r: n + r["to"] - r["from"])
+    # Bytes may be cut within a character; the text shows what is left of it as U+FFFD.
+    kept_text = F.make_valid_utf8(F.col("kept").cast("string"))
+    return out.select("doc_id", "n_bytes", n_removed.alias("n_removed"), F.size("removed").cast("long").alias("n_spans"), "kept_sha256", kept_text.alias("kept_text"))

@@ -7,7 +7,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from medalmart.llm.suffix_dedup import minimizers, ranks, suffix_dedup
+from medalmart.llm.suffix_dedup import minimizers, op9_suffix_dedup, ranks, suffix_dedup
 
 
 def brute(rows, length):
@@ -20,14 +20,28 @@ def brute(rows, length):
             if seen[t[i : i + length]] > 1:
                 gone[i : i + length] = True
         kept = bytes(b for b, g in zip(t, gone, strict=True) if not g)
-        out.append((k, len(t), int(gone.sum()), int((np.diff(gone.astype(int), prepend=0) == 1).sum()), hashlib.sha256(kept).hexdigest()))
+        edges = np.flatnonzero(np.diff(gone.astype(int), prepend=0, append=0)).tolist()
+        out.append((k, len(t), kept, hashlib.sha256(kept).hexdigest(), list(zip(edges[::2], edges[1::2], strict=True))))
     return sorted(out, key=str)
 
 
+def found(frame):
+    return sorted(((r.doc_id, r.n_bytes, bytes(r.kept), r.kept_sha256, [tuple(x) for x in r.removed]) for r in frame.collect()), key=str)
+
+
 @pytest.mark.parametrize("shard_bytes", [4 << 20, 1500])
 def test_same_bytes_as_brute_force(docs, rows, shard_bytes):
-    got = sorted(map(tuple, suffix_dedup(docs, shard_bytes=shard_bytes).collect()), key=str)
-    assert got == brute([(r[0], r[1]) for r in rows], 400)
+    assert found(suffix_dedup(docs, shard_bytes=shard_bytes)) == brute([(r[0], r[1]) for r in rows], 400)
+
+
+def test_the_query_tells_what_was_removed(spark, rows, tmp_path):
+    more = [*rows, (900, "é" * 300 + "tail", None, None), (901, "x" + "é" * 300, None, None)]
+    spark.createDataFrame([r[:2] for r in more], "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r.doc_id: r for r in op9_suffix_dedup(spark, str(tmp_path)).collect()}
+    for k, n, kept, digest, runs in brute([r[:2] for r in more], 400):
+        r = got[k]
+        assert (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) == (n, sum(b - a for a, b in runs), len(runs), digest)
+        assert r.kept_text == kept.decode("utf-8", "replace") or b"\xa9" in kept[:1] + kept[-1:]
 
 
 @pytest.mark.parametrize("shard_bytes", [4 << 20, 120])
@@ -37,8 +51,7 @@ def test_short_strings_over_few_letters(spark, shard_bytes):
     rows = [(i, "".join(rng.choice("ab") for _ in range(rng.randint(0, 60)))) for i in range(60)]
     rows += [(100, "ab" * 40), (101, "aba" * 30), (102, "a" * 70), (103, "é" * 30), (104, rows[3][1])]
     frame = spark.createDataFrame(rows, "doc_id long, text string")
-    got = suffix_dedup(frame, length=12, gram=4, shard_bytes=shard_bytes).collect()
-    assert sorted(map(tuple, got), key=str) == brute(rows, 12)
+    assert found(suffix_dedup(frame, length=12, gram=4, shard_bytes=shard_bytes)) == brute(rows, 12)
 
 
 @settings(max_examples=60, deadline=None)
@@ -62,6 +75,7 @@ def test_ranks_order_prefixes(octets, length):
 
 
 def test_odd_rows(odd, empty):
-    assert [r["n_removed"] for r in suffix_dedup(odd).collect()] == [0, 0, 0, 0]
-    assert sorted(r["n_removed"] for r in suffix_dedup(odd, length=20, gram=8).collect()) == [0, 50, 50, 50]
+    removed = lambda frame: sorted(sum(x["to"] - x["from"] for x in r.removed) for r in frame.collect())
+    assert removed(suffix_dedup(odd)) == [0, 0, 0, 0]
+    assert removed(suffix_dedup(odd, length=20, gram=8)) == [0, 50, 50, 50]
     assert suffix_dedup(empty).count() == 0
