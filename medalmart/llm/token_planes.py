@@ -198,7 +198,8 @@ class Encoder:
         """Number of ids of each text, and all ids; every text ends with ``end_id``."""
         # Added tokens are matched before the tokenizer's clean-up: texts that may hold one keep their case for it.
         lowered = pc.if_else(pc.match_substring(texts, "<|"), texts, pc.ascii_lower(texts))
-        spaced = pc.replace_substring_regex(lowered, r"(\pL)([.,])(\s|$)", r"\1 \2\3")
+        # U+0130 is the one letter that ends in a mark once it is lower case; what follows it stays with it.
+        spaced = pc.replace_substring_regex(lowered, r"([^\PL\x{130}])([.,])(\s|$)", r"\1 \2\3")
         split = pc.ascii_split_whitespace(spaced)
         n_pieces = pc.list_value_length(split).to_numpy(zero_copy_only=False)
         coded = split.flatten().dictionary_encode()

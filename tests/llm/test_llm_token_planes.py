@@ -1,4 +1,5 @@
 import io
+import random
 import zlib
 
 import numpy as np
@@ -23,6 +24,17 @@ def test_pieces_encode_like_whole_texts(texts):
     assert counts.tolist() == list(map(len, want)) and ids.tolist() == sum(want, [])
 
 
+def test_odd_letters_before_stops_encode_like_whole_texts():
+    rng = random.Random(6)
+    bits = ["\u0130", "I", "i\u0307", "\u0131", "e\u0301", "\u00e9", "\u1e9e", "\ufb01", "\u01c5", "\u03a3", "\u0345", "\u4e2d", "a", "Z", "7", "'s", ".", ",", "!", " ", "\n", "\u00a0", "\u2003"]
+    odd = ["\u0130. x", "\u0130, ", "a\u0130."] + ["".join(rng.choice(bits) for _ in range(rng.randint(1, 9))) for _ in range(6000)]
+    t = Tokenizer.from_file(tokenizer_path())
+    counts, ids = encoder(tokenizer_path())(pa.array(odd), 1)
+    want = [[*t.encode(x, add_special_tokens=False).ids, 1] for x in odd]
+    got = np.split(ids, np.cumsum(counts)[:-1])
+    assert [x for x, a, b in zip(odd, got, want, strict=True) if a.tolist() != b] == []
+
+
 def test_added_tokens_are_matched_in_their_own_case():
     texts = ["Some <|ENDOFTEXT|> here, THERE.", "A<|StartOfText|>B x", "<|endoftext|> <|Endoftext|>", "NO token, Here."]
     t = Tokenizer.from_file(tokenizer_path())
