@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -47,7 +47,7 @@ def lookup(
     values: Mapping[str, str],
     found: str | None = None,
     limit: int | None = None,
-    hot: DataFrame | None = None,
+    hot: DataFrame | Sequence | None = None,
     size: int | None = None,
 ) -> DataFrame:
     """Left join that adds ``values`` (new name -> column of ``small``) to every row of ``big``.
@@ -79,7 +79,7 @@ def lookup(
         joined = big.join(F.broadcast(narrow), same, "left")
     else:
         found_hot = hot_keys(key_counts(big, key), key) if hot is None else hot
-        settled = [r[0] for r in found_hot.select(key).collect()]
+        settled = [r[0] for r in found_hot.select(key).collect()] if isinstance(found_hot, DataFrame) else list(found_hot)
         joined = big.join(narrow, same, "left") if not settled else _split_join(big, key, narrow, settled)
     answer = F.col(partner)
     out = [F.col(c) for c in big.columns] + [answer.getField(v).alias(v) for v in names]

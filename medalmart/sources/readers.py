@@ -9,6 +9,7 @@ from pyspark.sql import types as T
 from ..config import CORRUPT
 from ..functions.conform import variant_kind, variant_text
 from ..operators.shape import align, as_struct
+from .layout import read_by_key
 from .writers import restore
 
 #: Fields of a JSON line that the schema does not declare: name -> value as text.
@@ -74,4 +75,5 @@ def split_variants(schema: T.StructType) -> list:
 def read_table(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFrame:
     """A layer table; the last one, if a job died while replacing it."""
     restore(spark, path)
-    return spark.read.format(fmt).load(path)
+    by_key = read_by_key(spark, path)
+    return by_key.frame if by_key else spark.read.format(fmt).load(path)
