@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime as dt
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -10,7 +11,6 @@ from pyspark.sql import functions as F
 from ..config import Table, TableRules
 from ..operators.rules import Resolver
 from ..sources.readers import UNDECLARED, read_csv, read_jsonl
-from ..sources.writers import write_table
 
 STAMP = "ingestion_timestamp"
 MASK = "__issues"
@@ -43,14 +43,14 @@ def nested_columns(table: Table) -> Resolver:
     return resolve
 
 
-def write_bronze(df: DataFrame, table: Table, rules: TableRules, path: str, fmt: str) -> dict[str, int]:
-    """Write the layer table and return its row count and the rows per issue type.
+def write_bronze(df: DataFrame, table: Table, rules: TableRules, write: Callable[..., dict[str, int]]) -> dict[str, int]:
+    """Write the layer table by ``write(df, metrics, helpers)`` and return its row count and the rows per issue type.
 
     The rules are evaluated while the source passes by; the bits are not stored.
-    Source, rules and write are one stage without a shuffle.
+    Source, rules and write are one stage without a shuffle, unless the table is stored by key.
     """
     masked = df.withColumn(MASK, rules.rules.mask(df, nested_columns(table)))
     bits = F.col(MASK)
     dropped = F.count_if(rules.rules.dropped(bits)).alias("dropped")
     extra = F.count(F.col(UNDECLARED)) if UNDECLARED in df.columns else F.count_if(F.lit(False))
-    return write_table(masked, path, fmt, [dropped, extra.alias(UNDECLARED), *rules.rules.counts(bits)], [MASK])
+    return write(masked, [dropped, extra.alias(UNDECLARED), *rules.rules.counts(bits)], [MASK])

@@ -11,6 +11,7 @@ from ..operators.dedup import keep_first
 from ..operators.lookup import hot_keys, key_counts, lookup, unmatched
 from ..operators.rules import removed
 from ..operators.shape import flatten
+from ..sources.layout import ByKey, linked, unlinked_keys
 from ..sources.readers import CORRUPT, UNDECLARED
 from .bronze import MASK
 
@@ -51,28 +52,39 @@ def mark_orphans(df: DataFrame, table: Table, rules: TableRules, unmatched_key:
     return df.withColumn(MASK, rules.rules.set_bit(F.col(MASK), rules.orphan, orphan))
 
 
-def orphan_keys(bronze: DataFrame, table: Table, parent: DataFrame) -> DataFrame:
+def orphan_keys(bronze: DataFrame, table: Table, parent: DataFrame, by_key: tuple[ByKey, ByKey] | None = None) -> DataFrame:
     """Reference values of the source that the parent lacks, with their source rows."""
+    if by_key:
+        return unlinked_keys(*by_key, table.link.column, prepare=lambda rows: flatten(rows, table.flatten))
     flat = flatten(bronze, table.flatten)
     return unmatched(flat, table.link.field, parent, table.link.column)
 
 
 def silver_frame(
-    bronze: DataFrame, table: Table, rules: TableRules, parent: DataFrame | None = None
+    bronze: DataFrame, table: Table, rules: TableRules, parent: DataFrame | None = None, by_key: tuple[ByKey, ByKey] | None = None
 ) -> DataFrame:
     """The silver rows, with the helper columns ``__issues`` and ``__copies`` for metrics.
 
     Rows that cannot stay leave first (without a shuffle), so they neither travel
     nor win over a good copy. Then one lookup and one deduplication shuffle.
+    ``by_key`` are ``bronze`` and ``parent`` if both are stored by the link's key; the lookup then moves no row.
     """
-    flat = flatten(bronze, table.flatten).drop(UNDECLARED)
-    staying = flat.filter(rules.rules.keeps(flat))
-    staying = staying.withColumn(MASK, rules.rules.mask(flat, staying=True))
-    if parent is not None and table.link is not None:
-        hot = hot_keys(key_counts(flat, table.link.field), table.link.field)
-        staying = link(staying, table, rules, parent, hot)
+
+    def remaining(rows: DataFrame) -> DataFrame:
+        flat = flatten(rows, table.flatten).drop(UNDECLARED)
+        return flat.filter(rules.rules.keeps(flat)).withColumn(MASK, rules.rules.mask(flat, staying=True))
+
+    to = table.link
+    if parent is None or to is None:
+        staying = remaining(bronze)
+    else:
+        if by_key:
+            staying = mark_orphans(linked(*by_key, to.column, to.carry, to.linked, remaining), table, rules, ~F.col(to.linked))
+        else:
+            hot = hot_keys(key_counts(flatten(bronze, table.flatten), to.field), to.field)
+            staying = link(remaining(bronze), table, rules, parent, hot)
         if rules.orphan_drops:
-            staying = staying.filter(F.col(table.link.field).isNull() | F.col(table.link.linked))
+            staying = staying.filter(F.col(to.field).isNull() | F.col(to.linked))
     first = keep_first(typed(staying, table, rules), table.key, table.order, mark=COPIES)
     bits = F.col(MASK)
     if rules.flag_survivors:

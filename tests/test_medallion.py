@@ -252,3 +252,53 @@ def test_unknown_formats_are_refused(spark, extracts, rules_doc, model):
     m = medalmart.Medallion(spark, extracts, rules_doc, dataclasses.replace(model, tables=tables))
     with pytest.raises(ValueError, match="xml"):
         m.bronze()
+
+
+STORED_BY = {
+    "bronze": {"transactions": "account_id"},
+    "silver": {"accounts": "account_id", "transactions": "account_id"},
+    "gold": {"fact_transactions": "account_sk", "dim_accounts": "account_sk"},
+}
+
+
+@pytest.mark.parametrize("hot", [True, False])
+def test_layers_stored_by_key_hold_the_same(spark, run, extracts, tmp_path, monkeypatch, hot):
+    if not hot:
+        # In so few rows each key has a large share; here none counts as hot, so all rows lie in buckets.
+        monkeypatch.setattr(medalmart.sources.layout, "hot_keys", lambda counts, key: counts.where(F.col(key).isNull()).select(key))
+    plain = run()
+    elsewhere = {f"{layer}_path": str(tmp_path / "by_key" / layer) for layer in ("bronze", "silver", "gold", "report")}
+    by_key = run(output=elsewhere, stored_by=STORED_BY)
+    for layer, name in [("bronze", "transactions"), ("bronze", "quarantine/transactions"), ("silver", "transactions"), ("silver", "accounts"), ("gold", "fact_transactions"), ("gold", "dim_accounts")]:
+        a, b = plain.table(layer, name), by_key.table(layer, name)
+        assert a.columns == b.columns and sorted(map(str, a.collect())) == sorted(map(str, b.collect())), name
+    assert (plain.source, plain.output, plain.removed, plain.orphans) == (by_key.source, by_key.output, by_key.removed, by_key.orphans)
+    # Another process finds the layout in the folders.
+    later = medalmart.Medallion(spark, {**extracts, "output": elsewhere}, medalmart.config.default_rules(), run_at=RUN_AT)
+    assert sorted(map(tuple, later.checks().collect())) == sorted(map(tuple, plain.checks().collect()))
+    assert (later.by_key("gold", "fact_transactions").hot_keys == ()) is not hot
+
+
+def test_links_and_checks_of_stored_layers_move_no_fact(spark, run, monkeypatch):
+    monkeypatch.setattr(medalmart.sources.layout, "hot_keys", lambda counts, key: counts.where(F.col(key).isNull()).select(key))
+    m = run(stored_by=STORED_BY)
+    limit = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        by = m._linked_by_key("transactions")
+        keys = medalmart.sources.layout.unlinked_keys(*by, "account_id")
+        silver = m.silver_frame("transactions")._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+    # The one shuffle of facts is that of the deduplication.
+    assert silver.count("Exchange hashpartitioning") == 1 and "Exchange hashpartitioning(transaction_id" in silver
+    # Counts of the few hot keys move, the buckets don't.
+    plan = keys._jdf.queryExecution().executedPlan().toString()
+    assert "Bucketed: true" in plan and {r.account_id for r in keys.collect()} == {"a3", "a9"}
+
+
+def test_layouts_that_cannot_be_are_refused(spark, extracts, rules_doc):
+    for wrong, told in [({"stored_by": {"iron": {}}}, "layer"), ({"stored_by": {"gold": {"x": "y"}}}, "no gold table"),
+                        ({"stored_by": {"gold": {"fact_transactions": "account_sk"}}, "partition_by": {"fact_transactions": ["channel"]}}, "partitioned")]:
+        with pytest.raises(ValueError, match=told):
+            medalmart.Medallion(spark, {**extracts, **wrong}, rules_doc)
