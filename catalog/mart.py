@@ -12,6 +12,7 @@ from medalmart.operators.drift import deliveries, observed_types, record_types,
 from medalmart.operators.lookup import estimated_bytes, hot_keys, key_counts, lookup
 from medalmart.plans.gold import resolved_keys
 from medalmart.plans.medallion import Medallion
+from medalmart.sources.layout import ByKey, buckets_for, linked, read_by_key, unlinked_keys, write_by_key
 from medalmart.sources.scratch import scratch_path
 
 from .base import (
@@ -110,26 +111,53 @@ def gold_fact_lookup(spark: SparkSession, d: str) -> DataFrame:
     return lookup(narrow, keys, ("account_id", "account_id"), both, hot=hot, size=size).drop("account_id")
 
 
-@query(
-    "lookup_hot_keys",
-    """SELECT l.l_linenumber, l.l_suppkey, l.ref, o.o_custkey AS owner, o.o_orderkey IS NOT NULL AS found
-       FROM (SELECT *, CASE WHEN l_returnflag = 'R' THEN 1 WHEN l_linestatus = 'O' AND l_quantity > 40 THEN NULL
-               WHEN l_quantity = 7 THEN -l_orderkey - 1 ELSE l_orderkey END AS ref FROM {lineitem}) l
-       LEFT JOIN {orders} o ON l.ref = o.o_orderkey""",
-)
-def lookup_hot_keys(spark: SparkSession, d: str) -> DataFrame:
-    """The way of the lookup beyond the broadcast limit: one key holds a third of all rows."""
+# One key holds a third of all rows, some rows have none, and some keys have no parent.
+_REF_SQL = """SELECT *, CASE WHEN l_returnflag = 'R' THEN 1 WHEN l_linestatus = 'O' AND l_quantity > 40 THEN NULL
+  WHEN l_quantity = 7 THEN -l_orderkey - 1 ELSE l_orderkey END AS ref FROM {lineitem}"""
+_LINKED_SQL = f"""SELECT l.l_linenumber, l.l_suppkey, l.ref, o.o_custkey AS owner, o.o_orderkey IS NOT NULL AS found
+  FROM ({_REF_SQL}) l LEFT JOIN {{orders}} o ON l.ref = o.o_orderkey"""
+
+
+def _referring(spark: SparkSession, d: str, *columns: str) -> DataFrame:
     ref = (
         F.when(F.col("l_returnflag") == "R", 1)
         .when((F.col("l_linestatus") == "O") & (F.col("l_quantity") > 40), F.lit(None).cast("bigint"))
         .when(F.col("l_quantity") == 7, -F.col("l_orderkey") - 1)
         .otherwise(F.col("l_orderkey"))
     )
-    facts = table(spark, d, "lineitem").select("l_linenumber", "l_suppkey", ref.alias("ref"))
+    return table(spark, d, "lineitem").select(*columns, ref.alias("ref"))
+
+
+@query("lookup_hot_keys", _LINKED_SQL)
+def lookup_hot_keys(spark: SparkSession, d: str) -> DataFrame:
+    """The way of the lookup beyond the broadcast limit: one key holds a third of all rows."""
+    facts = _referring(spark, d, "l_linenumber", "l_suppkey")
     orders = table(spark, d, "orders")
     return lookup(facts, orders, ("ref", "o_orderkey"), {"owner": "o_custkey"}, found="found", limit=0)
 
 
+def _stored_by_key(spark: SparkSession, d: str) -> tuple[ByKey, ByKey]:
+    """Facts and orders as layer tables by the key that joins them."""
+    facts, orders = _referring(spark, d, "l_linenumber", "l_suppkey"), table(spark, d, "orders").select("o_orderkey", "o_custkey")
+    paths, n = [scratch_path(spark, f"by-key-{name}") for name in ("facts", "orders")], buckets_for(facts, orders)
+    write_by_key(facts, paths[0], "ref", n, ["l_suppkey", "l_linenumber"])
+    write_by_key(orders, paths[1], "o_orderkey", n, ["o_orderkey"], hot=())
+    return read_by_key(spark, paths[0]), read_by_key(spark, paths[1])
+
+
+@query("layout_lookup", _LINKED_SQL)
+def layout_lookup(spark: SparkSession, d: str) -> DataFrame:
+    """The same lookup over tables that are stored by key: no fact moves."""
+    facts, orders = _stored_by_key(spark, d)
+    return linked(facts, orders, "o_orderkey", {"owner": "o_custkey"}, found="found")
+
+
+@query("layout_orphans", f"SELECT ref, count(*) AS n FROM ({_LINKED_SQL}) t WHERE NOT found AND ref IS NOT NULL GROUP BY ref")
+def layout_orphans(spark: SparkSession, d: str) -> DataFrame:
+    """Keys without a parent, counted bucket by bucket."""
+    return unlinked_keys(*_stored_by_key(spark, d), "o_orderkey")
+
+
 def write_extracts(spark: SparkSession, d: str, root: str) -> dict[str, str]:
     """The role tables as two CSV sources and one JSON-lines source."""
     paths = {n: f"{root}/{n}" for n in ("customers", "accounts", "transactions")}
@@ -180,6 +208,17 @@ def medallion_fact(spark: SparkSession, d: str) -> DataFrame:
     return naive(medallion(spark, d).table("gold", "fact_transactions"))
 
 
+@query("medallion_by_key", FACT_SQL)
+def medallion_by_key(spark: SparkSession, d: str) -> DataFrame:
+    """The same with layers that are stored by the account, so that linking them moves no transaction."""
+    by_account = {
+        "bronze": {"transactions": "account_id"},
+        "silver": {"accounts": "account_id"},
+        "gold": {"fact_transactions": "account_sk", "dim_accounts": "account_sk"},
+    }
+    return naive(medallion(spark, d, stored_by=by_account).table("gold", "fact_transactions"))
+
+
 @query(
     "json_type_drift",
     f"""SELECT '$.amount' AS path, 'NEW_KIND' AS change, 'STRING' AS kind, count(*) AS rows, 0::BIGINT AS rows_before, true AS declared
