@@ -7,7 +7,7 @@ Sorting the copies by position gives the training order. Everything is DataFrame
 
 Defined results: a null text has size 0; sources are ordered by code point with null as the last
 one; repeated rows are rows of their own; of rows that tie in key and size it doesn't matter which
-is taken; an empty table gives an empty result; an input column named like a result column is left
+is taken; an empty table gives an empty result; texts of any length are counted whole; an input column named like a result column is left
 out of :func:`mix` in favour of the result.
 """
 
@@ -27,6 +27,8 @@ SCHEDULES = ((1.5, 0.5), (1.0, 1.0), (0.5, 1.5))
 SHARE, CAP = 1.5, 2.0
 #: Parts of each source, by hash of the key, within which words are counted up.
 DIGITS = 3
+#: Bits of a place within a partition in Spark's increasing ids.
+PLACE_BITS = 33
 RESULT = ("size", "source_size", "target", "taken", "copies", "before", "schedule_start", "schedule_end")
 
 
@@ -110,15 +112,35 @@ def training_order(mixed: DataFrame, columns: Sequence[str]) -> DataFrame:
     return each.repartitionByRange("position", *tie).sortWithinPartitions("position", *tie, "pass")
 
 
+def training_ranks(order: DataFrame) -> DataFrame:
+    """The sorted copies with ``rank``: 1 for the copy that is trained on first.
+
+    Stored, so that each copy's place in its partition stays. Ranks then need the rows before a
+    partition only: a row for each partition of the sort.
+    """
+    placed = stored(order.withColumn("at", F.monotonically_increasing_id()), "training-order")
+    placed = placed.withColumn("file", F.shiftright("at", PLACE_BITS)).withColumn("place", F.col("at").bitwiseAND((1 << PLACE_BITS) - 1))
+    upto = Window.orderBy("file").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    files = placed.groupBy("file").agg(F.count("*").alias("n")).select("file", (F.sum("n").over(upto) - F.col("n")).alias("ahead"))
+    ranked = placed.join(F.broadcast(files), "file").withColumn("rank", F.col("ahead") + F.col("place") + 1)
+    return ranked.drop("at", "file", "place", "ahead")
+
+
 def stage_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as the mix takes them, in training order."""
     return training_order(mix(docs), docs.columns).select(*docs.columns)
 
 
 def op1_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    mixed = mix(table(spark, sf_dir, "documents").select("doc_id", "text", "source"), keep=["doc_id"])
-    first = F.when(F.col("copies") > 0, F.round(position(F.lit(0)), 9)).alias("first_position")
-    return mixed.select("doc_id", "size", "source_size", "target", "taken", first)
+    mixed = stored(mix(table(spark, sf_dir, "documents").select("doc_id", "text", "source"), keep=["doc_id", "source"]), "mixed")
+    told = ["doc_id", "size", "source_size", "target", "taken"]
+    order = training_ranks(training_order(mixed, [*told, "source", "before"]))
+    # Only documents with words have copies, so no two of a source have as many words before them.
+    once = [F.any_value(c).alias(c) for c in told]
+    first, last = F.min("rank").alias("first_rank"), F.max("rank").alias("last_rank")
+    taken = order.groupBy("source", "before").agg(*once, F.round(F.min("position"), 9).alias("first_position"), first, last).drop("source", "before")
+    none = [F.lit(None).cast(t).alias(c) for c, t in (("first_position", "double"), ("first_rank", "long"), ("last_rank", "long"))]
+    return taken.unionByName(mixed.where("copies = 0").select(*told, *none))
 
 
 MIXING_SQL = r"""
@@ -151,9 +173,17 @@ placed AS (
 counted AS (
   SELECT *, CASE WHEN size = 0 THEN 0
     ELSE whole + CASE WHEN before + size / 2.0::DOUBLE <= target - whole * source_size THEN 1 ELSE 0 END END AS copies
-  FROM placed)
-SELECT doc_id, size, source_size, target, (size * copies)::BIGINT AS taken,
-  CASE WHEN copies > 0 THEN round(coalesce(2 * ((before + size / 2.0::DOUBLE) / target)
-    / nullif(a + sqrt(greatest(a * a + (b - a) * 2 * ((before + size / 2.0::DOUBLE) / target), 0)), 0), 0), 9) END AS first_position
-FROM counted
+  FROM placed),
+numbered AS (SELECT *, row_number() OVER () AS own FROM counted),
+copied AS (
+  SELECT own, doc_id, pass, a, b, (pass * source_size + before + size / 2.0::DOUBLE) / target AS y
+  FROM (SELECT *, unnest(range(copies)) AS pass FROM numbered)),
+timed AS (
+  SELECT own, doc_id, pass, coalesce(y * 2 / nullif(a + sqrt(greatest(a * a + (b - a) * 2 * y, 0)), 0), 0) AS position
+  FROM copied),
+ordered AS (SELECT *, row_number() OVER (ORDER BY position, doc_id NULLS FIRST, pass) AS rank FROM timed),
+trained AS (SELECT own, round(min(position), 9) AS first_position, min(rank) AS first_rank, max(rank) AS last_rank FROM ordered GROUP BY own)
+SELECT n.doc_id, n.size, n.source_size, n.target, (n.size * n.copies)::BIGINT AS taken,
+  t.first_position, t.first_rank, t.last_rank
+FROM numbered n LEFT JOIN trained t ON n.own = t.own
 """

@@ -3,7 +3,7 @@ import re
 import duckdb
 import pytest
 
-from medalmart.llm.mixing import MIXING_SQL, mix, position, stage_mixing, training_order
+from medalmart.llm.mixing import MIXING_SQL, mix, op1_source_mixing, position, stage_mixing, training_order, training_ranks
 from pyspark.sql import functions as F
 
 
@@ -64,6 +64,26 @@ def test_training_order_and_stage(spark, docs):
     assert stage.columns == docs.columns and stage.count() == len(order)
 
 
+def test_ranks_follow_the_sort_over_all_partitions(docs):
+    order = training_order(mix(docs), docs.columns)
+    got = sorted(map(tuple, training_ranks(order).select("rank", "position", "doc_id", "pass").collect()))
+    assert [r[0] for r in got] == list(range(1, len(got) + 1))
+    assert [r[1:] for r in got] == sorted(r[1:] for r in got)
+
+
+def test_query_agrees_with_sql(spark, docs, rows, tmp_path):
+    """Ranks of all copies, of repeated keys and null sources too; documents without words have none."""
+    more = spark.createDataFrame([(i, t, "en", s) for i, t, s in ((7000, None, "web"), (7001, "", None), (7002, "one", "zz"), (7002, "one two", "zz"))], "doc_id long, text string, lang string, source string")
+    docs.select("doc_id", "text", "lang", "source").unionByName(more).write.parquet(str(tmp_path / "documents.parquet"))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    want = con.execute(MIXING_SQL)
+    names = [d[0] for d in want.description]
+    got = op1_source_mixing(spark, str(tmp_path))
+    assert sorted(map(tuple, got.select(*names).collect()), key=str) == sorted(want.fetchall(), key=str)
+    assert got.where("last_rank > first_rank").count() > 0 and got.where("doc_id IN (7000, 7001) AND first_rank IS NULL").count() == 2
+
+
 def test_odd_rows(odd, empty):
     got = mix(odd).collect()
     assert len(got) == 4 and [r["size"] for r in got if r["doc_id"] == 2] == [0]
