@@ -5,8 +5,8 @@ one tile. A tile multiplies int8 codes, a scale for each vector. With x = s c +
 the true product lies within |sc| |e'| + |e| |s'c'| + |e| |e'| of the product of the codes, by Cauchy and
 Schwarz. A pair is left out only if its upper bound is below the k-th best lower bound of its query;
 the rest is computed anew in double precision from the original vectors, and each tile keeps its k
-best for each query. The lists of all tiles are merged by rank, again with k rows kept for each
-query in every task before they move. So recall is 1.
+best for each query. The lists of all tiles are merged by heaps, one of k pairs for each query: in
+every task before they move, and again where a query's lists meet. So recall is 1.
 
 Each tile holds its two blocks and nothing else. Equal vectors of a candidate block compete once:
 only the k + 1 smallest ids of them can be among a query's nearest.
@@ -14,17 +14,20 @@ only the k + 1 smallest ids of them can be among a query's nearest.
 Defined results: vectors that are null, empty, zero, or hold a null or non-finite component take no
 part, nor do rows without an id; vectors of another length than the query's are no candidates of
 it; rows with the query's id are not its candidates; a vector that is repeated under one id counts
-once; several vectors under one query id compete together; ties go to the smaller id; an empty table gives no rows.
+once; several vectors under one query id compete together; ties go to the smaller id; an empty table gives no rows;
+columns other than id and vector are ignored, whatever their names.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import heapq
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import table
 
@@ -33,6 +36,8 @@ NEAREST = 20
 QUERIES, CANDIDATES = 4096, 8192
 #: Queries of a block that are multiplied at once.
 STRIP = 256
+#: Pairs that the heaps of a task hold before its lists go on.
+HELD = 1 << 18
 
 
 def usable(vector: Column) -> Column:
@@ -121,10 +126,38 @@ def _tiles(k: int) -> Callable[[pa.Table, pa.Table], pa.Table]:
     return run
 
 
+def _heaps(k: int, ranked: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """The ``k`` best pairs of each query, with their ranks if nothing is to come; a heap's root is its worst pair."""
+
+    def told(heaps: dict[int, list[tuple[float, int]]]) -> pa.RecordBatch:
+        rows = [(q, n, -v, s) for q, heap in heaps.items() for n, (s, v) in enumerate(sorted(heap, reverse=True), 1)]
+        query, rank, which, score = zip(*rows, strict=True) if rows else ((),) * 4
+        columns = {"query_id": pa.array(query, pa.int64()), "rank": pa.array(rank, pa.int32()), "vec_id": pa.array(which, pa.int64()), "score": pa.array(score, pa.float64())}
+        return pa.RecordBatch.from_pydict({c: columns[c] for c in columns if ranked or c != "rank"})
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        heaps: dict[int, list[tuple[float, int]]] = {}
+        for batch in batches:
+            for query, which, score in zip(*(batch.column(c).to_pylist() for c in ("query_id", "vec_id", "score")), strict=True):
+                heap, pair = heaps.setdefault(query, []), (score, -which)
+                if len(heap) < k:
+                    heapq.heappush(heap, pair)
+                elif pair > heap[0]:
+                    heapq.heapreplace(heap, pair)
+            if not ranked and len(heaps) * k > HELD:
+                yield told(heaps)
+                heaps = {}
+        yield told(heaps)
+
+    return run
+
+
 def nearest(vectors: DataFrame, is_query: Column, k: int = NEAREST, key: str = "vec_id", vector: str = "embedding", queries: int = QUERIES, candidates: int = CANDIDATES) -> DataFrame:
     """query_id, rank, vec_id, score of the ``k`` largest inner products of each query."""
     rows = vectors.where(F.col(key).isNotNull()).select(F.col(key).cast("long").alias("id"), F.col(vector).alias("v"), is_query.alias("asks")).where(usable(F.col("v")))
-    rows = rows.withColumn("v", F.transform("v", lambda x: x.cast("double"))).withColumn("dim", F.size("v"))
+    if not isinstance(rows.schema["v"].dataType.elementType, T.FloatType | T.DoubleType):
+        rows = rows.withColumn("v", F.transform("v", lambda x: x.cast("double")))
+    rows = rows.withColumn("dim", F.size("v"))
     counts = rows.agg(F.count("*").alias("all"), F.count_if("asks").alias("asking")).first()
     n_candidate, n_query = counts["all"] // candidates + 1, counts["asking"] // queries + 1
     every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
@@ -134,10 +167,10 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = NEAREST, key: str = "
     offered = rows.select("dim", "id", "v").distinct().select("dim", every(n_query).alias("qb"), dealt(n_candidate).alias("cb"), "id", "v")
     keys = ["dim", "qb", "cb"]
     found = asking.groupBy(*keys).cogroup(offered.groupBy(*keys)).applyInArrow(_tiles(k), "query_id bigint, vec_id bigint, score double")
-    # Each query has k rows for each candidate block. The rank limits what each task sends on to k rows a query.
-    order = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
-    best = found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
-    return best.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
+    # A task sends on k pairs a query, about; a group of queries streams through its heaps.
+    few = found.mapInArrow(_heaps(k, ranked=False), found.schema)
+    met = few.groupBy(F.pmod(F.xxhash64("query_id"), F.lit(n_query)))
+    return met.applyInArrow(_heaps(k, ranked=True), "query_id bigint, rank int, vec_id bigint, score double")
 
 
 def op3_block_search(spark: SparkSession, sf_dir: str) -> DataFrame:

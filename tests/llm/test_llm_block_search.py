@@ -51,6 +51,16 @@ def test_repeated_rows_do_not_fill_a_block(spark, monkeypatch):
     assert got == brute([(i, tuple(np.float32(v).tolist())) for i, v in rows], 5)
 
 
+def test_heaps_keep_the_best_whatever_is_held(spark, monkeypatch):
+    monkeypatch.setattr(block_search, "HELD", 30)  # lists go on after a few queries
+    rng = np.random.default_rng(6)
+    rows = [(i, rng.integers(-3, 4, 6).astype(float).tolist()) for i in range(1, 300)]  # many ties
+    for kind in ("float", "double", "int"):
+        frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>").selectExpr("vec_id", f"cast(embedding AS array<{kind}>) AS embedding")
+        got = nearest(frame, F.col("vec_id") % 20 == 0, 7, queries=4, candidates=40)
+        assert sorted(map(tuple, got.collect())) == brute([(i, tuple(v)) for i, v in rows], 7)
+
+
 def test_bounds_hold():
     rng = np.random.default_rng(0)
     x, y = rng.normal(size=(200, 32)) * np.exp(rng.normal(size=(200, 1)) * 3), rng.normal(size=(200, 32))
