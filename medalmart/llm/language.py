@@ -10,7 +10,8 @@ key hashes. Labelling takes all words of all texts.
 
 Defined results: text that is null or has no letter gets ``und`` with score 0; ties go to the
 language that sorts first; if there is nothing to learn from, every text is ``und``; repeated rows
-are rows of their own.
+are rows of their own; an empty table gives no rows; texts of any length are labelled whole, and
+scored in pieces; an input column named like a result column is left out in favour of the result.
 """
 
 from __future__ import annotations
@@ -20,11 +21,12 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import crc_mod, slices, table, without
+from .labelled import smallest
 from .texts import bounds, code_points, mixed, tables
 
 #: Documents of each language that the model is fitted on, at most.
@@ -96,8 +98,7 @@ def fit(labelled: DataFrame, key: str, text: str, lang: str, per_language: int =
     """The model, of a size bounded by the number of languages. ``labelled``: all rows to learn from."""
     rows = labelled.select(F.col(lang).cast("string").alias("lang"), F.xxhash64(F.col(key)).alias("at"), F.col(text).alias("text")).where("lang IS NOT NULL AND text IS NOT NULL")
     # Which documents: settled on keys alone, each task keeping its smallest; then the texts of those.
-    by_hash = Window.partitionBy("lang").orderBy("at")
-    upto = rows.select("lang", "at").withColumn("n", F.row_number().over(by_hash)).where(F.col("n") <= per_language).groupBy("lang").agg(F.max("at").alias("upto"))
+    upto = smallest(rows.select("lang", "at"), "lang", ("at",), per_language).groupBy("lang").agg(F.max("at").alias("upto"))
     chosen = rows.join(F.broadcast(upto) if upto.count() <= 10_000 else upto, "lang").where("at <= upto").select("lang", "text")
     counts = chosen.mapInArrow(_count, "lang string, bucket long, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toArrow()
     names = sorted(set(counts.column("lang").to_pylist()))

@@ -11,7 +11,9 @@ repetition of words and lines. They take whole texts and are made by numpy, all
 once. Scoring looks up bins and adds.
 
 Defined results: null and empty texts have features of zero; repeated rows score alike; without
-labels of both kinds every score is 0.5; an empty table gives no rows.
+labels of both kinds every score is 0.5; an empty table gives no rows;
+texts of any length are read whole; an input column named like a result column is left out in favour
+of the result.
 """
 
 from __future__ import annotations

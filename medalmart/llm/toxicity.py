@@ -15,7 +15,9 @@ documents; the insult class takes in stems that they show to be insulting. Both
 ``PER_CLASS`` documents of each label. Scoring reads all clauses of all texts.
 
 Defined results: null, empty and harmless texts get the score of a text without findings; repeated
-rows score alike; without labels the priors hold; an empty table gives no rows.
+rows score alike; without labels the priors hold; an empty table gives no rows;
+texts of any length are read whole; an input column named like a result column is left out in favour
+of the result.
 """
 
 from __future__ import annotations

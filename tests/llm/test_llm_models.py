@@ -1,10 +1,11 @@
 import random
+import zlib
 
 import numpy as np
 import pytest
 
 from medalmart.llm import language, quality, toxicity
-from medalmart.llm.labelled import sample
+from medalmart.llm.labelled import sample, smallest
 from pyspark.sql import functions as F
 from texts import prose
 
@@ -75,6 +76,50 @@ def test_language_odd_rows(odd, empty, spark, langs):
     assert stage.columns == langs[0].columns and {900, 901, 902}.isdisjoint({r["doc_id"] for r in stage.collect()}) and stage.count() == 151
 
 
+# -- samples --------------------------------------------------------------------------------
+
+
+def test_smallest_of_each_group(spark):
+    rng = random.Random(8)
+    rows = [("abc"[i % 3 if i % 2 else 0], rng.randrange(10**9)) for i in range(2000)] + [(None, 5), (None, 4), (None, 3), ("z", 1)]
+    frame = spark.createDataFrame(rows, "g string, at long").repartition(150)
+    want = [(g, x) for g in (None, "a", "b", "c", "z") for x in sorted(a for h, a in rows if h == g)[:40]]
+    assert sorted(map(tuple, smallest(frame, "g", ("at",), 40).collect()), key=str) == sorted(want, key=str)
+
+
+def is_held_out(key, n, rest):
+    return zlib.crc32(str(key).encode()) % n == rest
+
+
+@pytest.mark.parametrize("label, n, rest, query", [("toxic", 3, 1, toxicity.op2_toxic_clauses), ("quality", 5, 0, quality.op4_quality_gam)])
+def test_query_scores_all_and_learns_from_its_fold(spark, tmp_path, label, n, rest, query):
+    """Labels of held-out rows, lang and source don't change a score; a repeated or missing label repeats no document."""
+    rng = random.Random(12)
+    docs, labels, turned = [], [], []
+    for i in range(300):
+        bad = i % 3 == 0
+        text = f"{prose(rng, 30)}. {prose(rng, 4)}{' idiot' if bad else ''}."
+        docs.append((i, text.upper() if bad else text, "x", "y"))
+        mark = int(bad) if label == "toxic" else int(not bad)
+        if i % 10:
+            labels.append((i, mark, mark))
+            turned.append((i, *[1 - mark if is_held_out(i, n, rest) else mark] * 2))
+    docs += [(900, None, None, None), (901, "", None, None)]
+    results = []
+    for name, marks, kind in (("a", labels + labels[:5], "p"), ("b", turned, "q")):
+        at = tmp_path / name
+        spark.createDataFrame([(*d[:2], kind, kind) for d in docs], "doc_id long, text string, lang string, source string").write.parquet(str(at / "documents.parquet"))
+        spark.createDataFrame(marks, "doc_id long, quality int, toxic int").write.parquet(str(at / "labels.parquet"))
+        results.append({r["doc_id"]: r for r in query(spark, str(at)).collect()})
+    one, two = results
+    assert set(one) == {d[0] for d in docs} and one == two
+    assert all(r["held_out"] == is_held_out(i, n, rest) and 0 <= r["score"] <= 1 for i, r in one.items())
+    limit = 0.7 if label == "toxic" else 0.3
+    assert all(r["predicted"] == int(r["score"] >= limit) for r in one.values())
+    right = [one[i]["predicted"] == mark for i, mark, _ in labels if is_held_out(i, n, rest)]
+    assert sum(right) >= 0.9 * len(right)
+
+
 # -- toxicity -------------------------------------------------------------------------------
 
 
