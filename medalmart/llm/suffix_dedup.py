@@ -18,11 +18,13 @@ is no separate pass for them.
 
 *Merging.* A minimizer with more bytes than a shard holds is spread over several. Each of these
 reports one 128-bit key for every group of equal strings, sorted and packed by range of keys; where
-the packs of a range meet, keys that several shards report are repeated as well. Hashes of 128 bits
+the packs of a range meet, they are merged by binary search, and keys that several shards report are
+repeated as well. Slices of hot minimizers stay where they are when frequent ones are told. Hashes of 128 bits
 stand for equal strings here and for equal slices.
 
 Defined results: a null text is an empty one; texts below 400 bytes stay whole; repeated rows lose
-all bytes if they have 400; an empty table gives no rows.
+all bytes if they have 400; an empty table gives no rows; long texts are cut into pieces that
+overlap, and none is left out; columns other than key and text are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -37,6 +39,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from medalmart.operators.lookup import HOT_SHARE
+
 from .common import slices, stored, table
 from .texts import mixed
 
@@ -220,6 +224,24 @@ def _sharded(length: int, groups: int):
     return run
 
 
+def merged(keys: np.ndarray, lists: list[np.ndarray]) -> np.ndarray:
+    """Places of keys in order, from lists of places that are in order each.
+
+    Two lists become one by binary search: a key's place is its own plus the number of keys before it in the other.
+    """
+    while len(lists) > 1:
+        pairs = list(zip(lists[::2], lists[1::2], strict=False))
+        rest = lists[-1:] if len(lists) % 2 else []
+        lists = []
+        for one, two in pairs:
+            both = np.empty(len(one) + len(two), np.int64)
+            both[np.arange(len(one)) + np.searchsorted(keys[two], keys[one], "left")] = one
+            both[np.arange(len(two)) + np.searchsorted(keys[one], keys[two], "right")] = two
+            lists.append(both)
+        lists += rest
+    return lists[0]
+
+
 def _merged(length: int):
     def run(group: pa.Table) -> pa.Table:
         """The runs as they are, and strings of spread minimizers that several shards have."""
@@ -228,10 +250,12 @@ def _merged(length: int):
         if not len(packed):
             return plain
         lists = [packed.column(n).combine_chunks() for n in ("k1", "k2", "owner", "start")]
-        shard = np.repeat(np.arange(len(packed)), pc.list_value_length(lists[0]).to_numpy())
+        counts = pc.list_value_length(lists[0]).to_numpy()
+        shard = np.repeat(np.arange(len(packed)), counts)
         k1, k2, owner, start = (x.flatten().to_numpy() for x in lists)
-        order = np.lexsort((k2, k1))
-        same = (k1[order][1:] == k1[order][:-1]) & (k2[order][1:] == k2[order][:-1])
+        keys = np.stack([k1.view(np.uint64), k2.view(np.uint64)], 1).astype(">u8").view("S16").ravel()
+        order = merged(keys, [*np.split(np.arange(len(keys)), np.cumsum(counts)[:-1])])
+        same = keys[order][1:] == keys[order][:-1]
         found = order[np.concatenate((same, [False])) | np.concatenate(([False], same))]
         found = found[owner[found] >= 0]
         base = np.cumsum([0, *pc.list_value_length(packed.column("contents").combine_chunks()).to_pylist()])
@@ -246,15 +270,27 @@ def content(text: Column) -> Column:
     return F.unhex(F.md5(text.cast("binary")))
 
 
+def among(rows: DataFrame, keys: DataFrame, on: list[str], total: int) -> DataFrame:
+    """Those of the ``total`` rows whose key is in ``keys`` (once each, with its number of rows ``n``).
+
+    Rows don't move if their key has more than one in ``HOT_SHARE`` of all: fewer than ``HOT_SHARE`` keys have.
+    """
+    is_hot = F.col("n") * HOT_SHARE > total
+    hot = F.broadcast(keys.where(is_hot).select(*on))
+    rest = rows.join(hot, on, "left_anti").join(keys.where(~is_hot).select(*on).hint("merge"), on, "left_semi")
+    return rows.join(hot, on, "left_semi").unionByName(rest)
+
+
 def repeats(docs: DataFrame, text: str = "text", length: int = LENGTH, gram: int = GRAM, shard_bytes: int = SHARD_BYTES) -> tuple[DataFrame, DataFrame]:
     """Each distinct text with its content hash; and ``content, from, to`` of bytes to remove, which may overlap."""
     rows = docs.select(F.coalesce(F.col(text).cast("string"), F.lit("")).cast("binary").alias("octets")).select(F.unhex(F.md5("octets")).alias("content"), "octets")
     once = rows.where(F.length("octets") >= length).groupBy("content").agg(F.any_value("octets").alias("octets"))
     found = stored(rows.mapInArrow(_slicer(length, gram), "content binary, low bigint, digest bigint, start bigint, n bigint"), "slices")
-    often = found.groupBy("low").agg(F.count("*").alias("c")).where("c > 1").select("low")
-    found = stored(found.join(often, "low", "left_semi"), "shared-slices")
+    often = found.groupBy("low").agg(F.count("*").alias("n")).where("n > 1")
+    found = stored(among(found, often, ["low"], found.rows), "shared-slices")
     distinct = stored(found.groupBy("low", "digest").agg(F.count("*").alias("copies"), F.min(F.struct("content", "start", "n")).alias("one")), "distinct-slices")
-    whole = found.join(distinct.where("copies > 1").select("low", "digest"), ["low", "digest"]).select("content", F.col("start").alias("from"), (F.col("start") + F.col("n") + (length - 1)).alias("to")).distinct()
+    twice = distinct.where("copies > 1").select("low", "digest", F.col("copies").alias("n"))
+    whole = among(found, twice, ["low", "digest"], found.rows).select("content", F.col("start").alias("from"), (F.col("start") + F.col("n") + (length - 1)).alias("to")).distinct()
     # Shards: by minimizer; those with too many bytes by minimizer and text.
     sizes = distinct.groupBy("low").agg(F.count("*").alias("c"), F.sum(F.col("one.n") + (length - 1)).alias("size")).where("c > 1")
     edges = stored(distinct.join(sizes, "low").select("low", "copies", "one.*", "size"), "edges")

@@ -7,7 +7,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from medalmart.llm.suffix_dedup import minimizers, op9_suffix_dedup, ranks, suffix_dedup
+from medalmart.llm.suffix_dedup import among, merged, minimizers, op9_suffix_dedup, ranks, suffix_dedup
 
 
 def brute(rows, length):
@@ -44,6 +44,24 @@ def test_the_query_tells_what_was_removed(spark, rows, tmp_path):
         assert r.kept_text == kept.decode("utf-8", "replace") or b"\xa9" in kept[:1] + kept[-1:]
 
 
+@pytest.mark.parametrize("n", [1, 2, 3, 8, 13])
+def test_sorted_lists_are_merged(n):
+    rng = np.random.default_rng(n)
+    keys = rng.integers(0, 60, (200, 2)).astype(">u8").view("S16").ravel()
+    lists = [x[np.argsort(keys[x], kind="stable")] for x in np.split(np.arange(200), np.sort(rng.integers(0, 200, n - 1)))]
+    got = merged(keys, lists)
+    assert sorted(got) == list(range(200)) and (keys[got] == np.sort(keys)).all()
+
+
+def test_rows_of_hot_keys_stay(spark):
+    """A key with most rows, keys with one row, hot keys that aren't asked for: as a plain semi join."""
+    rows = [(7, i) for i in range(3000)] + [(8, i) for i in range(3000)] + [(i, i) for i in range(100, 3000)]
+    frame = spark.createDataFrame(rows, "low long, start long")
+    keys = spark.createDataFrame([(7, 3000), *((i, 1) for i in range(100, 3000, 2))], "low long, n long")
+    got = sorted(map(tuple, among(frame, keys, ["low"], len(rows)).collect()))
+    assert got == sorted(r for r in rows if r[0] == 7 or (r[0] >= 100 and r[0] % 2 == 0))
+
+
 @pytest.mark.parametrize("shard_bytes", [4 << 20, 120])
 def test_short_strings_over_few_letters(spark, shard_bytes):
     """Many ties: periodic texts, overlaps within a text, runs that touch."""
