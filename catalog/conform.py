@@ -150,7 +150,7 @@ _LEVELS = 5
 def sk_collisions(spark: SparkSession, d: str) -> DataFrame:
     """Keys of only 16 bits, so that many orders share one: all but the first of each move, and none meet."""
     orders = table(spark, d, "orders").select("o_orderkey", F.col("o_orderkey").cast("string").alias("name"))
-    return resolved(orders, "name", "account_sk", collisions(orders, "name", digits=4), digits=4).drop("name")
+    return resolved(orders, "name", "account_sk", collisions(orders, "name", digits=4, widen=True), digits=4).drop("name")
 
 
 _PARTY_AGE = f"CAST(floor(date_diff('day', CAST(dob AS DATE), DATE '{RUN_AT.date()}') / 365.25) AS INTEGER)"

@@ -12,7 +12,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.keys import HEX_DIGITS, LEVELS, hash_key
+from ..functions.keys import HEX_DIGITS, LEVELS, WIDE_DIGITS, WIDE_LEVELS, hash_key
 from ..sources.scratch import scratch_path
 from ..sources.writers import stored_batches, write_batch, write_table
 from .lookup import lookup
@@ -66,12 +66,15 @@ def numbered(df: DataFrame, key: str, known: DataFrame, name: str) -> DataFrame:
     return lookup(df, known, (key, NATURAL), {name: NUMBER})
 
 
-def collisions(df: DataFrame, key: str, digits: int = HEX_DIGITS) -> DataFrame | None:
+def collisions(df: DataFrame, key: str, digits: int = HEX_DIGITS, widen: bool = False) -> DataFrame | None:
     """``natural_key, surrogate_key`` of the keys whose hash a smaller key has too; None if there is none.
 
     Of keys with one hash the smallest keeps it. The others get a key beyond all plain hashes: the
     hash of the next range (of :data:`LEVELS`), and where these meet again, of the range after that.
-    So a moved key's number is a function of the key, and the same in every run in which it moves.
+    So a moved key's number is a function of the key and of its level, and the same in every run in which it
+    moves as often. Each range settles no more keys than there are hashes. With ``widen``, keys that still
+    meet after the last range get a hash of :data:`WIDE_DIGITS` digits in a part of the ranges that the short
+    hashes leave free, so that any number of keys is settled in a few passes; without it they are an error.
 
     Hashes are grouped with their least and greatest key, which is all that happens where no hash is
     shared. Only keys of shared hashes are looked at again; n keys have about n * n / 2**61 of them.
@@ -83,6 +86,7 @@ def collisions(df: DataFrame, key: str, digits: int = HEX_DIGITS) -> DataFrame |
         n = write_table(frame, path)["rows"]
         return spark.read.schema(frame.schema).parquet(path), n
 
+    last = LEVELS + WIDE_LEVELS if widen and digits <= WIDE_DIGITS else LEVELS
     moving, level, settled = df.select(F.col(key).alias(NATURAL)).where(F.col(NATURAL).isNotNull()), 0, []
     while True:
         hashed = moving.withColumn("h", hash_key(NATURAL, digits=digits, level=level))
@@ -92,9 +96,10 @@ def collisions(df: DataFrame, key: str, digits: int = HEX_DIGITS) -> DataFrame |
             settled.append(groups.select(F.col("least").alias(NATURAL), F.col("h").alias(NUMBER)))
         if not n:
             return reduce(DataFrame.unionByName, settled) if settled else None
-        if level == LEVELS:
-            raise ValueError(f"keys still share a hash of {digits} digits after {LEVELS} ranges")
-        moving, _ = kept(hashed.join(shared, "h").where(F.col(NATURAL) > F.col("least")).select(NATURAL).distinct())
+        if level == last:
+            raise ValueError(f"keys still share a hash of {digits} digits after {last} ranges")
+        met = hashed.join(shared, "h").where(F.col(NATURAL) > F.col("least")).select(NATURAL)
+        moving, _ = kept(met if level else met.distinct())
         level += 1
 
 

@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import medalmart
-from medalmart.functions.keys import LEVELS, RANGE, hash_key
+from medalmart.functions.keys import LEVELS, RANGE, WIDE_LEVELS, hash_key
 from medalmart.operators.registry import collisions, next_numbers, numbered, read_registry, register, resolved, unregistered
 from medalmart.sources import writers
 from support import RUN_AT
@@ -102,6 +102,28 @@ def test_keys_beyond_all_ranges_are_told(spark):
         collisions(keys(spark, [f"k{i}" for i in range(400)]), "k", digits=1)
 
 
+def test_widened_keys_settle_more_keys_than_the_ranges_hold(spark):
+    """400 keys, 16 hashes in each of 8 ranges."""
+    names = [f"k{i}" for i in range(400)]
+    df = keys(spark, [*names, names[0], None])
+    moved = collisions(df, "k", digits=1, widen=True)
+    got = {r.k: r.s for r in resolved(df, "k", "s", moved, digits=1).distinct().collect()}
+    assert len(got) == len(set(got.values())) == 401 and got[None] is None
+    assert all(0 <= got[k] < 1 << 63 for k in names)
+    short = {k for k in names if got[k] % RANGE < 16}
+    assert 8 * 14 < len(short) <= 8 * 16
+    again = collisions(df.repartition(5), "k", digits=1, widen=True)
+    assert numbers(again) == numbers(moved)
+
+
+def test_wide_levels_share_no_key(spark):
+    starts = [spark.range(1).select(hash_key(F.lit("x"), digits=4, level=n).alias("h")).first().h >> 56 for n in (1, 7, 8, 15, 16, LEVELS + WIDE_LEVELS)]
+    assert starts == [1 << 4, 7 << 4, 1, (7 << 4) + 1, 2, (7 << 4) + 15]
+    for wrong in ({"digits": 15, "level": LEVELS + 1}, {"digits": 4, "level": LEVELS + WIDE_LEVELS + 1}):
+        with pytest.raises(ValueError, match="no level"):
+            hash_key(F.lit("x"), **wrong)
+
+
 def test_a_mart_over_shortened_hashes_keeps_its_links(spark, extracts, rules_doc, monkeypatch):
     """With four bits every table has collisions; facts must still meet their own parents."""
     from medalmart.operators import registry
