@@ -302,3 +302,21 @@ def test_layouts_that_cannot_be_are_refused(spark, extracts, rules_doc):
                         ({"stored_by": {"gold": {"fact_transactions": "account_sk"}}, "partition_by": {"fact_transactions": ["channel"]}}, "partitioned")]:
         with pytest.raises(ValueError, match=told):
             medalmart.Medallion(spark, {**extracts, **wrong}, rules_doc)
+
+
+def test_buckets_grow_with_the_sources(spark, extracts, rules_doc, monkeypatch):
+    from medalmart.sources import layout
+
+    monkeypatch.setattr(layout, "BUCKET_BYTES", 512)
+    config = {**extracts, "stored_by": {"bronze": {"transactions": "account_id"}}}
+    m = medalmart.Medallion(spark, config, rules_doc, run_at=RUN_AT)
+    m.bronze()
+    n = m.by_key("bronze", "transactions").buckets
+    assert n == m.buckets >= 16
+    # A later stage goes by what bronze has; a configured number is taken as it is.
+    monkeypatch.setattr(layout, "BUCKET_BYTES", 1 << 40)
+    assert medalmart.Medallion(spark, config, rules_doc).buckets == n
+    assert medalmart.Medallion(spark, {**config, "buckets": 3}, rules_doc).buckets == 3
+    # Without a bronze table stored by key, and with its sources gone, it is the bronze tables that tell.
+    apart = {**extracts, "input": {k: f"{v}.gone" for k, v in extracts["input"].items()}}
+    assert medalmart.Medallion(spark, apart, rules_doc).buckets == 8
