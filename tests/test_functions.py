@@ -96,3 +96,20 @@ def test_timestamps_do_not_depend_on_the_session_zone(spark):
         assert made[0] == made[1] == [1741487400, None]
     finally:
         spark.conf.set("spark.sql.session.timeZone", zone)
+
+
+def test_quick_days_and_times_agree_with_the_pattern(spark):
+    days = ["2024-02-29", "2023-02-29", "2024-1-01", "2024-01-1 ", "2024-01-1T", " 2024-1-1", "12345-1-02", "+10000-01-01", "-0001-01-01", "0000-01-01", "٢٠٢٤-٠١-٠١", None]
+    times = ["00:00:00", "23:59:59", "24:00:00", "9:05:05", "12:30:60", "12:30:4Z", "12:30:05 ", "12:30:+5", "12:30:05\n", "١٢:30:05", "", None]
+    df = spark.createDataFrame([(d, t) for d in days for t in times], "d string, t string")
+    date = F.col("d").try_cast("date")
+    whole = F.concat(date.cast("string"), F.lit(" "), F.col("t"), F.lit("+00:00"))
+    rows = df.select(
+        "d",
+        parse_date("d").cast("string").alias("day"),
+        (date.cast("string") == F.col("d")).alias("is_norm"),
+        F.unix_micros(compose_timestamp(date, F.col("t"))).alias("at"),
+        F.unix_micros(F.try_to_timestamp(whole, F.lit("yyyy-MM-dd HH:mm:ssxxx"))).alias("parsed"),
+    ).collect()
+    assert all(r.day == (r.d if r.is_norm else None) for r in rows)
+    assert [r.at for r in rows] == [r.parsed for r in rows] and any(r.at is not None for r in rows)

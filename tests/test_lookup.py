@@ -69,3 +69,25 @@ def test_unmatched_counts_rows_and_ignores_nulls(big, small):
     got = {r.ref: r.n for r in unmatched(big, "ref", small, "k").collect()}
     want = {r.ref: r["count"] for r in big.filter("ref >= 900").groupBy("ref").count().collect()}
     assert got == want and want
+
+
+def test_without_hot_keys_the_large_side_is_read_once(spark, tmp_path):
+    # Half of the rows, all equal, have no key; they are dealt over the tasks of the one shuffle.
+    ref = F.when(F.col("id") % 2 == 0, (F.col("id") % 5000).cast("string"))
+    spark.range(0, 20_000, 1, 16).select(ref.alias("ref")).write.parquet(str(tmp_path / "big"))
+    rows = spark.read.parquet(str(tmp_path / "big"))
+    keys = spark.range(0, 4000).select(F.col("id").cast("string").alias("k"), "id")
+    hot = hot_keys(key_counts(rows, "ref"), "ref", share=100)
+    assert [r.ref for r in hot.collect()] == [None]
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    spark.conf.set("spark.sql.files.openCostInBytes", "1g")
+    try:
+        out = lookup(rows, keys, ("ref", "k"), {"value": "id"}, found="found", limit=0, hot=hot)
+        assert out._jdf.queryExecution().executedPlan().toString().count("FileScan") == 1
+        sizes = [r["count"] for r in out.where("ref IS NULL").groupBy(F.spark_partition_id().alias("p")).count().collect()]
+        assert sum(sizes) == 10_000 and max(sizes) < 7_000
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+    want = rows.join(F.broadcast(keys), rows.ref == keys.k, "left").select("ref", F.col("id").alias("value"), F.col("k").isNotNull().alias("found"))
+    assert out.exceptAll(want).isEmpty() and want.exceptAll(out).isEmpty()
