@@ -167,7 +167,7 @@ def quarantine_split(spark: SparkSession, d: str) -> DataFrame:
     bank = Bank(spark, d)
     spec, rules = bank.model.tables["transactions"], bank.rules["transactions"]
     tx = bank.bronze("transactions")
-    out = removed_rows(tx, spec, rules, orphan_keys(tx, spec, bank.parent("transactions")))
+    out = removed_rows(tx, spec, rules, orphan_keys(tx, spec, bank.parent("transactions")), bank.hot("transactions"))
     return out.select(
         "transaction_id",
         "account_id",
@@ -334,9 +334,11 @@ def quarantine_replay(spark: SparkSession, d: str) -> DataFrame:
     spec, rules = bank.model.tables["transactions"], bank.rules["transactions"]
     tx, accounts = bank.bronze("transactions"), bank.parent("transactions")
     early = accounts.where(F.col("account_id").cast("bigint") % 3 != 0)
-    taken = removed_rows(tx, spec, rules, orphan_keys(tx, spec, early)).drop(*REMOVED)
+    # Both days bring keys of the same source. More or fewer hot keys change no row.
+    hot = bank.hot("transactions")
+    taken = removed_rows(tx, spec, rules, orphan_keys(tx, spec, early), hot).drop(*REMOVED)
     again = stamp(bank.raw("transactions").where("transaction_id LIKE '%-1'"), RUN_AT + dt.timedelta(days=1))
     held = held_back(taken, again, STAMP)
-    silver = silver_frame(again.unionByName(held), dataclasses.replace(spec, flatten={}), rules, accounts)
+    silver = silver_frame(again.unionByName(held), dataclasses.replace(spec, flatten={}), rules, accounts, hot=hot)
     released = F.col(STAMP) < F.lit((RUN_AT + dt.timedelta(days=1)).isoformat()).cast("timestamp")
     return silver.select("transaction_id", "account_id", "amount", "dq_flag", released.alias("released"))

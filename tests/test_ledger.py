@@ -1,4 +1,5 @@
 import datetime as dt
+from decimal import Decimal
 import json
 
 import pytest
@@ -183,3 +184,20 @@ def test_held_back_tells_null_from_empty(spark):
     delivered = spark.createDataFrame([(None, 1, later)], schema)
     assert sorted(map(tuple, held_back(taken, delivered, "at").select("a", "b").collect()), key=repr) == sorted([("", 1), ("x", None), ("x", None)], key=repr)
     assert held_back(taken, delivered.limit(0), "at").count() == 4
+
+
+def test_held_back_keeps_values_apart(spark):
+    schema = "a string, b string, n decimal(4,1), at timestamp"
+    at = dt.datetime(2025, 1, 1)
+    taken = [("x1=y", "z", None, at), ("x", "1=y1=z", None, at), ("x-", None, None, at), ("x", "-", None, at), ("é", "\u0001", 1, at)]
+    held = spark.createDataFrame([(a, b, n and Decimal(n), t) for a, b, n, t in taken], schema)
+    for i, row in enumerate(held.collect()):
+        left = held_back(held, spark.createDataFrame([row], schema), "at").collect()
+        assert len(left) == 4 and row not in left, i
+
+
+def test_held_back_compares_texts_with_other_types(spark):
+    at = dt.datetime(2025, 1, 1)
+    taken = spark.createDataFrame([("1.5", at), ("2", at)], "a string, at timestamp")
+    delivered = spark.sql("SELECT parse_json('\"1.5\"') AS a, timestamp'2025-01-02' AS at")
+    assert [r.a for r in held_back(taken, delivered, "at").collect()] == ["2"]
