@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from medalmart.config import Model, compile_rules, default_rules
-from medalmart.operators.lookup import hot_keys, key_counts
+from medalmart.operators.lookup import hot_keys_of
 from medalmart.plans.bronze import MASK, stamp
 from medalmart.plans.gold import dimension_frame, fact_frame
 from medalmart.plans.silver import COPIES, silver_frame
@@ -249,15 +249,19 @@ class Bank:
         self._texts = {"customers": PARTY, "accounts": ACCOUNT, "transactions": TX}
         self._silver: dict[str, DataFrame] = {}
 
+    def rows(self, name: str) -> DataFrame:
+        """The role's rows, for readers of few columns: no other column's text is evaluated."""
+        return role(self.spark, self.sf_dir, self._texts[name])
+
     def raw(self, name: str) -> DataFrame:
         """The role's rows. They pass a generator, which keeps the texts above from being copied into every rule."""
-        rows = role(self.spark, self.sf_dir, self._texts[name])
+        rows = self.rows(name)
         return rows.select(F.inline(F.array(F.struct(*rows.columns))))
 
     def hot(self, name: str) -> DataFrame | None:
         """Hot keys of the column that links the role's rows, counted without what else the text says of them."""
         link = self.model.tables[name].link
-        return hot_keys(key_counts(role(self.spark, self.sf_dir, self._texts[name]), link.field), link.field) if link else None
+        return hot_keys_of(self.rows(name), link.field) if link else None
 
     def bronze(self, name: str) -> DataFrame:
         return stamp(self.raw(name), RUN_AT)

@@ -9,7 +9,7 @@ from medalmart.config import default_rules
 from medalmart.functions.keys import hash_key
 from medalmart.operators.dedup import keep_first, split_null_keys
 from medalmart.operators.drift import deliveries, observed_types, record_types, stored_types, type_changes
-from medalmart.operators.lookup import estimated_bytes, hot_keys, key_counts, lookup
+from medalmart.operators.lookup import estimated_bytes, hot_keys_of, lookup
 from medalmart.plans.gold import resolved_keys
 from medalmart.plans.medallion import Medallion
 from medalmart.sources.layout import ByKey, buckets_for, linked, read_by_key, unlinked_keys, write_by_key
@@ -107,7 +107,7 @@ def gold_fact_lookup(spark: SparkSession, d: str) -> DataFrame:
     narrow = facts.select(hash_key("transaction_id").alias("transaction_sk"), "transaction_id", "account_id")
     both = {"account_sk": "account_sk", "customer_sk": "customer_sk"}
     size = estimated_bytes(accounts.select("account_id", "account_sk")) + estimated_bytes(parties.select("customer_sk"))
-    hot = hot_keys(key_counts(role(spark, d, TX), "account_id"), "account_id")
+    hot = hot_keys_of(role(spark, d, TX), "account_id")
     return lookup(narrow, keys, ("account_id", "account_id"), both, hot=hot, size=size).drop("account_id")
 
 

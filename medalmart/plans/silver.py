@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..config import Table, TableRules
 from ..functions.conform import ISO_DATE, canonical_name, compose_timestamp, parse_date
 from ..operators.dedup import keep_first
-from ..operators.lookup import hot_keys, key_counts, lookup, unmatched
+from ..operators.lookup import hot_keys_of, lookup, unmatched
 from ..operators.rules import removed
 from ..operators.shape import flatten
 from ..sources.layout import ByKey, linked, unlinked_keys
@@ -84,7 +84,7 @@ def silver_frame(
             staying = mark_orphans(linked(*by_key, to.column, to.carry, to.linked, remaining), table, rules, ~F.col(to.linked))
         else:
             if hot is None:
-                hot = hot_keys(key_counts(flatten(bronze, table.flatten), to.field), to.field)
+                hot = hot_keys_of(flatten(bronze, table.flatten), to.field)
             staying = link(remaining(bronze), table, rules, parent, hot)
         if rules.orphan_drops:
             staying = staying.filter(F.col(to.field).isNull() | F.col(to.linked))

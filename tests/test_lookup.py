@@ -1,7 +1,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from medalmart.operators.lookup import HOT_SHARE, estimated_bytes, fits_broadcast, hot_keys, key_counts, lookup, unmatched
+from medalmart.operators.lookup import HOT_SHARE, estimated_bytes, fits_broadcast, hot_keys, hot_keys_of, key_counts, lookup, unmatched
 
 
 @pytest.fixture(scope="module")
@@ -91,3 +91,30 @@ def test_without_hot_keys_the_large_side_is_read_once(spark, tmp_path):
         spark.conf.unset("spark.sql.files.openCostInBytes")
     want = rows.join(F.broadcast(keys), rows.ref == keys.k, "left").select("ref", F.col("id").alias("value"), F.col("k").isNotNull().alias("found"))
     assert out.exceptAll(want).isEmpty() and want.exceptAll(out).isEmpty()
+
+
+@pytest.mark.parametrize("buckets", [1, 7, 16384])
+def test_hot_keys_by_buckets_are_those_of_all_counts(spark, big, buckets):
+    frames = [
+        (big, 1000),
+        (big.where("ref IS NOT NULL").select(F.col("ref").cast("string").alias("ref")), 1000),
+        (big.where("ref = 1 OR ref > 500"), 10),
+        (big.where("ref IS NULL"), 1000),
+        (big.where("id < 0"), 1000),
+    ]
+    for rows, share in frames:
+        got = hot_keys_of(rows, "ref", share, buckets)
+        want = hot_keys(key_counts(rows, "ref"), "ref", share=share)
+        assert got.schema["ref"].dataType == rows.schema["ref"].dataType
+        assert got.exceptAll(want).isEmpty() and want.exceptAll(got).isEmpty()
+
+
+def test_hot_keys_shuffle_buckets_and_no_keys(spark):
+    """Before, every key was shuffled to be counted."""
+    rows = spark.range(0, 40_000, 1, 2).select((F.col("id") % 20_000).cast("string").alias("ref"))
+    # All 16 buckets are hot, of which no key is: the most that is counted, and still right.
+    assert hot_keys_of(rows, "ref", buckets=16).isEmpty()
+    found = hot_keys_of(rows, "ref")
+    assert found.collect() == []
+    final = found._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    assert "hashpartitioning(__place" in final and "hashpartitioning(ref" not in final
