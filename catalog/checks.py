@@ -154,7 +154,7 @@ def chk_fk(spark: SparkSession, d: str) -> DataFrame:
     lines, orders = table(spark, d, "lineitem"), table(spark, d, "orders")
     return reference_check(
         {
-            "transactions -> accounts": (bank.raw("transactions"), "account_id", accounts, "account_id"),
+            "transactions -> accounts": (bank.rows("transactions"), "account_id", accounts, "account_id"),
             "accounts -> customers": (accounts, "customer_ref", parties, "customer_id"),
             "lineitem -> orders": (lines, "l_orderkey", orders, "o_orderkey"),
             "fact -> dim_accounts": (fact, "account_sk", bank.dimension("dim_accounts"), "account_sk"),
@@ -172,7 +172,7 @@ def chk_fk(spark: SparkSession, d: str) -> DataFrame:
 )
 def chk_flag_enum(spark: SparkSession, d: str) -> DataFrame:
     bank = Bank(spark, d)
-    channels = enum_check(bank.raw("transactions"), "channel", ["POS", "APP", "ATM", "EFT", "USSD", "INTERNAL"])
+    channels = enum_check(bank.rows("transactions"), "channel", ["POS", "APP", "ATM", "EFT", "USSD", "INTERNAL"])
     flags = enum_check(bank.fact(), "dq_flag", FLAGS)
     return channels.select(F.lit("channel").alias("column_name"), F.col("channel").alias("value"), "n").unionByName(
         flags.select(F.lit("dq_flag").alias("column_name"), F.col("dq_flag").alias("value"), "n")
@@ -186,7 +186,7 @@ def chk_flag_enum(spark: SparkSession, d: str) -> DataFrame:
 )
 def chk_constant(spark: SparkSession, d: str) -> DataFrame:
     bank = Bank(spark, d)
-    raw = constant_check(bank.raw("transactions"), "currency", "ZAR").withColumn("layer", F.lit("source"))
+    raw = constant_check(bank.rows("transactions"), "currency", "ZAR").withColumn("layer", F.lit("source"))
     gold = constant_check(bank.fact(), "currency", "ZAR").withColumn("layer", F.lit("gold"))
     return raw.unionByName(gold)
 
