@@ -38,3 +38,20 @@ def test_rows_agree_with_sql(spark, oracle, name):
     names = [c[0] for c in cursor.description]
     assert sorted(names) == sorted(df.columns)
     assert got == sorted(cells(r, names) for r in cursor.fetchall())
+
+
+def test_flag_enum_evaluates_the_source_texts_once(spark, tmp_path):
+    """The channels come without the generator that computes every column. Before, the transactions passed it twice."""
+    d = str(tmp_path)
+    spark.sql("SELECT 1L c_custkey, 'n' c_name, 0 c_nationkey, 10D c_acctbal, 'M' c_mktsegment").write.parquet(f"{d}/customer.parquet")
+    spark.sql(
+        "SELECT 1L o_orderkey, 1L o_custkey, 'F' o_orderstatus, 9D o_totalprice, TIMESTAMP '1995-01-02' o_orderdate, '5-LOW' o_orderpriority"
+    ).write.parquet(f"{d}/orders.parquet")
+    spark.sql(
+        """SELECT 1L l_orderkey, 1L l_partkey, 2L l_suppkey, cast(line AS int) l_linenumber, 45D l_quantity, 9D l_extendedprice, 0D l_discount,
+             0D l_tax, 'A' l_returnflag, 'F' l_linestatus, TIMESTAMP '1995-01-02' l_shipdate FROM (SELECT explode(array(1, 2, 3)) line)"""
+    ).write.parquet(f"{d}/lineitem.parquet")
+    out = catalog.QUERIES["chk_flag_enum"](spark, d)
+    assert [tuple(r) for r in out.collect()] == [("channel", "FAX", 2)]
+    # One generator each for customers, accounts and transactions.
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("Generate inline") == 3
