@@ -1,13 +1,16 @@
 import hashlib
 import random
+import tracemalloc
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from medalmart.llm.suffix_dedup import among, merged, minimizers, op9_suffix_dedup, ranks, suffix_dedup
+from medalmart.llm import suffix_dedup as module
+from medalmart.llm.suffix_dedup import AT_ONCE, among, merged, minimizers, op9_suffix_dedup, ranks, suffix_dedup
 
 
 def brute(rows, length):
@@ -97,3 +100,42 @@ def test_odd_rows(odd, empty):
     assert removed(suffix_dedup(odd)) == [0, 0, 0, 0]
     assert removed(suffix_dedup(odd, length=20, gram=8)) == [0, 50, 50, 50]
     assert suffix_dedup(empty).count() == 0
+
+
+def peak(act):
+    """What ``act`` returns, and the most bytes of Python and numpy that it held at a time."""
+    module._TABLES.clear()
+    tracemalloc.start()
+    try:
+        return act(), tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+
+
+def test_a_worker_takes_a_batch_in_pieces():
+    """Memory follows the piece, not the batch: 12 MB of texts, short ones and one of 3 MB."""
+    rng = np.random.default_rng(3)
+    texts = [rng.integers(97, 123, n, np.uint8).tobytes() for n in [6000] * 1500 + [3 << 20]]
+    batch = pa.RecordBatch.from_arrays([pa.array([i.to_bytes(16, "big") for i in range(len(texts))]), pa.array(texts)], ["content", "octets"])
+    starts, most = peak(lambda: sum(x.column(4).to_numpy().sum() for x in module._slicer(400, 48)(iter([batch]))))
+    assert starts == sum(len(t) - 399 for t in texts) and most < 80 << 20
+
+
+def test_a_shard_keeps_no_table_of_its_size():
+    """A spread shard of several pieces: its strings' hashes are those of one pass, its tables those of a piece."""
+    rng = np.random.default_rng(4)
+    octets = [rng.integers(97, 123, 1000, np.uint8).tobytes() for _ in range(3 * AT_ONCE // 1000)]
+    octets += octets[:5]
+    n = len(octets)
+    told = {"shard": [1] * n, "content": [i.to_bytes(16, "big") for i in range(n)], "spread": [True] * n, "copies": [1] * n, "start": [0] * n, "n": [601] * n, "octets": octets}
+    got, most = peak(lambda: module._sharded(400, 7)(pa.table(told)))
+    assert len(module._TABLES["power0"]) <= AT_ONCE + 401 and most < 128 << 20
+    rows = got.to_pylist()
+    assert sorted((int.from_bytes(r["content"], "big"), r["from"], r["to"]) for r in rows if r["k1"] is None) == sorted((i, 0, 1000) for i in (*range(5), *range(n - 5, n)))
+    keys = {(a, b): (None if o < 0 else r["contents"][o], s) for r in rows if r["k1"] for a, b, o, s in zip(r["k1"], r["k2"], r["owner"], r["start"], strict=True)}
+    assert len(keys) == 601 * (n - 5) and all(k[0] % (1 << 64) % 7 == r["group"] for r in rows if r["k1"] for k in zip(r["k1"], strict=True))
+    for i in (2, n // 2, n - 6):
+        piece = np.frombuffer(octets[i], np.uint8)
+        for s in (0, 600):
+            key = tuple(int(module.range_hash(module.prefix_sums(piece, k), k, np.array([s]), np.array([s + 400])).view(np.int64)[0]) for k in (0, 1))
+            assert keys[key] == (None if i < 5 else told["content"][i], s)
