@@ -1,8 +1,15 @@
+import gzip
+from pathlib import Path
+
 import duckdb
 import pytest
 
 import __spark_entry__ as entry
 import catalog
+from catalog import mart
+from catalog.base import role
+from medalmart.config import Model
+from medalmart.sources.readers import read_csv, read_jsonl
 from support import TESTDATA
 
 DIR = str(TESTDATA / "sf0.001")
@@ -55,3 +62,28 @@ def test_flag_enum_evaluates_the_source_texts_once(spark, tmp_path):
     assert [tuple(r) for r in out.collect()] == [("channel", "FAX", 2)]
     # One generator each for customers, accounts and transactions.
     assert out._jdf.queryExecution().optimizedPlan().toString().count("Generate inline") == 3
+
+
+def test_extracts_are_compressed_files_of_few_lines(spark, tmp_path, monkeypatch):
+    """The extracts were the most of a run's disk as plain text."""
+    monkeypatch.setitem(mart._EXTRACT, "maxRecordsPerFile", 7)
+    d = str(tmp_path)
+    spark.sql("SELECT id + 1 c_custkey, 'n,\"' c_name, 0 c_nationkey, 10D c_acctbal, 'M' c_mktsegment FROM range(20)").coalesce(1).write.parquet(f"{d}/customer.parquet")
+    spark.sql(
+        "SELECT id + 1 o_orderkey, id + 1 o_custkey, 'F' o_orderstatus, 9D o_totalprice, TIMESTAMP '1995-01-02' o_orderdate, '5-LOW' o_orderpriority FROM range(20)"
+    ).coalesce(1).write.parquet(f"{d}/orders.parquet")
+    spark.sql(
+        """SELECT id + 1 l_orderkey, id l_partkey, id l_suppkey, 1 l_linenumber, 45D l_quantity, 9D l_extendedprice, 0D l_discount,
+             0D l_tax, 'A' l_returnflag, 'F' l_linestatus, TIMESTAMP '1995-01-02' l_shipdate FROM range(20)"""
+    ).coalesce(1).write.parquet(f"{d}/lineitem.parquet")
+    paths = mart.write_extracts(spark, d, f"{d}/in")
+    for path in paths.values():
+        files = sorted(Path(path).glob("part-*"))
+        assert len(files) == 3 and all(gzip.open(f, "rt").read().count("\n") <= 8 for f in files)
+    model = Model.load().tables
+    for name, text in [("customers", mart.PARTY), ("accounts", mart.ACCOUNT)]:
+        want = role(spark, d, text)
+        got = read_csv(spark, paths[f"{name}_path"], model[name].schema).select(*want.columns)
+        assert sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
+    lines = read_jsonl(spark, paths["transactions_path"], model["transactions"].schema)
+    assert sorted(r.transaction_id for r in lines.collect()) == sorted(r.transaction_id for r in role(spark, d, mart.TX).collect())

@@ -1,5 +1,7 @@
 import dataclasses
+import gzip
 import json
+import time
 from decimal import Decimal
 
 import pytest
@@ -10,7 +12,9 @@ import medalmart
 from support import RUN_AT, tx
 from medalmart.__main__ import main
 from medalmart.operators.checks import rerun_check
+from medalmart.plans import medallion
 from medalmart.plans.validation import mart_checks, open_gold
+from medalmart.sources.session import RELEASE, shuffles_released
 
 
 def by(df, key):
@@ -320,3 +324,56 @@ def test_buckets_grow_with_the_sources(spark, extracts, rules_doc, monkeypatch):
     # Without a bronze table stored by key, and with its sources gone, it is the bronze tables that tell.
     apart = {**extracts, "input": {k: f"{v}.gone" for k, v in extracts["input"].items()}}
     assert medalmart.Medallion(spark, apart, rules_doc).buckets == 8
+
+
+def shuffle_files(spark):
+    """Shuffle files on disk of this session's executors, which are threads of the driver."""
+    found = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+    return sum(found.apply(i).getName().startswith("shuffle_") for i in range(found.size()))
+
+
+def test_stages_leave_no_shuffle_files(spark, extracts, rules_doc):
+    before = shuffle_files(spark)
+    m = medalmart.Medallion(spark, extracts, rules_doc, run_at=RUN_AT)
+    m.bronze()
+    m.silver()
+    m.gold()
+    # Files go a moment after the query. Before, all lay there until the driver collected its garbage.
+    for _ in range(50):
+        if shuffle_files(spark) <= before:
+            break
+        time.sleep(0.1)
+    assert shuffle_files(spark) <= before
+    assert spark.conf.get(RELEASE, None) is None
+
+
+def test_a_session_that_keeps_its_shuffles_keeps_them(spark):
+    spark.conf.set(RELEASE, "false")
+    try:
+        with shuffles_released(spark):
+            assert spark.conf.get(RELEASE) == "false"
+        assert spark.conf.get(RELEASE) == "false"
+    finally:
+        spark.conf.unset(RELEASE)
+
+
+def test_linked_rows_settle_before_the_deduplication(spark, run, tmp_path, monkeypatch):
+    """Beyond the broadcast limit the link's shuffle is over before that of the deduplication begins."""
+    plain = run()
+    written = {}
+    monkeypatch.setattr(medallion, "drop_path", lambda spark, path: written.update({path.rsplit("/", 1)[1].rsplit("-", 1)[0]: path}))
+    elsewhere = {f"{layer}_path": str(tmp_path / "shuffled" / layer) for layer in ("bronze", "silver", "gold", "report")}
+    limit = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        shuffled = run(output=elsewhere)
+        linked = spark.read.parquet(written["linked-transactions"])
+        silver = shuffled.silver_frame("transactions", lambda rows: linked)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+    for layer, name in [("bronze", "quarantine/transactions"), ("silver", "transactions"), ("silver", "accounts"), ("gold", "fact_transactions")]:
+        assert sorted(map(str, plain.table(layer, name).collect())) == sorted(map(str, shuffled.table(layer, name).collect())), name
+    assert (plain.output, plain.removed, plain.orphans) == (shuffled.output, shuffled.removed, shuffled.orphans)
+    # Rows of good accounts and without any: the others have left, the copies have not.
+    assert {r.account_id for r in linked.collect()} == {"a1", "a2", None} and linked.where("transaction_id = 't02'").count() == 3
+    assert "Join" not in silver and silver.count("Exchange hashpartitioning") == 1
