@@ -377,3 +377,18 @@ def test_linked_rows_settle_before_the_deduplication(spark, run, tmp_path, monke
     # Rows of good accounts and without any: the others have left, the copies have not.
     assert {r.account_id for r in linked.collect()} == {"a1", "a2", None} and linked.where("transaction_id = 't02'").count() == 3
     assert "Join" not in silver and silver.count("Exchange hashpartitioning") == 1
+
+
+def test_buckets_of_compressed_sources_are_about_as_many(spark, extracts, rules_doc, monkeypatch):
+    from medalmart.sources import layout
+
+    monkeypatch.setattr(layout, "BUCKET_BYTES", 64)
+    inputs = {}
+    for name, path in extracts["input"].items():
+        text = open(path, encoding="utf-8").read()
+        inputs[name] = f"{path}.gz"
+        with gzip.open(inputs[name], "wt", encoding="utf-8") as f:
+            f.write(text)
+    m, packed = (medalmart.Medallion(spark, {**extracts, "input": i}, rules_doc) for i in (extracts["input"], inputs))
+    # Without regard to the packing they were a thirteenth, as these few lines are packed.
+    assert 2 * packed.buckets >= m.buckets
