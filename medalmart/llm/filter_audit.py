@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 from medalmart.operators.lookup import estimated_bytes
 
-from .common import stored, table
+from .common import WIDE, stored, table
 from .octets import PIECE, octets, row_numbers, word_lists
 
 FILTERS = "ABCDE"
@@ -42,6 +42,8 @@ _CAPITALS = bytes(range(ord("A"), ord("Z") + 1))
 _CONTINUED = bytes(range(0x80, 0xC0))
 #: A shard ends when its texts or its dictionary are this large.
 SHARD_BYTES, SHARD_WORDS = 8 << 20, 1 << 18
+#: Texts that a worker takes out of a batch at once.
+FEW_TEXTS = 256
 #: Words longer than this stand in the dictionary as a tab and their digest; no word begins with a tab.
 LONG_WORD = 64
 #: The dictionary has a part for so many bytes of input (as the optimizer estimates them), up to a
@@ -97,6 +99,12 @@ def _facts(text: bytes) -> tuple:
     return hashlib.sha256(text).digest()[:16], len(text.translate(None, MARKS)) < len(text), len(text) - len(text.translate(None, _CAPITALS)), len(text.translate(None, _CONTINUED))
 
 
+def _few_at_once(batch: pa.RecordBatch) -> Iterator[tuple]:
+    """The rows of a batch, of which few are Python objects at a time."""
+    for at in range(0, len(batch), FEW_TEXTS):
+        yield from zip(*(c.to_pylist() for c in batch.slice(at, FEW_TEXTS).columns), strict=True)
+
+
 def _sharded(shard_bytes: int, shard_words: int, piece: int, parts: int):
     def full(shard: _Shard) -> bool:
         return shard.size >= shard_bytes or len(shard.codes) >= shard_words
@@ -105,7 +113,7 @@ def _sharded(shard_bytes: int, shard_words: int, piece: int, parts: int):
         shard, numbers, rows, fact = _Shard(), row_numbers(), row_numbers(), None
         for batch in batches:
             fact = pa.struct([(n, t or batch.schema.field("key").type) for n, t in _FACT])
-            for key, part, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for key, part, text in _few_at_once(batch):
                 row, counts, size, split = next(rows), Counter(), 0, False
                 for words in word_lists(text, size=piece):
                     counts.update(words)
@@ -142,7 +150,7 @@ def term_matrix(docs: DataFrame, key: str = "doc_id", text: str = "text", part:
     fact = ", ".join(f"{n}: {kinds.get(n, 'bigint')}" for n, _ in _FACT)
     parts = min(MOST_PARTS, 1 + estimated_bytes(texts) // part_bytes)
     # Stored: documents and shards are numbered once, by one scan.
-    local = stored(texts.mapInArrow(_sharded(shard_bytes, shard_words, piece, parts), _CSR.format(columns=f"code array<int>, packs array<struct<part: bigint, words: binary>>, facts array<struct<{fact}>>")), "term-shards")
+    local = stored(texts.mapInArrow(_sharded(shard_bytes, shard_words, piece, parts), _CSR.format(columns=f"code array<int>, packs array<struct<part: bigint, words: binary>>, facts array<struct<{fact}>>")), "term-shards", WIDE)
     packs = local.select("shard", F.inline("packs"))
     numbered = stored(packs.groupBy("part").applyInArrow(_numbered, "part bigint, shard bigint, term array<bigint>, words binary"), "term-numbers")
     word = F.posexplode(F.split(F.decode("words", "UTF-8"), " ")).alias("place", "word")
@@ -150,7 +158,9 @@ def term_matrix(docs: DataFrame, key: str = "doc_id", text: str = "text", part:
     # A shard's packs come in the order of their parts, which is the order of its codes.
     known = numbered.where("shard IS NOT NULL").groupBy("shard").agg(F.sort_array(F.collect_list(F.struct("part", "term"))).alias("known"))
     known = known.select("shard", F.flatten("known.term").alias("known"))
-    matrix = local.drop("packs", "facts").join(known.hint("merge"), "shard", "left").mapInArrow(_global, _CSR.format(columns="term array<bigint>"))
+    coded = local.drop("packs", "facts").join(known.hint("merge"), "shard", "left")
+    matrix = coded.mapInArrow(_global, _CSR.format(columns="term array<bigint>"))
+    matrix.coded = coded
     return matrix, dictionary, local.select(F.inline("facts"))
 
 
@@ -197,9 +207,19 @@ def _row_sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             )
 
 
+def _global_row_sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    return _row_sums(_global(batches))
+
+
 def word_counts(matrix: DataFrame) -> DataFrame:
-    """``row, words, distinct`` of every document, from row sums and nonzero entries of the matrix."""
-    sums = stored(matrix.mapInArrow(_row_sums, "row bigint, words bigint, distinct bigint, terms array<bigint>"), "row-sums")
+    """``row, words, distinct`` of every document, from row sums and nonzero entries of the matrix.
+
+    A matrix as it comes from :func:`term_matrix` is made and summed up shard by shard in one worker: a second one
+    would hold batches of the same shards once more.
+    """
+    coded = getattr(matrix, "coded", None)
+    shards, sum_up = (matrix, _row_sums) if coded is None else (coded, _global_row_sums)
+    sums = stored(shards.mapInArrow(sum_up, "row bigint, words bigint, distinct bigint, terms array<bigint>"), "row-sums", WIDE)
     whole = sums.where("terms IS NULL").select("row", "words", "distinct")
     parts = sums.where("terms IS NOT NULL")
     # Entries of one document in several shards: one for each term, counted before they meet.

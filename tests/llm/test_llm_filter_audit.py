@@ -1,7 +1,9 @@
 import re
 from itertools import permutations
+from pathlib import Path
 
 import duckdb
+import pyarrow.parquet as pq
 import pytest
 from texts import SCHEMA
 
@@ -106,6 +108,33 @@ def test_the_matrix_is_the_counts_of_words(spark, rows):
         assert {k: v for k, v in found[key].items() if len(k) <= fa.LONG_WORD and k[:1] != b"\t"} == {w: own.count(w) for w in set(own) if len(w) <= fa.LONG_WORD}
 
 
+def test_a_task_never_holds_all_its_shards(spark, rows, monkeypatch):
+    """Shards of one task are written in row groups, which is what a reader takes at once. Before, a file of up to 100 shards was one."""
+    paths, stored = {}, fa.stored
+
+    def spy(frame, name, *options):
+        out = stored(frame, name, *options)
+        paths[name] = out.stored_at
+        return out
+
+    monkeypatch.setattr(fa, "stored", spy)
+    monkeypatch.setitem(fa.WIDE, "parquet.block.size", 8 << 10)
+    many = [(k, f"{text} w{k}", lang, source) for k in range(20) for _, text, lang, source in rows if text]
+    fa.term_matrix(spark.createDataFrame(many, SCHEMA).coalesce(1), shard_bytes=2000)
+    groups = [g for f in Path(paths["term-shards"]).glob("*.parquet") for m in [pq.read_metadata(f)] for g in map(m.row_group, range(m.num_row_groups))]
+    assert sum(g.num_rows for g in groups) > 20
+    assert len(groups) > 2 and max(g.num_rows for g in groups) < 20
+
+
+def test_any_frame_of_shards_is_summed_up(spark, rows):
+    """The matrix itself is made and summed up in one worker, other frames of shards as they are."""
+    matrix, _, _ = fa.term_matrix(spark.createDataFrame(rows, SCHEMA).repartition(2), shard_bytes=2000, shard_words=50, piece=100)
+    found = []
+    for frame in (matrix, matrix.select("*")):
+        found.append(sorted(map(tuple, fa.word_counts(frame).collect())))
+    assert found[0] == found[1] and matrix.coded.columns == ["shard", "row", "split", "first", "code", "n", "known"]
+
+
 def test_odd_and_empty_input(spark, odd, empty):
     labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     assert fa.audit(empty, labels).count() == 0
