@@ -87,3 +87,25 @@ def test_extracts_are_compressed_files_of_few_lines(spark, tmp_path, monkeypatch
         assert sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
     lines = read_jsonl(spark, paths["transactions_path"], model["transactions"].schema)
     assert sorted(r.transaction_id for r in lines.collect()) == sorted(r.transaction_id for r in role(spark, d, mart.TX).collect())
+
+
+def configured_rows(spark, d):
+    """Tables of a few rows for a run of the catalogue."""
+    spark.sql("SELECT id + 1 c_custkey, 'n' c_name, 7 c_nationkey, 10D c_acctbal, 'M' c_mktsegment FROM range(5)").write.parquet(f"{d}/customer.parquet")
+    spark.sql(
+        "SELECT id + 1 o_orderkey, id + 1 o_custkey, 'F' o_orderstatus, 9D o_totalprice, TIMESTAMP '1995-01-02' o_orderdate, '5-LOW' o_orderpriority FROM range(5)"
+    ).write.parquet(f"{d}/orders.parquet")
+    spark.sql(
+        """SELECT id + 1 l_orderkey, id l_partkey, id l_suppkey, 1 l_linenumber, 41D l_quantity, 9D l_extendedprice, 0D l_discount,
+             0D l_tax, 'A' l_returnflag, 'F' l_linestatus, TIMESTAMP '1995-01-02' l_shipdate FROM range(5)"""
+    ).write.parquet(f"{d}/lineitem.parquet")
+
+
+@pytest.mark.parametrize("name", ["dq_report"])
+def test_reports_begin_with_compressed_extracts(spark, tmp_path, monkeypatch, name):
+    paths, write = [], mart.write_extracts
+    monkeypatch.setattr(mart, "write_extracts", lambda *a: paths.append(write(*a)) or paths[0])
+    configured_rows(spark, str(tmp_path))
+    got = {r.issue_type: r.records_affected for r in catalog.QUERIES[name](spark, str(tmp_path)).collect()}
+    assert got["currency_variants"] == 5 and got["risk_score_range"] == 5
+    assert {f.suffix for p in paths[0].values() for f in Path(p).glob("part-*")} == {".gz"}
