@@ -101,7 +101,7 @@ def configured_rows(spark, d):
     ).write.parquet(f"{d}/lineitem.parquet")
 
 
-@pytest.mark.parametrize("name", ["dq_report"])
+@pytest.mark.parametrize("name", ["dq_report", "dq_report_apart"])
 def test_reports_begin_with_compressed_extracts(spark, tmp_path, monkeypatch, name):
     paths, write = [], mart.write_extracts
     monkeypatch.setattr(mart, "write_extracts", lambda *a: paths.append(write(*a)) or paths[0])
